@@ -16,7 +16,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_rng.integers(1, 2**62)) * 8 + 5
+_BASE = int(_rng.integers(1, 2**60)) * 8 + 5
 _INVERSE = pow(_BASE, -1, 2**64)
 _BASE2 = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,7 +40,7 @@ class _Powers:
         if len(self.up) <= n:
             size = max(n + 1, 2 * len(self.up), 1 << 12)
             for name, base in (("up", _BASE), ("down", _INVERSE)):
-                steps = np.full(size, base, np.uint64)
+                steps = np.full(size, np.uint64(base), np.uint64)
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps))
         return self.up, self.down

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..shipping import ship
-from . import packing, sharding
+from . import ngram_join, packing, sharding, warc
 
 
 def _documents(spark, sf_dir):
@@ -15,6 +15,15 @@ def op2_packing(spark, sf_dir):
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op3_ngram_join(spark, sf_dir):
+    return ngram_join.near_copies(_documents(spark, sf_dir))
+
+
+def op8_warc(spark, sf_dir):
+    ship(spark)
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_sharding(spark, sf_dir):
     return sharding.shard(_documents(spark, sf_dir))
 
