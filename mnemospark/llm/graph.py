@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import release, table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,6 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         after = table(spark, lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        if after.filter("label < old").isEmpty():
-            return after.select("node", "label")
+        release(spark, labels)
         labels = after.select("node", "label")
+        if after.filter("label < old").isEmpty():
+            release(spark, both)
+            return labels

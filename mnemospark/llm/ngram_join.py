@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 
 from . import bytescan
 from .graph import components
-from .shared import slices, table
+from .shared import maybe_in, release, slices, table
 
 WIDTH = 5
 HOT = 100
+#: Most documents of one side of a tile, in which pairs are verified.
+TILE = 256
 #: A pair is linked if 100 * intersection >= PERCENT * union.
 PERCENT = 90
 
@@ -82,7 +84,7 @@ def _sets(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
                 p = prefix(len(s), percent)
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                tokens.append(s if whole else s[: p + p // 2 + 8])
+                tokens.append(s if whole else s[: p + p // 4 + 8])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), _lists(tokens)], names=["doc_id", "n", "key", "tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(make, "doc_id long, n int, key binary, tokens array<long>")
@@ -107,7 +109,8 @@ def _candidates(reps: DataFrame, texts: DataFrame, width: int, percent: int) ->
     )
     # Documents whose leading part is mostly hot: all their shingles are needed to find rare ones.
     short = table(spark, split.filter("short").select("doc_id", "p"), "short")
-    full = _sets(texts.join(short.select("doc_id"), "doc_id", "left_semi"), width, percent, True).dropDuplicates(["doc_id"])
+    release(spark)
+    full = _sets(maybe_in(texts, "doc_id", short).join(short.select("doc_id"), "doc_id", "left_semi"), width, percent, True).dropDuplicates(["doc_id"])
     flags = full.select("doc_id", "n", F.posexplode("tokens").alias("pos", "token")).join(hot.withColumn("hot", F.lit(1)), "token", "left")
     ordered = flags.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("hot", F.lit(0)).alias("hot"), "pos", "token"))).alias("o"))
     rest = ordered.join(short, "doc_id").select("doc_id", "n", F.slice(F.col("o.token"), 1, F.col("p")).alias("prefix"))
@@ -138,37 +141,72 @@ def overlap_at_least(a: np.ndarray, b: np.ndarray, need: int) -> bool:
     return got >= need
 
 
+def _tiles(pairs: DataFrame) -> DataFrame:
+    """The pairs with the tile in which they are verified.
+
+    Pairs are gathered by the smallest document near to both, which in a group of near copies is
+    nearly always the same one; so a set is sent to few tiles, not to each of its pairs. A group of
+    more than TILE documents is split into blocks, and each pair of blocks is a tile of its own.
+    """
+    ends = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a")))
+    near = ends.groupBy("a").agg(F.least("a", F.min("b")).alias("near"))
+    keyed = pairs.select("a", "b").join(near.withColumnRenamed("near", "x"), "a").join(near.select(F.col("a").alias("b"), F.col("near").alias("y")), "b").select("a", "b", F.least("x", "y").alias("group"))
+    keyed = table(pairs.sparkSession, keyed, "keyed")
+    blocks = keyed.select("group", "a").union(keyed.select("group", "b")).distinct().groupBy("group").agg(F.ceil(F.count("*") / TILE).alias("blocks"))
+    x, y = (F.pmod(F.xxhash64(c), F.col("blocks")) for c in ("a", "b"))
+    return keyed.join(blocks, "group").select("a", "b", F.xxhash64("group", F.least(x, y), F.greatest(x, y)).alias("tile"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs a, b that reach the threshold."""
     spark = pairs.sparkSession
-    pairs = table(spark, pairs, "pairs")
-    ids = table(spark, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "involved")
-    sets = table(spark, _sets(texts.join(ids, "doc_id", "left_semi"), width, percent, True).select("doc_id", "tokens").dropDuplicates(["doc_id"]), "sets")
+    tiled = table(spark, _tiles(table(spark, pairs, "pairs")), "tiles")
+    needs = table(spark, tiled.select("tile", F.col("a").alias("doc_id")).union(tiled.select("tile", "b")).distinct(), "needs")
+    release(spark)
+    some = maybe_in(texts, "doc_id", needs).dropDuplicates(["doc_id"]).join(needs, "doc_id").select("doc_id", "text", "tile")
+
+    def sets(batches):
+        for b in batches:
+            found = list(shingles(b.column(1), width))
+            none = pa.nulls(b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), none, _lists(found)], names=["tile", "a", "b", "tokens"])
+
+    shape = "tile long, a long, b long, tokens array<long>"
+    stream = some.mapInArrow(sets, shape).unionByName(tiled.select("tile", "a", "b", F.lit(None).cast("array<long>").alias("tokens")))
 
     def check(batches):
+        held: dict[int, np.ndarray] = {}
+        now = None
         for x in batches:
-            ta, tb = x.column("ta"), x.column("tb")
-            fa, fb = (np.asarray(t.values).view(np.uint64) for t in (ta, tb))
-            oa, ob = (np.asarray(t.offsets) for t in (ta, tb))
-            na, nb = np.diff(oa), np.diff(ob)
-            need = required(na.astype(np.int64), nb.astype(np.int64), percent)
-            keep = np.array([overlap_at_least(fa[oa[k] : oa[k + 1]], fb[ob[k] : ob[k + 1]], int(need[k])) for k in range(x.num_rows)], bool)
-            yield x.select(["a", "b"]).filter(pa.array(keep))
-
-    left = pairs.select("a", "b").join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
-    return left.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+            tokens = x.column("tokens")
+            values, offsets = np.asarray(tokens.values).view(np.uint64), np.asarray(tokens.offsets)
+            out = []
+            for k, (tile, a, b) in enumerate(zip(x.column("tile").to_pylist(), x.column("a").to_pylist(), x.column("b").to_pylist())):
+                if tile != now:
+                    now, held = tile, {}
+                if b is None:
+                    held[a] = values[offsets[k] : offsets[k + 1]].copy()
+                elif overlap_at_least(held[a], held[b], int(required(len(held[a]), len(held[b]), percent))):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    # In a tile, the sets (b is null, and sorts first) come before the pairs.
+    return stream.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long")
 
 
 def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """sets (doc_id, n, key), classes (key, rep, members) and links (a, b: representatives)."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = table(spark, _sets(texts, width, percent, False), "leading")
     once = sets.filter("n > 0 and doc_id is not null").select("key", "doc_id").distinct()
     classes = table(spark, once.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "classes")
     # A doc_id that repeats with different texts can stand for several sets: (doc_id, key) picks the right one.
     reps = sets.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").select("doc_id", "n", "tokens").dropDuplicates(["doc_id"])
-    return sets.select("doc_id", "n", "key"), classes, table(spark, _verified(_candidates(reps, texts, width, percent), texts, width, percent), "links")
+    pairs = table(spark, _candidates(reps, texts, width, percent), "candidates")
+    slim = table(spark, sets.select("doc_id", "n", "key"), "sets")
+    release(spark, sets)
+    return slim, classes, table(spark, _verified(pairs, texts, width, percent), "links")
 
 
 def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from ..shipping import ship
-from . import ngram_join, packing, sharding, warc
+from . import ngram_join, packing, pieces, sharding, tokencount, warc
+from .shared import prepare
 
 
 def _documents(spark, sf_dir):
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _tokenizer(name):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark, sf_dir):
+    return pieces.round_trip(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+
+
 def op2_packing(spark, sf_dir):
     return packing.pack(_documents(spark, sf_dir))
 
@@ -19,8 +29,12 @@ def op3_ngram_join(spark, sf_dir):
     return ngram_join.near_copies(_documents(spark, sf_dir))
 
 
+def op4_token_counts(spark, sf_dir):
+    return tokencount.token_counts(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+
+
 def op8_warc(spark, sf_dir):
-    ship(spark)
+    prepare(spark)
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 

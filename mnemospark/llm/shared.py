@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..shipping import ship
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Rows in an Arrow batch. Texts are long, and a Python worker holds a batch at a time.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """What a session needs before these operators run on it."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +71,43 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables of ``table`` that nothing reads any more, and has Spark's cleaner delete the
+    shuffle files of plans that are gone; else these stay until the driver's next collection."""
+    for t in tables:
+        for path in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            drop_path(spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+BITMAP = 1 << 23
+
+
+def maybe_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Those rows whose key may be among ids (a table with a column of the same name), before any shuffle.
+
+    A bitmap of fixed size (1 MB whatever the input) goes to the executors; rows whose key isn't
+    wanted may pass, wanted ones always do. A join that decides must follow.
+    """
+    import numpy as np
+
+    spark = rows.sparkSession
+    cell = F.pmod(F.xxhash64(key), F.lit(BITMAP))
+    words = ids.select(cell.alias("c")).groupBy(F.shiftright("c", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(c & 63)))").alias("bits")).collect()  # at most BITMAP / 64 rows
+    bitmap = np.zeros(BITMAP // 64, np.int64)
+    for w, bits in words:
+        bitmap[w] = bits
+    packed = spark.sparkContext.broadcast(bitmap.tobytes())
+
+    def keep(batches):
+        cells = np.unpackbits(np.frombuffer(packed.value, np.uint8), bitorder="little").view(bool)
+        for b in batches:
+            yield b.filter(pa.array(cells[b.column(b.num_columns - 1).to_numpy()])).select(list(range(b.num_columns - 1)))
+
+    return rows.withColumn("_cell", cell).mapInArrow(keep, rows.schema)
+
+
 def slices(column: pa.Array, most_bytes: int = 1 << 20):
     """Yields (first row, rows) so that each piece of a string column holds about most_bytes;
     a longer text is a piece by itself."""
