@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ngram_join, packing, pieces, sharding, tokencount, warc
+from . import langid, lshforest, ngram_join, packing, pieces, rules, sharding, tokencount, warc
 from .shared import prepare
 
 
@@ -33,6 +33,15 @@ def op4_token_counts(spark, sf_dir):
     return tokencount.token_counts(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def op5_language_id(spark, sf_dir):
+    return langid.identify(_documents(spark, sf_dir))
+
+
+def op7_neighbours(spark, sf_dir):
+    prepare(spark)
+    return lshforest.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_warc(spark, sf_dir):
     prepare(spark)
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
@@ -42,6 +51,10 @@ def op9_sharding(spark, sf_dir):
     return sharding.shard(_documents(spark, sf_dir))
 
 
+def op10_quality_rules(spark, sf_dir):
+    return rules.judge(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
