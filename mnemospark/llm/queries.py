@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lshforest, ngram_join, packing, pieces, rules, sharding, tokencount, warc
+from . import langid, lshforest, ngram_join, packing, paragraphs, pieces, rules, sharding, tokencount, warc
 from .shared import prepare
 
 
@@ -37,6 +37,10 @@ def op5_language_id(spark, sf_dir):
     return langid.identify(_documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return paragraphs.spans(_documents(spark, sf_dir))
+
+
 def op7_neighbours(spark, sf_dir):
     prepare(spark)
     return lshforest.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

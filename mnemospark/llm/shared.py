@@ -84,26 +84,40 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
 BITMAP = 1 << 23
 
 
-def maybe_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Those rows whose key may be among ids (a table with a column of the same name), before any shuffle.
+def bitmap(spark: SparkSession, cells: DataFrame):
+    """A function that gives, on executors, which of BITMAP cells occur in cells (column c).
 
-    A bitmap of fixed size (1 MB whatever the input) goes to the executors; rows whose key isn't
-    wanted may pass, wanted ones always do. A join that decides must follow.
+    1 MB is broadcast whatever the input; what it lets pass must still be joined.
     """
     import numpy as np
 
+    words = cells.groupBy(F.shiftright("c", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(c & 63)))").alias("bits")).collect()  # at most BITMAP / 64 rows
+    packed = np.zeros(BITMAP // 64, np.int64)
+    for w, bits in words:
+        packed[w] = bits
+    sent = spark.sparkContext.broadcast(packed.tobytes())
+    held: list = []
+
+    def cells_of() -> "np.ndarray":
+        if not held:
+            held.append(np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").view(bool))
+        return held[0]
+
+    return cells_of
+
+
+def maybe_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Those rows whose key may be among ids (a table with a column of the same name), before any shuffle.
+
+    Rows whose key isn't wanted may pass, wanted ones always do. A join that decides must follow.
+    """
     spark = rows.sparkSession
     cell = F.pmod(F.xxhash64(key), F.lit(BITMAP))
-    words = ids.select(cell.alias("c")).groupBy(F.shiftright("c", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(c & 63)))").alias("bits")).collect()  # at most BITMAP / 64 rows
-    bitmap = np.zeros(BITMAP // 64, np.int64)
-    for w, bits in words:
-        bitmap[w] = bits
-    packed = spark.sparkContext.broadcast(bitmap.tobytes())
+    wanted = bitmap(spark, ids.select(cell.alias("c")))
 
     def keep(batches):
-        cells = np.unpackbits(np.frombuffer(packed.value, np.uint8), bitorder="little").view(bool)
         for b in batches:
-            yield b.filter(pa.array(cells[b.column(b.num_columns - 1).to_numpy()])).select(list(range(b.num_columns - 1)))
+            yield b.filter(pa.array(wanted()[b.column(b.num_columns - 1).to_numpy()])).select(list(range(b.num_columns - 1)))
 
     return rows.withColumn("_cell", cell).mapInArrow(keep, rows.schema)
 
