@@ -244,3 +244,19 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
 
 def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs))
+
+
+def keep_known(docs: DataFrame, network: Network | None, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose language is told with at least this score."""
+    text = F.when(F.col("text").rlike(r"\p{L}"), F.col("text").cast("string"))
+
+    def run(batches):
+        for b in batches:
+            text, rest = b.column(b.num_columns - 1), b.select(list(range(b.num_columns - 1)))
+            known = text.is_valid().to_numpy(zero_copy_only=False)
+            if network is None or not len(known):
+                yield rest.slice(0, 0)
+            else:
+                yield rest.filter(pa.array(known & (document_probabilities(network, text).max(axis=1) >= least)))
+
+    return docs.withColumn("_letters", text).mapInArrow(run, docs.schema)

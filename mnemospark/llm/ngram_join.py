@@ -224,3 +224,19 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(live, F.coalesce("n_similar", F.lit(0))).otherwise(0).cast("long").alias("n_similar"),
         F.when(live, F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(live, F.coalesce("class_id", "doc_id")).alias("class_id"),
     )
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """docs with one document of each group of near copies: that with the smallest doc_id. Rows that repeat
+    a doc_id are one document; one row of it stays."""
+    spark = docs.sparkSession
+    found = table(spark, near_copies(docs, width, percent).select("doc_id", "component_id"), "near-copies")
+    gone = table(spark, found.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
+    again = table(spark, again, "again")
+    doc_id = docs["doc_id"].cast("long")
+    kept = docs.join(gone, doc_id == F.col("_gone"), "left_anti")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, doc_id == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, doc_id == F.col("_again"), "left_anti").unionByName(once)

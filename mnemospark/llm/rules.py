@@ -197,11 +197,33 @@ def verdict(rules: list[list[Test]]) -> Column:
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
-    """doc_id, COUNTS, base_failed, kept for each row of docs; labels: doc_id, quality (0: reject)."""
-    stats = table(docs.sparkSession, statistics(docs), "statistics").withColumn("base_failed", base_failed())
+def fit(stats: DataFrame, labels: DataFrame, rows: int = ROWS) -> list[list[Test]]:
+    """The decision list for documents with the given statistics; labels: doc_id, quality (0: reject)."""
     known = labels.filter("quality is not null").select("doc_id", (F.col("quality") == 0).alias("bad"))
-    sample = stats.filter("not base_failed").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(rows)
+    sample = stats.filter(~base_failed()).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(rows)
     got = sample.select(*(ratio(k).alias(k) for k in RATIOS), "bad").toPandas()
-    rules = learn({k: got[k].to_numpy(np.float64) for k in RATIOS}, got["bad"].to_numpy(bool)) if len(got) else []
-    return stats.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & verdict(rules)).alias("kept"))
+    return learn({k: got[k].to_numpy(np.float64) for k in RATIOS}, got["bad"].to_numpy(bool)) if len(got) else []
+
+
+def judge(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
+    """doc_id, COUNTS, base_failed, kept for each row of docs."""
+    stats = table(docs.sparkSession, statistics(docs), "statistics")
+    rules = fit(stats, labels, rows)
+    return stats.select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
+    """The rows of docs, all columns, that neither the base rule nor the decision list rejects."""
+    rules = fit(table(docs.sparkSession, statistics(docs), "statistics"), labels, rows)
+    named = {c: f"_rule_{c}" for c in COUNTS}
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{c}` long" for c in named.values())])
+
+    def run(batches):
+        for b in batches:
+            x = counts(b.column(b.schema.get_field_index("text")).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x[:, k]) for k in range(len(COUNTS)))], names=[*b.schema.names, *named.values()])
+
+    failed, good = base_failed(), verdict(rules)
+    counted = docs.mapInArrow(run, schema)
+    for_rules = counted.select(F.struct("*").alias("doc"), *(F.col(v).alias(c) for c, v in named.items()))
+    return for_rules.filter(~failed & good).select("doc.*").select(*docs.columns)
