@@ -1,9 +1,11 @@
 """Substring deduplication: repeated passages and near copies of paragraphs, across documents.
 
-Two kinds of pieces of a text are compared. Lines are paragraphs: MinHash signatures of their word pairs
+Two kinds of pieces of a text are compared. Lines are paragraphs: MinHash signatures of their word triples
 are cut into bands, tuned (BANDS, ROWS_A_BAND) so that a pair at the threshold collides with a chance of
-98.6 % (more above it); in each bucket the members meet a representative, exact Jaccard decides, and those
-that fail meet another one in the next round, until none is left. Passages are runs of whole sentences
+98.1 % (more above it) and lines that merely hold the same passage rarely do; exact Jaccard decides.
+In a bucket of at most FEW members all are compared; in a larger one, all meet a representative, and those that fail are gathered anew by this and one more band, which
+they must share: lines that only hold the same passage part quickly, near copies stay together. What is
+left after two such rounds shares three bands and all of it is compared. Passages are runs of whole sentences
 that hold just over `words` words, from each start of a sentence; so a passage is found inside any
 paragraph, wherever it was put in, if it repeats word by word. Sentences start after a line break, after
 one of ``.!?``, or at a word in upper case.
@@ -31,7 +33,11 @@ from .graph import components
 from .shared import BITMAP, bitmap, release, slices, table
 
 WORDS = 50
-BANDS, ROWS_A_BAND, JACCARD = 6, 3, 0.8
+BANDS, ROWS_A_BAND, JACCARD = 10, 5, 0.8
+#: Most members of a bucket whose pairs are all compared at once.
+FEW = 256
+#: How often those that failed are gathered by one more band; then all that are left in a bucket are compared.
+REFINED = 2
 LINE, RUN = 0, 1
 _rng = np.random.default_rng(4711)
 _MULTIPLIERS = _rng.integers(1, 2**63, BANDS * ROWS_A_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,10 +99,10 @@ class Pieces:
         out[order[1:][same]] = True
         return out
 
-    def pairs(self, k: int) -> np.ndarray:
-        """Sorted distinct hashes of the word pairs of piece k."""
+    def grams(self, k: int) -> np.ndarray:
+        """Sorted distinct hashes of the word triples of piece k."""
         w = self.hashes[self.a[k] : self.b[k]]
-        return np.unique(bytescan.mix(w[:-1] * np.uint64(3) + w[1:])) if len(w) > 1 else w
+        return np.unique(bytescan.mix((w[:-2] * np.uint64(3) + w[1:-1]) * np.uint64(5) + w[2:])) if len(w) > 2 else np.unique(w)
 
 
 def bands(sets: list[np.ndarray]) -> np.ndarray:
@@ -137,28 +143,20 @@ def _links(texts: DataFrame, least: int, jaccard: float) -> DataFrame:
         lines = lines[once]
         if not len(lines):
             return None
-        found = bands([p.pairs(k) for k in lines])
+        found = bands([p.grams(k) for k in lines])
         return found.ravel().view(np.int64), np.repeat(p.hash[lines], BANDS).view(np.int64)
 
-    rows = _scan(texts, "bucket long, hash long", keys, least)
+    rows = table(spark, _scan(texts, "bucket long, hash long", keys, least), "buckets")
     crowded = table(spark, rows.groupBy("bucket").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).filter("low < high").select("bucket"), "crowded")
-    wanted = bitmap(spark, crowded.select(F.expr(f"bucket & {BITMAP - 1}").alias("c")))
-
-    def some(ids, p):
-        out = keys(ids, p)
-        if out is None:
-            return None
-        keep = wanted()[out[0] & (BITMAP - 1)]
-        return out[0][keep], out[1][keep]
-
-    members = table(spark, _scan(texts, "bucket long, hash long", some, least).distinct().join(crowded, "bucket").select("bucket", "hash"), "members")
+    members = table(spark, rows.join(crowded, "bucket").select("bucket", "hash").distinct(), "members")
+    release(spark, rows)
     involved = table(spark, members.select("hash").distinct(), "line-hashes")
     there = bitmap(spark, involved.select(F.expr(f"hash & {BITMAP - 1}").alias("c")))
 
     def sets(ids, p):
         lines = np.flatnonzero((p.kind == LINE) & there()[p.hash.view(np.int64) & (BITMAP - 1)])
         _, once = np.unique(p.hash[lines], return_index=True)
-        found = [p.pairs(k) for k in lines[once]]
+        found = [p.grams(k) for k in lines[once]]
         if not found:
             return None
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
@@ -166,21 +164,30 @@ def _links(texts: DataFrame, least: int, jaccard: float) -> DataFrame:
 
     sized = table(spark, _scan(texts, "hash long, grams array<long>", sets, least).join(involved, "hash", "left_semi").dropDuplicates(["hash"]), "grams")
     release(spark)
+    home = members.withColumnRenamed("bucket", "other")
     done = None
+    level = 0
     while True:
-        first = members.groupBy("bucket").agg(F.min("hash").alias("first"), F.max("hash").alias("last")).filter("first < last").select("bucket", "first")
-        todo = members.join(first, "bucket").filter("hash > first")
-        pairs = todo.select(F.col("first").alias("a"), F.col("hash").alias("b")).distinct()
+        level += 1
+        size = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("hash").alias("first"))
+        held = members.join(size, "bucket")
+        most = FEW if level <= REFINED else 1 << 62
+        few, many = held.filter(F.col("n").between(2, most)).select("bucket", "hash"), held.filter(F.col("n") > most).filter("hash > first")
+        all_ = few.withColumnRenamed("hash", "a").join(few.withColumnRenamed("hash", "b"), "bucket").filter("a < b").select("a", "b")
+        pairs = all_.unionByName(many.select(F.col("first").alias("a"), F.col("hash").alias("b"))).distinct()
         pairs = pairs.join(sized.select(F.col("hash").alias("a"), F.col("grams").alias("ga")), "a").join(sized.select(F.col("hash").alias("b"), F.col("grams").alias("gb")), "b")
         both = F.size(F.array_intersect("ga", "gb"))
         judged = table(spark, pairs.select("a", "b", (both >= jaccard * (F.size("ga") + F.size("gb") - both)).alias("near")), "judged")
         good = judged.filter("near").select("a", "b")
         done = good if done is None else done.unionByName(good)
         far = judged.filter("not near").select(F.col("a").alias("first"), F.col("b").alias("hash"))
-        left = table(spark, todo.join(far, ["first", "hash"]).select("bucket", "hash"), "members")
-        if left.isEmpty():
+        if level > REFINED:
+            return done
+        # Who failed in a large bucket meets those again with whom it shares another band as well.
+        again = many.join(far, ["first", "hash"]).select("bucket", "hash").join(home, "hash").filter("other != bucket")
+        members = table(spark, again.select(F.col("bucket").bitwiseXOR(F.xxhash64("other")).alias("bucket"), "hash").distinct(), "members")
+        if members.isEmpty():
             return done
-        members = left
 
 
 def spans(docs: DataFrame, words: int = WORDS, jaccard: float = JACCARD) -> DataFrame:

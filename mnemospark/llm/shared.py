@@ -91,10 +91,10 @@ def bitmap(spark: SparkSession, cells: DataFrame):
     """
     import numpy as np
 
-    words = cells.groupBy(F.shiftright("c", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(c & 63)))").alias("bits")).collect()  # at most BITMAP / 64 rows
+    words = cells.groupBy(F.shiftright("c", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(c & 63)))").alias("bits")).toArrow()  # at most BITMAP / 64 rows
     packed = np.zeros(BITMAP // 64, np.int64)
-    for w, bits in words:
-        packed[w] = bits
+    packed[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    del words
     sent = spark.sparkContext.broadcast(packed.tobytes())
     held: list = []
 
