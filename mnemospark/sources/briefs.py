@@ -24,9 +24,10 @@ KINDS = ("decision", "id", "path")
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """All files that hold a JSON object, as statistics count them: brief_id (file name) and the fields, loosely."""
-    rows = spark.read.schema(SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
-    rows = rows.withColumn("brief_id", F.col("_metadata.file_name")).withColumn("modified", F.col("_metadata.file_modification_time"))
-    return rows.filter("_broken is null").drop("_broken")
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("brief_id"), F.col("_metadata.file_modification_time").alias("modified"))
+    parsed = F.from_json("value", SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = files.select(parsed.alias("b"), "brief_id", "modified").filter("b is not null and b._broken is null")
+    return rows.select("b.*", "brief_id", "modified").drop("_broken")
 
 
 def strict(rows: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def units(spark, *texts, role="assistant"):
 def test_marked_statements(spark):
     u = units(spark, "The port is 3333 [C:80%] and the limit is 5 [C:90%, basis: log]\ntail", "[C:70%] The host is alpha.", "Aside. It costs 2.5 units [C:150%]", ("user", "Port is 1 [C:99%]"), "no marker")
     got = [(r.text, r.confidence) for r in ex.calibration(u).orderBy("ordinal").collect()]
-    assert got == [("The port is 3333", 0.8), ("and the limit is 5", 0.9), ("The host is alpha.", 0.7), ("It costs 2.5 units", 1.0)]
+    assert got == [("The port is 3333", 0.8), ("and the limit is 5", 0.9), ("The host is alpha", 0.7), ("It costs 2.5 units", 1.0)]
 
 
 def test_floor(spark):
