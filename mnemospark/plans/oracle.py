@@ -254,7 +254,7 @@ SQL: dict[str, str] = {
     "event_threshold_segments": f"SELECT event_id, user_id, CAST(coalesce(sum(CASE WHEN value >= {THRESHOLD} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS segment FROM events",
     "compaction_segments": """WITH b AS (SELECT user_id, event_id, (SELECT min(s.event_id) FROM events s WHERE s.user_id = e.user_id AND s.event_id > e.event_id AND s.event_type = 'purchase') AS summary_at FROM events e WHERE event_type = 'error'),
   p AS (SELECT user_id, summary_at, min(event_id) AS boundary_at FROM b WHERE summary_at IS NOT NULL GROUP BY ALL) SELECT user_id, coalesce(lag(summary_at) OVER (PARTITION BY user_id ORDER BY boundary_at), -1) + 1 AS begin, boundary_at, summary_at FROM p""",
-    "lesson_anti_append": f"WITH {OV}, {LES.strip()}, i AS (SELECT transcript_id, unit_idx, text, {_id('lesson', chr(39) * 2, 'text')} AS id FROM les), s AS (SELECT id FROM i WHERE transcript_id % 10 < 5 AND unit_idx < 2), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY transcript_id * 100000 + unit_idx) AS rn FROM i WHERE transcript_id % 10 >= 5 AND id NOT IN (SELECT id FROM s)) SELECT id, text FROM f WHERE rn = 1",
+    "lesson_anti_append": f"WITH {OV}, {LES.strip()}, i AS (SELECT transcript_id, unit_idx, text, {_id('lesson', chr(39) * 2, 'text')} AS id FROM les), s AS (SELECT id FROM i WHERE text LIKE '%run 0'), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY transcript_id * 100000 + unit_idx) AS rn FROM i WHERE transcript_id % 10 >= 5 AND id NOT IN (SELECT id FROM s)) SELECT id, text FROM f WHERE rn = 1",
     "latest_by_topic_stream": "SELECT user_id || ':' || event_type AS topic, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY ALL",
     "agent_runs": "WITH r AS (SELECT user_id AS run_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY ALL) SELECT run_id, n + 1 AS events, 't' || run_id AS thread_id, last * 10 AS input_tokens, last AS cached_input_tokens, CAST(NULL AS BIGINT) AS output_tokens, false AS parse_error FROM r",
     "session_texts": f"SELECT conv_id AS session, string_agg(role || ': ' || text, {NL} ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
