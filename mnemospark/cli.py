@@ -79,9 +79,10 @@ def _recall(args, config) -> None:
 def _recall_hook(args, config) -> None:
     from .operators.search import hook_lines, hook_payload
 
-    if os.environ.get("MNEMOSPARK_RECALL_HOOK", "1").strip().lower() in ("0", "false", "off"):
+    if os.environ.get("MNEMOSPARK_RECALL_HOOK") in ("0", "false", "off"):
         return
-    prompt = str(_hook().get("prompt") or "").strip()
+    given = _hook()
+    prompt = str(given["prompt"]).strip() if given.get("prompt") else ""
     if len(prompt) < 3:
         return
     spark, rows = _recalled(config, prompt, 24, 0)
@@ -155,18 +156,18 @@ def main(argv: list[str] | None = None) -> int:
     from .plans.memory import Config
 
     parser = argparse.ArgumentParser(prog="mnemospark")
-    sub = parser.add_subparsers(dest="command", required=True)
+    sub = parser.add_subparsers(required=True, dest="command")
     sub.add_parser("version")
     sub.add_parser("markers")
     sub.add_parser("stats").add_argument("--json", action="store_true")
     p = sub.add_parser("recall")
     p.add_argument("query")
-    p.add_argument("--limit", type=int, default=10)
-    p.add_argument("--budget", type=int, default=0)
+    p.add_argument("--limit", default=10, type=int)
+    p.add_argument("--budget", default=0, type=int)
     p.add_argument("--json", action="store_true")
     sub.add_parser("recall-hook")
     p = sub.add_parser("lessons")
-    p.add_argument("--limit", type=int, default=20)
+    p.add_argument("--limit", default=20, type=int)
     p.add_argument("--add")
     p.add_argument("--now")
     p.add_argument("--json", action="store_true")

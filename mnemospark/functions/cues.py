@@ -15,23 +15,23 @@ CORRECTION = (
 DECISION = (
     r"(?iU)\b" + alternatives("approved chose decided decision going_with locked will_use").replace(r"\s+", " ") + r"\b"
     r"|\b" + alternatives("вывод договорились принято выбра(?:л|ла|ли|но) реш(?:ени[ея]|ено|ил|ила|или)") + r"\b"
-    r"|\buse\s+.+?\s+not\s+.+"
+    r"|\buse\s.+\snot\s+."
 )
 _RULE_END = alternatives("always from_now_on going_forward in_future never next_time").replace(r"\s+", " ")
-LESSON_RULE = r"(?iU)\b(?:lesson|so|therefore|which means)\b[^.!?\n]{0,40}?\b" + _RULE_END + r"\b"
+LESSON_RULE = r"(?iU)\b(?:lesson|so|therefore|which means)\b[^\n!.?]{0,40}?\b" + _RULE_END + r"\b"
 LESSON_LABEL = (
-    r"(?imU)^\s*(?:[*-]\s*)?(?:[A-Z][0-9A-Z]{0,15}[ -])?LESSON(?:\s+LEARNED)?(?:\s*\[[^\]\n]{0,60}\])?"
-    r"(?:\s*\([^)\n]{0,60}\))?\s*[:\-—]\s*(.+?)\s*$"
+    r"(?imU)^\s*(?:[*-]\s*)?(?:[A-Z][0-9A-Z]{0,15}[ -])?LESSON(?:\s+LEARNED)?(?:\s*\[[^\n\]]{0,60}\])?"
+    r"(?:\s*[(][^\n)]{0,60}[)])?\s*[:\-—]\s*(.+?)\s*$"
 )
 STATE_WORD = r"(?iU)\b(?:currently|deployed|still)\b|\b(?:все ещё|всё ещё)\b|\b(?:развернут|развёрнут)\w*"
 STATE_NOUN = r"(?iU)(?:\b(?:branch|commit|current|latest|port|release|tag|version)\b|\b(?:верси|ветк|коммит|порт|релиз|текущ)\w*)"
-STATE_VALUE = r"(?U)\b\d+\.\d+(?:\.\d+)?\b|\b[0-9a-f]{7,40}\b|\b\d{3,6}\b"
+STATE_VALUE = r"(?U)\b\d{3,6}\b|\b[a-f0-9]{7,40}\b|\b\d+(?:[.]\d+){1,2}\b"
 INTENT = (
-    r"(?iU)^\s*(?:да,?\s+)?" + alternatives("i_will let_me please запусти запущу изучи изучу начни начну проведи проверь проверю сделай сделаю").replace(r"\s+", " ") + r"\b"
+    r"(?iU)^\s*(?:да\b,?\s+)?" + alternatives("i_will let_me please запусти запущу изучи изучу начни начну проведи проверь проверю сделай сделаю").replace(r"\s+", " ") + r"\b"
 )
 WINDOW = 40
-ENTITY = r"(?U)\b(?:[0-9a-f]{7,40}|[A-Z]+-\d+|#\d+)\b"
-NUMBER = r"(?U)\b\d+(?:[.,]\d+)?%?\b"
+ENTITY = r"(?U)\b(?:#\d+|[A-Z]+-\d+|[a-f0-9]{7,40})\b"
+NUMBER = r"(?U)\b\d+(?:[,.]\d+)?%?\b"
 
 
 def is_correction(line: Column) -> Column:

@@ -32,20 +32,20 @@ REGISTER = (
     r"|keep\s+in\s+mind|kudos|let's|lets\s+get)\b"
 )
 LIST_ITEM = r"(?U)^\s*(?:-|•|\*+|\d+[).])\s"
-BOLD_HEAD = r"(?U)^\s*\*\*[^*]+\*\*\s*[-:]"
+BOLD_HEAD = r"(?U)^\s*[*]{2}[^*]+[*]{2}\s*[-:]"
 CONCRETE = (
     rf"(?iU)\b(?:\d+|{_MONTHS}|{_DAYS}|tomorrow|tonight|yesterday)\b"
     rf"|\b(?:last|next|past|this)\s+(?:fall|month|night|semester|spring|summer|week|weekend|winter|year|{_DAYS})\b"
-    r"|\b\w+\s+ago\b|\bsince\s+\w+|\bin\s+(?:19|20)\d{2}\b"
+    r"|\bin\s+(?:19|20)\d{2}\b|\bsince\s+\w|\w\s+ago\b"
 )
-PROPER = r"(?<!^)(?<![.!?]\s)\b[A-Z][A-Za-z]{2,}\b"
+PROPER = r"(?<![!.?]\s)(?<!^)\b[A-Z][A-Za-z]{2,}\b"
 QUESTION = (
     r"(?iU)^\s*" + alternatives("any are can could did do does has have how is please should was were what when where which who whom whose why would") + r"\b"
     r"|\b(?:can|could|did|do|have|will|would)\s+you\b|\bany\s+(?:ideas|recommendations|suggestions|tips)\b"
 )
 CLAUSE = r"(?U)\s*(?:[,;]|\b(?:and|but|so)\b)\s+"
 LEAST_WORDS, MOST_WORDS = 4, 45
-NAME = r"(?U)\b(?:[A-Z][A-Za-z]+(?:-[0-9A-Z][0-9A-Za-z]*)?|[A-Z]{2,}[0-9]*[0-9A-Za-z-]*)\b"
+NAME = r"(?U)\b(?:[A-Z][A-Za-z]{1,}(?:-[0-9A-Z][0-9A-Za-z]*)?|[A-Z]{2,}[-0-9A-Za-z]*)\b"
 
 
 def sentences(text: Column) -> Column:
@@ -156,7 +156,7 @@ def object_head(words: Column) -> Column:
 def states_value(words: Column) -> Column:
     """Whether the first word that isn't a stop word has a digit or looks like a hash."""
     first = F.get(F.filter(F.transform(words, F.lower), lambda w: ~member(OBJECT_STOPS, w)), 0)
-    return F.coalesce(first.rlike(r"\d|^[0-9a-f]{7,40}$"), F.lit(False))
+    return F.coalesce(first.rlike(r"^[a-f0-9]{7,40}$|\d"), F.lit(False))
 
 
 def triple_topic(triple: Column) -> Column:
@@ -175,7 +175,7 @@ def triple_topic(triple: Column) -> Column:
 
 def slug_topic(text: Column) -> Column:
     """The first six words, or a hash where a text has none."""
-    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+(?:[._/#-][\p{L}\p{N}]+)*|[A-Za-z0-9_./#-]+"), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+(?:[#./_-][\p{L}\p{N}]+)*|[#./0-9A-Z_a-z-]+"), F.lit(0))
     words = F.slice(F.filter(words, lambda w: w.rlike(r"[\p{L}\p{N}]")), 1, 6)
     slug = F.regexp_replace(casefold(F.array_join(words, "-")), "^-+|-+$", "")
     digest = F.substring(F.sha1(F.encode(casefold(strip(F.regexp_replace(text, rf"(?U){SPACE}+", " "))), "utf-8")), 1, 12)

@@ -7,20 +7,21 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_DASHES = "-" * 5
 _NAME = "[0-9A-Za-z._-]*"
 _PART = "[0-9A-Za-z_-]{8,}"
 #: (pattern, replacement), applied in this order.
 RULES: tuple[tuple[str, str], ...] = (
-    ("(?s)-----BEGIN[ A-Z]*PRIVATE KEY-----.*?-----END[ A-Z]*PRIVATE KEY-----", "[REDACTED:private-key]"),
+    (f"(?s){_DASHES}BEGIN[ A-Z]*PRIVATE KEY{_DASHES}.*?{_DASHES}END[ A-Z]*PRIVATE KEY{_DASHES}", "[REDACTED:private-key]"),
     (r"\bsk-(?:proj-)?[0-9A-Za-z_-]{20,}\b", "[REDACTED:api-key]"),
     (r"\bgh[oprsu]_[0-9A-Za-z]{20,}\b", "[REDACTED:github-token]"),
     (r"\bxox[abprs]-[0-9A-Za-z-]{10,}\b", "[REDACTED:slack-token]"),
     (r"\bAKIA[A-Z0-9]{16}\b", "[REDACTED:aws-key]"),
     (rf"\beyJ{_PART}\.{_PART}\.{_PART}\b", "[REDACTED:jwt]"),
     (r"(?i)\bbearer\s+[0-9A-Za-z._-]{16,}", "Bearer [REDACTED:token]"),
-    (rf"(?i)\b({_NAME}(?:access[_-]?key|api[_-]?key|passwd|password|pwd|secret|token){_NAME})(\s*[:=]\s*)\S{{6,}}", "$1$2[REDACTED:secret]"),
-    (r"(?i)\b(credential|passphrase|password|secret|token|ключ|креденшл|пароль|секрет|токен)\w*\s+([0-9A-Za-z+/_-]{20,}={0,2})\b", "$1 [REDACTED:secret]"),
-    (r"\b[0-9A-Za-z._%+-]+@[0-9A-Za-z.-]+\.[A-Za-z]{2,}\b", "[REDACTED:email]"),
+    (rf"(?i)\b({_NAME}(?:access[_-]?key|api[_-]?key|passwd|password|pwd|secret|token){_NAME})(\s*[=:]\s*)\S{{6,}}", "$1$2[REDACTED:secret]"),
+    (r"(?i)\b(credential|passphrase|password|secret|token|ключ|креденшл|пароль|секрет|токен)\w*\s+([+/0-9A-Z_a-z-]{20,}={0,2})\b", "$1 [REDACTED:secret]"),
+    (r"\b[%+.0-9A-Z_a-z-]+@[.0-9A-Za-z-]+[.][A-Za-z]{2,}\b", "[REDACTED:email]"),
 )
 
 

@@ -40,7 +40,7 @@ def search_tokens(text: Column) -> Column:
 
 
 def latin_words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9']+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit("['0-9A-Za-z]+"), F.lit(0))
 
 
 def ascii_tokens(text: Column) -> Column:
@@ -82,7 +82,7 @@ def date_tokens(stamp: Column, mode: str = "full") -> Column:
     """Year, month name and weekday of the first date in a stamp, as search tokens; mode: full, month or off."""
     if mode not in ("full", "month"):
         return F.array().cast("array<string>")
-    iso = F.regexp_extract(stamp, r"(\d{4})[-/](\d{2})[-/](\d{2})", 0)
+    iso = F.regexp_extract(stamp, r"\d{4}[/-]\d{2}[/-]\d{2}", 0)
     year, month = F.substring(iso, 1, 4), F.substring(iso, 6, 2)
     day = F.try_to_date(F.replace(iso, F.lit("/"), F.lit("-")), "yyyy-MM-dd")
     first = F.try_to_date(F.concat(F.lit("2000-"), month, F.lit("-01")), "yyyy-MM-dd")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cues import live_state
 
-KIND_WEIGHT = {"decision": 1.0, "id": 0.8, "path": 0.7}
+KIND_WEIGHT = {"path": 0.7, "id": 0.8, "decision": 1.0}
 TITLE = "# Brief"
 MARKERS = (
     "## Marking what you claim\n\nWhere a statement can be checked, put its confidence right behind it: [C:NN%, basis: where it is from].\n"

@@ -44,8 +44,8 @@ def retention(results: DataFrame) -> DataFrame:
 # Probes taken from text.
 
 PROBE_PATH = r"(?U)(?<![\w.])/(?:[0-9A-Za-z._-]+/)+[0-9A-Za-z._-]+"
-PROBE_HASH = r"(?U)\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{7,40}\b"
-PROBE_FACT = r"(?U)\b(\d[\d.,]{0,12})\s+([A-Za-zЀ-ӿ]{4,20})"
+PROBE_HASH = r"(?U)\b(?=[a-f]*[0-9])(?=[0-9]*[a-f])[a-f0-9]{7,40}\b"
+PROBE_FACT = r"(?U)\b(\d[,.\d]{0,12})\s+([A-Za-zЀ-ӿ]{4,20})"
 FAMILY_LIMITS = {"path": 15, "hash": 10, "fact": 15, "claim": 15}
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import cues, grammar
 from ..functions.text import SPACE, casefold, latin_words, normalized, strip
 
-MARKER = r"\[C:\s*(\d{1,3})\s*%[^\]]*\]"
+MARKER = r"\[C:\s*" + r"(\d{1,3})" + r"\s*%[^\]]*\]"
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,7 @@ PATH = rf"(?U)(?<!\w)(?:[~.]?/[{_PATH_END}/]+|(?:[0-9A-Za-z_.-]+/)+[{_PATH_END}]
 _HEX = "[0-9A-Fa-f]"
 UUID = rf"(?U)\b{_HEX}{{8}}-(?:{_HEX}{{4}}-){{3}}{_HEX}{{12}}\b"
 HASH = rf"(?U)\b{_HEX}{{7,40}}\b"
-ISSUE = r"(?iU)\bobs\s+#\d+\b|#\d+\b"
+ISSUE = r"(?iU)#\d+\b|\bobs\s+#\d+\b"
 
 
 def _cleaned(text: Column) -> Column:

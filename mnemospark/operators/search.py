@@ -9,7 +9,7 @@ from ..functions.cues import content_terms, live_state
 from ..functions.text import casefold, cut, search_tokens, squeeze
 
 K1, B = 1.5, 0.75
-KIND_BOOST = {"lesson": 1.4, "claim": 1.0, "decision": 1.0, "id": 0.9, "path": 0.85}
+KIND_BOOST = {"path": 0.85, "id": 0.9, "decision": 1.0, "claim": 1.0, "lesson": 1.4}
 SUPERSEDED, RECENCY, PARENT = 0.4, 0.25, 1.0
 
 

@@ -21,24 +21,25 @@ _OFF = ("0", "false", "no", "off")
 
 @dataclass
 class Config:
-    harvesters: list[str] = field(default_factory=lambda: list(EXTRACTORS))
-    marker: str = MARKER
-    floor_paths: bool = True
-    floor_ids: bool = True
-    floor_decisions: bool = True
-    redact: bool = True
-    harvest_enabled: bool = True
     brief_dir: str = "~/.mnemospark/briefs"
-    budget_chars: int = 12_000
-    lessons_enabled: bool = True
     lessons_path: str = "~/.mnemospark/lessons.jsonl"
     lessons_in_brief: int = 10
+    lessons_enabled: bool = True
+    budget_chars: int = 12_000
+    harvest_enabled: bool = True
+    harvesters: list[str] = field(default_factory=lambda: list(EXTRACTORS))
+    marker: str = MARKER
+    redact: bool = True
+    floor_decisions: bool = True
+    floor_ids: bool = True
+    floor_paths: bool = True
 
     @classmethod
     def from_file(cls, path: str) -> "Config":
         """Known names only; others are ignored."""
-        with open(path, encoding="utf-8") as f:
-            given = json.load(f)
+        from pathlib import Path
+
+        given = json.loads(Path(path).read_text("utf-8"))
         known = {x.name for x in fields(cls)}
         return cls(**{k: v for k, v in given.items() if k in known})
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.lexicon import CORRECTION_STOPS, QUESTION_STOPS, RECALL_STOPS
+from ..functions.redact import RULES
 from ..operators.search import KIND_BOOST
 from .overlay import SQL as RAW
 from .settings import HOOK_PROMPTS, LIVE, SEARCHES, TASKS, THRESHOLD
@@ -27,21 +30,8 @@ def _list(words) -> str:
 
 
 def _redact(x: str) -> str:
-    name = "[A-Za-z0-9_.\\-]*"
-    rules = [
-        ("(?s)-----BEGIN[A-Z ]*PRIVATE KEY-----.*?-----END[A-Z ]*PRIVATE KEY-----", "[REDACTED:private-key]"),
-        ("\\bsk-(?:proj-)?[A-Za-z0-9_-]{20,}\\b", "[REDACTED:api-key]"),
-        ("\\bgh[pousr]_[A-Za-z0-9]{20,}\\b", "[REDACTED:github-token]"),
-        ("\\bxox[baprs]-[A-Za-z0-9-]{10,}\\b", "[REDACTED:slack-token]"),
-        ("\\bAKIA[0-9A-Z]{16}\\b", "[REDACTED:aws-key]"),
-        ("\\beyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\b", "[REDACTED:jwt]"),
-        ("(?i)\\bbearer\\s+[A-Za-z0-9._\\-]{16,}", "Bearer [REDACTED:token]"),
-        (f"(?i)\\b({name}(?:secret|token|password|passwd|pwd|api[_-]?key|access[_-]?key){name})(\\s*[:=]\\s*)\\S{{6,}}", "\\1\\2[REDACTED:secret]"),
-        ("(?i)\\b(password|passphrase|secret|credential|token)\\w*\\s+([A-Za-z0-9+/_\\-]{20,}={0,2})\\b", "\\1 [REDACTED:secret]"),
-        ("\\b[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}\\b", "[REDACTED:email]"),
-    ]
-    for pattern, to in rules:
-        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    for pattern, to in RULES:
+        x = f"regexp_replace({x}, '{pattern}', '{re.sub(r'[$]([0-9])', chr(92) + chr(92) + chr(92) + '1', to)}', 'g')"
     return x
 
 
@@ -56,7 +46,7 @@ cal AS (SELECT transcript_id, unit_idx, CAST(k - 1 AS INTEGER) AS k, text, least
 
 RET = f"""
 lined AS (SELECT transcript_id, unit_idx, role, generate_subscripts(string_split(text, {NL}), 1) AS k, unnest(string_split(text, {NL})) AS line FROM ov WHERE role IN ('assistant', 'user')),
-retl AS (SELECT transcript_id, unit_idx, k, trim(line) AS text, role <> 'assistant' AS external FROM lined WHERE length(trim(line)) BETWEEN 24 AND 360 AND regexp_matches(line, '(?i)\\b(correction|retract(ed|ion)?|refute[sd]?|refutation|corrected|was wrong|were wrong|not true|turns out|scratch that|disproved|disproven|overturn(ed)?|supersede[sd]?|no longer holds)\\b')),
+retl AS (SELECT transcript_id, unit_idx, k, trim(line) AS text, role <> 'assistant' AS external FROM lined WHERE length(trim(line)) BETWEEN 24 AND 360 AND regexp_matches(line, '(?i)\\b(corrected|correction|disproved|disproven|no longer holds|not true|overturn(ed)?|refutation|refute[sd]?|retract(ed|ion)?|scratch that|supersede[sd]?|turns out|was wrong|were wrong)\\b')),
 ret AS (SELECT transcript_id, unit_idx, CAST(k - 1 AS INTEGER) AS k, text, CASE WHEN external THEN 'retraction:external:' ELSE 'retraction:' END || array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b\\d+(?:[.,]\\d+)?%?\\b')))[1:3], '-') AS topic
   FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id, {_norm("text")} ORDER BY unit_idx, k) AS rn FROM retl) WHERE rn = 1)"""
 
@@ -66,13 +56,13 @@ les AS (SELECT transcript_id, unit_idx, 0 AS k, text, 'lesson:' || substr({_fold
   FROM (SELECT transcript_id, unit_idx, regexp_extract(text, '(?m)^LESSON: (.+)$', 1) AS body FROM ov WHERE role = 'assistant') WHERE length(body) BETWEEN 25 AND 500) WHERE rn = 1)"""
 
 FLOOR = f"""
-pathm AS (SELECT transcript_id, unit_idx, generate_subscripts(m, 1) AS k, unnest(m) AS raw FROM (SELECT transcript_id, unit_idx, regexp_extract_all(text, '(?:^|[^\\w])([~.]?/[A-Za-z0-9._~@%+=:,/-]+)', 1) AS m FROM ov WHERE role = 'assistant')),
+pathm AS (SELECT transcript_id, unit_idx, generate_subscripts(m, 1) AS k, unnest(m) AS raw FROM (SELECT transcript_id, unit_idx, regexp_extract_all(text, '(?:^|[^\\w])([.~]?/[%+,./0-9:=@A-Z_a-z~-]+)', 1) AS m FROM ov WHERE role = 'assistant')),
 path0 AS (SELECT transcript_id, unit_idx, k, rtrim(raw, '.,;:') AS text FROM pathm WHERE contains(trim(raw, '/'), '/')),
 paths AS (SELECT transcript_id, unit_idx, k, text FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id, {_norm("text")} ORDER BY unit_idx, k) AS rn FROM path0) WHERE rn = 1),
 idm AS (SELECT transcript_id, unit_idx, generate_subscripts(m, 1) AS k, unnest(m) AS raw FROM (SELECT transcript_id, unit_idx, regexp_extract_all(text, '\\b[0-9a-fA-F]{{7,40}}\\b') AS m FROM ov WHERE role = 'assistant')),
 id0 AS (SELECT * FROM idm i WHERE NOT regexp_full_match(raw, '\\d+') AND NOT EXISTS (SELECT 1 FROM paths p WHERE p.transcript_id = i.transcript_id AND p.unit_idx <= i.unit_idx AND contains(p.text, i.raw))),
 ids AS (SELECT transcript_id, unit_idx, k, raw AS text FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id, {_norm("raw")} ORDER BY unit_idx, k) AS rn FROM id0) WHERE rn = 1),
-decs AS (SELECT transcript_id, unit_idx, text FROM (SELECT transcript_id, unit_idx, rtrim(trim(text), '.,;:') AS text, row_number() OVER (PARTITION BY transcript_id, {_norm("rtrim(trim(text), '.,;:')")} ORDER BY unit_idx) AS rn FROM ov WHERE role = 'assistant' AND regexp_matches(text, '(?i)\\b(decided|chose|going with|will use|locked|approved|decision)\\b|\\buse\\s+.+?\\s+not\\s+.+')) WHERE rn = 1)"""
+decs AS (SELECT transcript_id, unit_idx, text FROM (SELECT transcript_id, unit_idx, rtrim(trim(text), '.,;:') AS text, row_number() OVER (PARTITION BY transcript_id, {_norm("rtrim(trim(text), '.,;:')")} ORDER BY unit_idx) AS rn FROM ov WHERE role = 'assistant' AND regexp_matches(text, '(?i)\\b(approved|chose|decided|decision|going with|locked|will use)\\b|\\buse\\s.+\\snot\\s+.')) WHERE rn = 1)"""
 
 #: All claims but atomic ones, with ids and places.
 CLAIMS = f"""{OV}, {CAL.strip()}, {RET.strip()}, {LES.strip()},

@@ -80,7 +80,7 @@ def write_private(path: str, text: str) -> str:
     os.makedirs(folder, mode=0o700, exist_ok=True)
     handle, temporary = tempfile.mkstemp(dir=folder, prefix=".brief-")
     try:
-        with os.fdopen(handle, "w", encoding="utf-8") as f:
+        with open(handle, mode="w", encoding="utf-8") as f:
             f.write(text)
             f.flush()
             os.fsync(f.fileno())
@@ -102,7 +102,7 @@ def harden(folder: str) -> None:
 
 def pretty(document: str) -> str:
     """The stored form: sorted keys, two blanks, a line break at the end."""
-    return json.dumps(json.loads(document), ensure_ascii=False, indent=2, sort_keys=True) + "\n"
+    return json.dumps(json.loads(document), indent=2, sort_keys=True, ensure_ascii=False) + "\n"
 
 
 BEGIN, END = "<!-- memory:begin -->", "<!-- memory:end -->"

@@ -171,7 +171,9 @@ def test_managed_block():
 
 
 def test_events(spark):
-    lines = ["noise", json.dumps({"type": "thread.started", "thread_id": "t1"}), json.dumps({"type": "item.completed", "item": {"type": "agent_message", "text": "hi"}}), json.dumps({"type": "item.completed", "item": {"type": "agent_message", "content": [{"text": "x"}, "y"]}}), json.dumps({"type": "turn.completed", "usage": {"input_tokens": 5}}), json.dumps({"type": "turn.completed", "usage": {"input_tokens": 9}})]
+    said = lambda **x: json.dumps({"item": {**x, "type": "agent_message"}, "type": "item.completed"})
+    used = lambda n: json.dumps({"usage": {"input_tokens": n}, "type": "turn.completed"})
+    lines = ["noise", json.dumps({"thread_id": "t1", "type": "thread.started"}), said(text="hi"), said(content=[{"text": "x"}, "y"]), used(5), used(9)]
     blob = spark.createDataFrame([("r", "\n".join(lines)), ("e", "junk")], "run_id string, value string")
     rows = events.lines_of(blob)
     assert [r.text for r in events.agent_messages(rows).orderBy("line").collect()] == ["hi", "x\ny"]
