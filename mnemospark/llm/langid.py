@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .shared import slices
+from .shared import lean, slices
 
 LANGUAGES, PER_LANGUAGE, SPAN = 64, 400, 256
 WINDOW, HIDDEN = 64, 8
@@ -239,7 +239,7 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
                 score = np.where(known, np.clip(p.max(axis=1, initial=0), 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -259,4 +259,4 @@ def keep_known(docs: DataFrame, network: Network | None, least: float = 0.5) ->
             else:
                 yield rest.filter(pa.array(known & (document_probabilities(network, text).max(axis=1) >= least)))
 
-    return docs.withColumn("_letters", text).mapInArrow(run, docs.schema)
+    return docs.withColumn("_letters", text).mapInArrow(lean(run), docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import lean, table
 
 BLOCK, TREES, BITS, CANDIDATES = 8192, 96, 24, 0.5
 
@@ -122,6 +122,6 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, id_: str = "ve
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     stream = data.unionByName(asked).repartition("block").sortWithinPartitions("block", "kind")
-    found = stream.mapInArrow(search, "query_id long, vec_id long, score double")
+    found = stream.mapInArrow(lean(search), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan
 from .graph import components
-from .shared import maybe_in, release, slices, table
+from .shared import lean, maybe_in, release, slices, table
 
 WIDTH = 5
 HOT = 100
@@ -87,7 +87,7 @@ def _sets(docs: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
                 tokens.append(s if whole else s[: p + p // 4 + 8])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), _lists(tokens)], names=["doc_id", "n", "key", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(make, "doc_id long, n int, key binary, tokens array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(make), "doc_id long, n int, key binary, tokens array<long>")
 
 
 def _candidates(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -172,7 +172,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), none, _lists(found)], names=["tile", "a", "b", "tokens"])
 
     shape = "tile long, a long, b long, tokens array<long>"
-    stream = some.mapInArrow(sets, shape).unionByName(tiled.select("tile", "a", "b", F.lit(None).cast("array<long>").alias("tokens")))
+    stream = some.mapInArrow(lean(sets), shape).unionByName(tiled.select("tile", "a", "b", F.lit(None).cast("array<long>").alias("tokens")))
 
     def check(batches):
         held: dict[int, np.ndarray] = {}
@@ -191,7 +191,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     # In a tile, the sets (b is null, and sorts first) come before the pairs.
-    return stream.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long")
+    return stream.repartition("tile").sortWithinPartitions("tile", F.col("b").asc_nulls_first()).mapInArrow(lean(check), "a long, b long")
 
 
 def links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .shared import slices, table
+from .shared import lean, slices, table
 
 BUCKETS = 16
 BUDGET = 65_536
@@ -38,7 +38,7 @@ def lengths(docs: DataFrame) -> DataFrame:
                 out[at : at + n] = np.diff(bytescan.words(*bytescan.utf8(text.slice(at, n)))[2])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(count), "doc_id long, n_tokens long")
 
 
 def boundaries(values: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan
 from .graph import components
-from .shared import BITMAP, bitmap, release, slices, table
+from .shared import BITMAP, bitmap, lean, release, slices, table
 
 WORDS = 50
 BANDS, ROWS_A_BAND, JACCARD = 10, 5, 0.8
@@ -130,7 +130,7 @@ def _scan(docs: DataFrame, schema: str, make, least: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x) if not isinstance(x, pa.Array) else x for x in out], names=names)
 
     names = [x.split()[0] for x in schema.split(", ")]
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _links(texts: DataFrame, least: int, jaccard: float) -> DataFrame:
@@ -248,7 +248,7 @@ def spans(docs: DataFrame, words: int = WORDS, jaccard: float = JACCARD) -> Data
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in zip(order, kinds)], names=["doc_id", "begin", "end", "class_id", "kept_doc", "removed"])
 
     ordered = at.repartition("doc_id").sortWithinPartitions("doc_id", "removed", "begin", "end")
-    return ordered.mapInArrow(merge, "doc_id long, begin int, end int, class_id long, kept_doc long, removed boolean")
+    return ordered.mapInArrow(lean(merge), "doc_id long, begin int, end int, class_id long, kept_doc long, removed boolean")
 
 
 def remove(docs: DataFrame, words: int = WORDS, jaccard: float = JACCARD) -> DataFrame:
@@ -278,4 +278,4 @@ def remove(docs: DataFrame, words: int = WORDS, jaccard: float = JACCARD) -> Dat
 
     docs = docs.withColumn("text", F.col("text").cast("string"))
     joined = docs.join(gone.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
-    return joined.mapInArrow(cut, docs.schema)
+    return joined.mapInArrow(lean(cut), docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .shared import slices
+from .shared import lean, slices
 from .transducer import Transducer
 
 BLANK = 0x2581
@@ -174,7 +174,7 @@ def encode(rows: DataFrame, path: str, text: str = "text", ids: str = "ids", gia
 
     rows = rows.withColumn(text, F.col(text).cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, `{ids}` array<int>")
+    return rows.mapInArrow(lean(run), f"{schema}, `{ids}` array<int>")
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -190,7 +190,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, text])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{schema}, `{text}` string")
+    return rows.mapInArrow(lean(run), f"{schema}, `{text}` string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -214,4 +214,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), _lists(parts, lengths, column.is_valid()), exact], names=["doc_id", "n_pieces", "ids", "exact"])
 
     rows = rows.withColumn("text", F.col("text").cast("string"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids array<int>, exact boolean")
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids array<int>, exact boolean")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .shared import slices, table
+from .shared import lean, slices, table
 
 ROWS = 20_000
 MIN_WORDS = 50
@@ -97,7 +97,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, k]) for k in range(len(COUNTS)))], names=["doc_id", *COUNTS])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def base_failed() -> Column:
@@ -224,6 +224,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x[:, k]) for k in range(len(COUNTS)))], names=[*b.schema.names, *named.values()])
 
     failed, good = base_failed(), verdict(rules)
-    counted = docs.mapInArrow(run, schema)
+    counted = docs.mapInArrow(lean(run), schema)
     for_rules = counted.select(F.struct("*").alias("doc"), *(F.col(v).alias(c) for c, v in named.items()))
     return for_rules.filter(~failed & good).select("doc.*").select(*docs.columns)

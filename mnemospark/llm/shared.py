@@ -81,6 +81,24 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def lean(f):
+    """f, a function of Arrow batches, that gives freed memory back after each batch: workers are kept from task to
+    task, and what their allocators hold would add up over the operators of a pipeline."""
+
+    def run(batches):
+        import ctypes
+
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        for out in f(batches):
+            yield out
+            del out
+            pa.default_memory_pool().release_unused()
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 BITMAP = 1 << 23
 
 
@@ -119,7 +137,7 @@ def maybe_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(wanted()[b.column(b.num_columns - 1).to_numpy()])).select(list(range(b.num_columns - 1)))
 
-    return rows.withColumn("_cell", cell).mapInArrow(keep, rows.schema)
+    return rows.withColumn("_cell", cell).mapInArrow(lean(keep), rows.schema)
 
 
 def slices(column: pa.Array, most_bytes: int = 1 << 20):

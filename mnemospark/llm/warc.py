@@ -30,7 +30,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, table
+from .shared import lean, new_path, table
 
 GZIP, LEVEL, CHUNK = 31, 6, 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -125,7 +125,7 @@ def write(pages: DataFrame) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], names=["path", "n_records"])
 
-    return table(spark, rows.mapInArrow(make, "path string, n_records long"), "warc-manifest")
+    return table(spark, rows.mapInArrow(lean(make), "path string, n_records long"), "warc-manifest")
 
 
 def normalise(manifest: DataFrame, keep_whole: bool = False) -> DataFrame:
@@ -155,7 +155,7 @@ def normalise(manifest: DataFrame, keep_whole: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}.warc.gz"]), pa.array([f"{folder}/{name}.idx"]), pa.array([n], pa.int64())], names=["path", "index", "n_records"])
 
     files = max(1, manifest.count())
-    done = table(spark, manifest.select("path").repartition(files).mapInArrow(make, "path string, index string, n_records long"), "warc-index")
+    done = table(spark, manifest.select("path").repartition(files).mapInArrow(lean(make), "path string, index string, n_records long"), "warc-index")
     if not keep_whole:
         from .shared import drop_path
 
@@ -197,7 +197,7 @@ def read(archives: DataFrame) -> DataFrame:
                         out.append((number(h["WARC-Record-ID"]), int(http["Content-Length"]), digest, h["WARC-Type"], number(h.get("WARC-Refers-To"))))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return archives.select("path", "index").repartition(max(1, archives.count())).mapInArrow(make, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.select("path", "index").repartition(max(1, archives.count())).mapInArrow(lean(make), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
