@@ -3,9 +3,9 @@
 Two kinds of pieces of a text are compared. Lines are paragraphs: MinHash signatures of their word triples
 are cut into bands, tuned (BANDS, ROWS_A_BAND) so that a pair at the threshold collides with a chance of
 98.1 % (more above it) and lines that merely hold the same passage rarely do; exact Jaccard decides.
-In a bucket of at most FEW members all are compared; in a larger one, all meet a representative, and those that fail are gathered anew by this and one more band, which
-they must share: lines that only hold the same passage part quickly, near copies stay together. What is
-left after two such rounds shares three bands and all of it is compared. Passages are runs of whole sentences
+In a bucket of at most FEW members all pairs are judged one by one. A larger one is split into blocks of
+about BLOCK triples, and each pair of blocks is a tile in which every pair is compared, unless links
+found in that tile already connect its ends; so the components are those of all colliding pairs. Passages are runs of whole sentences
 that hold just over `words` words, from each start of a sentence; so a passage is found inside any
 paragraph, wherever it was put in, if it repeats word by word. Sentences start after a line break, after
 one of ``.!?``, or at a word in upper case.
@@ -13,7 +13,7 @@ one of ``.!?``, or at a word in upper case.
 Classes are the connected components of verified links. In each, what is found in the smallest doc_id is
 kept, all else is removed. Within a document, later repeats of a piece are removed as well.
 
-No bucket is gathered in a task: representatives come from a pre-aggregated minimum, and a piece that a
+No bucket is gathered in a task, only two blocks of it are, and a piece that a
 third of all documents holds is one row after the aggregation of its hash.
 
 Cases: null and empty texts, and pieces of fewer than `words` words, have no piece. Repeated rows (equal
@@ -34,10 +34,10 @@ from .shared import BITMAP, bitmap, lean, release, slices, table
 
 WORDS = 50
 BANDS, ROWS_A_BAND, JACCARD = 10, 5, 0.8
-#: Most members of a bucket whose pairs are all compared at once.
+#: Most members of a bucket whose pairs are judged one by one; larger ones are compared in tiles.
 FEW = 256
-#: How often those that failed are gathered by one more band; then all that are left in a bucket are compared.
-REFINED = 2
+#: About as many triples are in a block of a large bucket; a task holds two blocks.
+BLOCK = 1 << 18
 LINE, RUN = 0, 1
 _rng = np.random.default_rng(4711)
 _MULTIPLIERS = _rng.integers(1, 2**63, BANDS * ROWS_A_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -164,30 +164,81 @@ def _links(texts: DataFrame, least: int, jaccard: float) -> DataFrame:
 
     sized = table(spark, _scan(texts, "hash long, grams array<long>", sets, least).join(involved, "hash", "left_semi").dropDuplicates(["hash"]), "grams")
     release(spark)
-    home = members.withColumnRenamed("bucket", "other")
-    done = None
-    level = 0
-    while True:
-        level += 1
-        size = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("hash").alias("first"))
-        held = members.join(size, "bucket")
-        most = FEW if level <= REFINED else 1 << 62
-        few, many = held.filter(F.col("n").between(2, most)).select("bucket", "hash"), held.filter(F.col("n") > most).filter("hash > first")
-        all_ = few.withColumnRenamed("hash", "a").join(few.withColumnRenamed("hash", "b"), "bucket").filter("a < b").select("a", "b")
-        pairs = all_.unionByName(many.select(F.col("first").alias("a"), F.col("hash").alias("b"))).distinct()
-        pairs = pairs.join(sized.select(F.col("hash").alias("a"), F.col("grams").alias("ga")), "a").join(sized.select(F.col("hash").alias("b"), F.col("grams").alias("gb")), "b")
-        both = F.size(F.array_intersect("ga", "gb"))
-        judged = table(spark, pairs.select("a", "b", (both >= jaccard * (F.size("ga") + F.size("gb") - both)).alias("near")), "judged")
-        good = judged.filter("near").select("a", "b")
-        done = good if done is None else done.unionByName(good)
-        far = judged.filter("not near").select(F.col("a").alias("first"), F.col("b").alias("hash"))
-        if level > REFINED:
-            return done
-        # Who failed in a large bucket meets those again with whom it shares another band as well.
-        again = many.join(far, ["first", "hash"]).select("bucket", "hash").join(home, "hash").filter("other != bucket")
-        members = table(spark, again.select(F.col("bucket").bitwiseXOR(F.xxhash64("other")).alias("bucket"), "hash").distinct(), "members")
-        if members.isEmpty():
-            return done
+    held = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    few = held.filter(F.col("n").between(2, FEW)).select("bucket", "hash")
+    pairs = few.withColumnRenamed("hash", "a").join(few.withColumnRenamed("hash", "b"), "bucket").filter("a < b").select("a", "b").distinct()
+    pairs = pairs.join(sized.select(F.col("hash").alias("a"), F.col("grams").alias("ga")), "a").join(sized.select(F.col("hash").alias("b"), F.col("grams").alias("gb")), "b")
+    both = F.size(F.array_intersect("ga", "gb"))
+    good = pairs.filter(both >= jaccard * (F.size("ga") + F.size("gb") - both)).select("a", "b")
+    many = table(spark, held.filter(F.col("n") > FEW).select("bucket", "hash"), "large-buckets")
+    return good if many.isEmpty() else good.unionByName(_tiled(many, sized, jaccard))
+
+
+def _tiled(members: DataFrame, sized: DataFrame, jaccard: float) -> DataFrame:
+    """Links a, b that connect what the near pairs of each bucket connect."""
+    heavy = members.join(sized.select("hash", F.size("grams").alias("w")), "hash").groupBy("bucket")
+    heavy = heavy.agg(F.ceil(F.sum("w") / BLOCK).cast("int").alias("blocks"), F.bit_xor("hash").alias("x"), F.bit_xor(F.xxhash64("hash")).alias("y"))
+    # Buckets of the same members, in several bands, are compared once.
+    heavy = heavy.groupBy("blocks", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "blocks")
+    own = members.join(heavy, "bucket").withColumn("own", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    rows = own.select("hash", tile.alias("tile"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
+    rows = rows.join(sized, "hash").select("tile", "side", "hash", "grams")
+
+    def check(batches):
+        now, side, names, sets = None, [], [], []
+
+        def links():
+            found = spanning(sets, np.array(side), jaccard)
+            ends = np.array(names, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ends[[x[k] for x in found]]) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            grams = b.column("grams")
+            values, offsets = np.asarray(grams.values), np.asarray(grams.offsets)
+            for k, (t, s, h) in enumerate(zip(*(b.column(c).to_pylist() for c in ("tile", "side", "hash")))):
+                if t != now:
+                    if len(sets) > 1:
+                        yield links()
+                    now, side, names, sets = t, [], [], []
+                side.append(s)
+                names.append(h)
+                sets.append(values[offsets[k] : offsets[k + 1]].copy())
+        if len(sets) > 1:
+            yield links()
+
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(lean(check), "a long, b long").distinct()
+
+
+def spanning(sets: list[np.ndarray], side: np.ndarray, jaccard: float) -> list[tuple[int, int]]:
+    """Near pairs that connect what all near pairs connect: those inside of side 0, or between sides 1 and 2."""
+    cut = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    size = np.diff(cut)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(ids), bool)
+    label = np.arange(len(sets))
+    place = np.arange(len(sets))
+    out = []
+    for x in place[side != 2]:
+        left = place[side == 2] if side[x] else place[:x]
+        left = left[(label[left] != label[x]) & (np.minimum(size[left], size[x]) >= jaccard * np.maximum(size[left], size[x]))]
+        mine = ids[cut[x] : cut[x + 1]]
+        mark[mine] = True
+        step = 16
+        while len(left):
+            part, left = left[:step], left[step:]
+            step = min(4 * step, 4096)
+            n = size[part]
+            begin = np.cumsum(n) - n
+            both = np.add.reduceat(mark[ids[np.repeat(cut[part] - begin, n) + np.arange(n.sum())]], begin, dtype=np.int64)
+            for y in part[both >= jaccard * (size[x] + n - both)]:
+                if label[y] != label[x]:
+                    out.append((int(x), int(y)))
+                    label[label == label[y]] = label[x]
+            left = left[label[left] != label[x]]
+        mark[mine] = False
+    return out
 
 
 def spans(docs: DataFrame, words: int = WORDS, jaccard: float = JACCARD) -> DataFrame:
