@@ -1,6 +1,8 @@
 """Substring deduplication: repeated passages and near copies of paragraphs, across documents.
 
-Two kinds of pieces of a text are compared. Lines are paragraphs: MinHash signatures of their word triples
+Two kinds of pieces of a text are compared. Paragraphs are lines, and where a line is shorter than
+`words` words, it and the lines after it until that is reached; the last one of a text also reaches to its
+end, so every word of a text of `words` words lies in one. MinHash signatures of their word triples
 are cut into bands, tuned (BANDS, ROWS_A_BAND) so that a pair at the threshold collides with a chance of
 98.1 % (more above it) and lines that merely hold the same passage rarely do; exact Jaccard decides.
 In a bucket of at most FEW members all pairs are judged one by one. A larger one is split into blocks of
@@ -72,14 +74,21 @@ class Pieces:
             sentence[1:n] |= np.isin(closing[:-1], [33, 46, 63])
         row_end = np.repeat(self.firsts[1:], np.diff(self.firsts))
         a = np.flatnonzero(line[:n])
-        b = np.flatnonzero(line)[1 : len(a) + 1]
-        long = b - a >= least
+        every = np.flatnonzero(line)
+        b = every[np.minimum(np.searchsorted(every, a + least), len(every) - 1)]
+        long = (b - a >= least) & (b <= row_end[a]) if n else np.zeros(0, bool)
+        a, b = a[long], b[long]
+        last = np.ones(len(a), bool)
+        if len(a):
+            last[:-1] = row_end[a[1:]] != row_end[a[:-1]]
+            last &= b < row_end[a]
+        a, b = np.concatenate([a, a[last]]), np.concatenate([b, row_end[a[last]] if n else b])
         c = np.flatnonzero(sentence[:n])
         every = np.flatnonzero(sentence)
         d = every[np.minimum(np.searchsorted(every, c + least), len(every) - 1)]
         runs = (d - c >= least) & (d <= row_end[c]) if n else np.zeros(0, bool)
-        self.a, self.b = np.concatenate([a[long], c[runs]]), np.concatenate([b[long], d[runs]])
-        self.kind = np.repeat(np.array([LINE, RUN], np.int8), [int(long.sum()), int(runs.sum())])
+        self.a, self.b = np.concatenate([a, c[runs]]), np.concatenate([b, d[runs]])
+        self.kind = np.repeat(np.array([LINE, RUN], np.int8), [len(a), int(runs.sum())])
         # Equal words give equal hashes, whichever kind a piece is of.
         self.hash = bytescan.mix((sums[self.b] - sums[self.a]) * down[self.a] + (self.b - self.a).astype(np.uint64))
         self.row = np.searchsorted(self.firsts, self.a, "right") - 1

@@ -372,3 +372,22 @@ def test_groups_of_varied_copies_stay_whole_in_large_buckets(spark_):
     for r in paragraphs._links(docs(spark_, texts).select("doc_id", "text"), 50, 0.8).collect():
         got.add((max(name[r.a], name[r.b]), min(name[r.a], name[r.b])))
     assert got <= near and joined(got, len(sets)) == joined(near, len(sets))
+
+
+def test_every_word_lies_in_a_banded_paragraph_and_wrapped_copies_collide():
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(f"w{rng.randrange(999)}" for _ in range(rng.randint(0, 70))) for _ in range(rng.randint(1, 12))) for _ in range(200)]
+    p = paragraphs.Pieces(pa.array([*texts, None, "", "one line"]), 50)
+    covered = np.zeros(p.firsts[-1], bool)
+    for a, b, row in zip(p.a, p.b, p.row):
+        assert p.firsts[row] <= a and b <= p.firsts[row + 1] and b - a >= 50
+    for k in np.flatnonzero(p.kind == paragraphs.LINE):
+        covered[p.a[k] : p.b[k]] = True
+    for row, n in enumerate(np.diff(p.firsts)):
+        assert covered[p.firsts[row] : p.firsts[row + 1]].all() if n >= 50 else not covered[p.firsts[row] : p.firsts[row + 1]].any()
+    wrapped = [[f"a{k}" for k in range(80)] for _ in range(2)]
+    wrapped[1][41] = "changed"
+    p = paragraphs.Pieces(pa.array(["\n".join(" ".join(w[k : k + 10]) for k in range(0, 80, 10)) for w in wrapped]), 50)
+    keys = [{tuple(x) for x in enumerate(paragraphs.bands([p.grams(k)])[0])} for k in np.flatnonzero(p.kind == paragraphs.LINE)]
+    rows = p.row[p.kind == paragraphs.LINE]
+    assert set.union(*[k for k, r in zip(keys, rows) if r == 0]) & set.union(*[k for k, r in zip(keys, rows) if r == 1])
