@@ -241,3 +241,12 @@ def test_queries_give_rows(spark, name):
 
     assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
     assert __spark_entry__.oracle_sql()[name]
+
+
+def test_lessons_of_every_transcript_reach_the_append(spark, tmp_path):
+    from mnemospark.plans import queries
+
+    rows = spark.createDataFrame([(1, 1, "assistant", "x"), (1, 3, "assistant", "y"), (2, 1, "assistant", "z")], "conv_id long, turn long, role string, text string")
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.lesson_anti_append(spark, str(tmp_path)).collect()
+    assert sorted(r.text for r in got) == [f"always verify the token owner before pushing run {k}" for k in (1, 2)]
