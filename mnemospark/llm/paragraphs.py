@@ -5,9 +5,9 @@ Two kinds of pieces of a text are compared. Paragraphs are lines, and where a li
 end, so every word of a text of `words` words lies in one. MinHash signatures of their word triples
 are cut into bands, tuned (BANDS, ROWS_A_BAND) so that a pair at the threshold collides with a chance of
 98.1 % (more above it) and lines that merely hold the same passage rarely do; exact Jaccard decides.
-In a bucket of at most FEW members all pairs are judged one by one. A larger one is split into blocks of
-about BLOCK triples, and each pair of blocks is a tile in which every pair is compared, unless links
-found in that tile already connect its ends; so the components are those of all colliding pairs. Passages are runs of whole sentences
+The pairs of a bucket of at most FEW members are gathered in tiles as op3 does it; a larger bucket is split into
+blocks of about BLOCK triples, and each pair of blocks is a tile. In a tile every pair is compared, unless links
+found in it already connect its ends; so the components are those of all colliding pairs. Passages are runs of whole sentences
 that hold just over `words` words, from each start of a sentence; so a passage is found inside any
 paragraph, wherever it was put in, if it repeats word by word. Sentences start after a line break, after
 one of ``.!?``, or at a word in upper case.
@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 
 from . import bytescan
 from .graph import components
+from .ngram_join import _tiles as near_tiles
 from .shared import BITMAP, bitmap, lean, release, slices, table
 
 WORDS = 50
 BANDS, ROWS_A_BAND, JACCARD = 10, 5, 0.8
-#: Most members of a bucket whose pairs are judged one by one; larger ones are compared in tiles.
+#: Most members of a bucket whose pairs are listed; larger ones are compared block by block.
 FEW = 256
 #: About as many triples are in a block of a large bucket; a task holds two blocks.
 BLOCK = 1 << 18
@@ -176,9 +177,10 @@ def _links(texts: DataFrame, least: int, jaccard: float) -> DataFrame:
     held = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
     few = held.filter(F.col("n").between(2, FEW)).select("bucket", "hash")
     pairs = few.withColumnRenamed("hash", "a").join(few.withColumnRenamed("hash", "b"), "bucket").filter("a < b").select("a", "b").distinct()
-    pairs = pairs.join(sized.select(F.col("hash").alias("a"), F.col("grams").alias("ga")), "a").join(sized.select(F.col("hash").alias("b"), F.col("grams").alias("gb")), "b")
-    both = F.size(F.array_intersect("ga", "gb"))
-    good = pairs.filter(both >= jaccard * (F.size("ga") + F.size("gb") - both)).select("a", "b")
+    # A set is sent once to each tile that holds pairs of it, not with each pair.
+    tiled = near_tiles(table(spark, pairs, "pairs"))
+    needs = tiled.select("tile", F.col("a").alias("hash")).union(tiled.select("tile", "b")).distinct()
+    good = _spanned(needs.join(sized, "hash").select("tile", F.lit(0).alias("side"), "hash", "grams"), jaccard)
     many = table(spark, held.filter(F.col("n") > FEW).select("bucket", "hash"), "large-buckets")
     return good if many.isEmpty() else good.unionByName(_tiled(many, sized, jaccard))
 
@@ -193,7 +195,11 @@ def _tiled(members: DataFrame, sized: DataFrame, jaccard: float) -> DataFrame:
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tile = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
     rows = own.select("hash", tile.alias("tile"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
-    rows = rows.join(sized, "hash").select("tile", "side", "hash", "grams")
+    return _spanned(rows.join(sized, "hash").select("tile", "side", "hash", "grams"), jaccard)
+
+
+def _spanned(rows: DataFrame, jaccard: float) -> DataFrame:
+    """Links a, b of `spanning`, tile by tile (columns tile, side, hash, grams)."""
 
     def check(batches):
         now, side, names, sets = None, [], [], []
