@@ -99,45 +99,94 @@ def lean(f):
     return run
 
 
-BITMAP = 1 << 23
+#: Most cells of a bitmap: 16 MB are broadcast, 32 MB pass the driver. It has 8 cells for each id up to 16 million ids;
+#: with more it lets more through, and from FULL cells on it isn't made.
+CELLS = 1 << 27
+FULL = 0.6
 
 
-def bitmap(spark: SparkSession, cells: DataFrame):
-    """A function that gives, on executors, which of BITMAP cells occur in cells (column c).
+class Bitmap:
+    """Which 64-bit values may be among those of a column, for functions on executors.
 
-    1 MB is broadcast whatever the input; what it lets pass must still be joined.
+    What isn't among them mostly gives False, what is always True. The size follows the number of values; where they'd
+    fill CELLS, everything passes. What passes must still be joined, or be harmless.
     """
-    import numpy as np
-
-    words = cells.groupBy(F.shiftright("c", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(c & 63)))").alias("bits")).toArrow()  # at most BITMAP / 64 rows
-    packed = np.zeros(BITMAP // 64, np.int64)
-    packed[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    del words
-    sent = spark.sparkContext.broadcast(packed.tobytes())
-    held: list = []
-
-    def cells_of() -> "np.ndarray":
-        if not held:
-            held.append(np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").view(bool))
-        return held[0]
 
-    return cells_of
-
-
-def maybe_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """Those rows whose key may be among ids (a table with a column of the same name), before any shuffle.
+    def __init__(self, values: DataFrame):
+        import numpy as np
+
+        spark, (column,) = values.sparkSession, values.columns
+        n = values.count()
+        cells = min(CELLS, max(1 << 16, 1 << (8 * n).bit_length()))
+        self.mask = cells - 1
+        self._sent, self._held = None, None
+        if 1 - np.exp(-n / cells) > FULL:
+            return
+        cell = values.select(F.col(column).bitwiseAND(F.lit(self.mask)).alias("c"))
+        words = cell.groupBy(F.shiftright("c", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(c & 63)))").alias("bits")).toArrow()  # at most CELLS / 64 rows
+        packed = np.zeros(cells // 64, np.int64)
+        packed[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+        del words
+        self._sent = spark.sparkContext.broadcast(packed.tobytes())
+
+    def __getstate__(self):
+        return self.__dict__ | {"_held": None}
+
+    def __call__(self, values):
+        """For an array of values (uint64 or int64), an array of bool."""
+        import numpy as np
+
+        if self._sent is None:
+            return np.ones(len(values), bool)
+        if self._held is None:
+            self._held = np.frombuffer(self._sent.value, np.uint8)
+        at = values.view(np.int64) & np.int64(self.mask)
+        return (self._held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def maybe_in(rows: DataFrame, key: str, ids: DataFrame, among: bool = True) -> DataFrame:
+    """Those rows whose key may be among ids (a table with a column of the same name), before any shuffle; with among=False,
+    all other rows.
 
     Rows whose key isn't wanted may pass, wanted ones always do. A join that decides must follow.
     """
-    spark = rows.sparkSession
-    cell = F.pmod(F.xxhash64(key), F.lit(BITMAP))
-    wanted = bitmap(spark, ids.select(cell.alias("c")))
+    cell = F.xxhash64(F.col(key).cast("long"))
+    wanted = Bitmap(ids.select(cell.alias("c")))
 
     def keep(batches):
         for b in batches:
-            yield b.filter(pa.array(wanted()[b.column(b.num_columns - 1).to_numpy()])).select(list(range(b.num_columns - 1)))
+            passed = wanted(b.column(b.num_columns - 1).to_numpy())
+            yield b.filter(pa.array(passed if among else ~passed)).select(list(range(b.num_columns - 1)))
+
+    return rows.withColumn(fresh(rows, "cell"), cell).mapInArrow(lean(keep), rows.schema)
+
+
+def fresh(rows: DataFrame, name: str) -> str:
+    """A column name that rows doesn't have."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+class Scratch:
+    """Tables of one operator: written in the shared folder, dropped by name as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, name: str, df: DataFrame) -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
-    return rows.withColumn("_cell", cell).mapInArrow(lean(keep), rows.schema)
+    def drop(self, *names: str) -> None:
+        """Deletes tables (all, without names) and has shuffle files of plans that are gone deleted."""
+        for name in names or list(self.paths):
+            for path in self.paths.pop(name, []):
+                drop_path(self.spark, path)
+        release(self.spark)
 
 
 def slices(column: pa.Array, most_bytes: int = 1 << 20):

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from mnemospark.llm import langid, ngram_join, packing, paragraphs, pieces, rules, sharding, tokencount
-from mnemospark.llm.shared import prepare
+from mnemospark.llm.shared import Scratch, prepare
 
 public = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -392,3 +392,51 @@ def test_every_word_lies_in_a_banded_paragraph_and_wrapped_copies_collide():
     keys = [{tuple(x) for x in enumerate(paragraphs.bands([p.grams(k)])[0])} for k in np.flatnonzero(p.kind == paragraphs.LINE)]
     rows = p.row[p.kind == paragraphs.LINE]
     assert set.union(*[k for k, r in zip(keys, rows) if r == 0]) & set.union(*[k for k, r in zip(keys, rows) if r == 1])
+
+
+def runs_by_brute_force(texts, words):
+    """Bytes of each (doc, removed) that repeated runs of words cover."""
+    places = {}
+    for i, t in enumerate(texts):
+        found = [(m.start(), m.end(), m[0]) for m in WORD.finditer(t or "")]
+        for k in range(len(found) - words + 1):
+            places.setdefault(tuple(w for _, _, w in found[k : k + words]), []).append((i, found[k][0], found[k + words - 1][1]))
+    out = collections.defaultdict(set)
+    for own in places.values():
+        doc, begin, end = own[0]
+        for i, x, z in own if len(own) > 1 else ():
+            out[i, (i, x) != (doc, begin)] |= set(range(max(x, end) if i == doc and x != begin else x, z))
+    return {k: v for k, v in out.items() if v}
+
+
+def repeating_texts(seed, n):
+    rng = random.Random(seed)
+    base = [[f"w{rng.randrange(60)}" for _ in range(rng.randint(60, 200))] for _ in range(8)]
+    texts = []
+    for _ in range(n):
+        t = []
+        for _ in range(rng.randint(1, 4)):
+            b = rng.choice(base)
+            x = rng.randrange(len(b) - 12)
+            t += b[x : x + rng.randint(5, 80)] + [f"u{rng.randrange(10**6)}" for _ in range(rng.randint(0, 6))]
+        texts.append(rng.choice([" ", "\n", "  "]).join(t))
+    return [*texts, "la " * 90, "x " * 300 + "y" * 400 + " " + "z " * 60, "", None, "a b c"]
+
+
+@pytest.mark.parametrize("hot", [paragraphs.HOT, 3])
+def test_repeated_runs_equal_brute_force(spark_, monkeypatch, hot):
+    monkeypatch.setattr(paragraphs, "HOT", hot)
+    texts = repeating_texts(5, 60)
+    scratch = Scratch(spark_)
+    got = collections.defaultdict(set)
+    rows = docs(spark_, texts + texts[:1], [*range(len(texts)), 0])  # a repeated row is one document
+    for r in paragraphs._merged(paragraphs._passages(paragraphs._texts(rows), 12, scratch)).collect():
+        got[r.doc_id, r.removed] |= set(range(r.begin, r.end))
+    assert got == runs_by_brute_force(texts, 12)
+
+
+def test_bands_follow_the_threshold():
+    for jaccard in (0.5, 0.6, 0.7, 0.8, 0.9, 0.95):
+        bands, rows = paragraphs.tuning(jaccard)
+        assert 1 - (1 - jaccard**rows) ** bands >= 0.98 and bands * rows <= 128
+    assert paragraphs.tuning(0.8) == (10, 5)
