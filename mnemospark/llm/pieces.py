@@ -4,16 +4,16 @@ Encoding is a search through the lattice of pieces. Its weights are those of BPE
 allowed exactly if each two neighbouring pieces encode themselves, all else weighs -inf (see
 transducer.py); so the one finite way is the library's result, which the sum of scores, as for unigram
 models, would not be. Words (cut before a blank, which no piece holds elsewhere than in its front) run
-through a compiled transducer in lockstep, forward; then every word is traced back by itself from the
-last piece at each position. A word too long for that is split into chunks: each gives the max-plus
-transfer matrix between the boundary states of its cuts, an associative scan multiplies them, and the
-chunks are traced back independently.
+through a compiled transducer in lockstep, all words of a batch side by side; then every word is traced back by itself from the
+last piece at each position. A text longer than CHUNK symbols is split into chunks, wherever the cuts fall: each chunk gives the
+max-plus transfer matrix between the boundary states of its cuts, an associative scan multiplies them, and the chunks are traced
+back independently. Words longer than LONG are cut inside, too.
 
 Decoding turns ids into text: byte pieces become bytes, the blank added in front is taken away.
 
 Cases: a null text has null ids and decodes to null; an empty one has none. Characters without a piece
 become byte pieces. Repeated rows are encoded one by one. An empty table gives no rows. Other columns
-are kept by encode and decode.
+are kept by encode and decode; the column that is added must have a name that no other has.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from . import bytescan
 from .shared import lean, slices
-from .transducer import Transducer
+from .transducer import Transducer, cuts_of
 
 BLANK = 0x2581
-LONG = 1024
+LONG, CHUNK = 1024, 4096
 
 
 class Model:
@@ -73,7 +73,7 @@ class Model:
         self.bytes = np.frombuffer(b"".join(shown), np.uint8)
         self.begin = np.concatenate([[0], np.cumsum([len(x) for x in shown])])
 
-    def encode(self, text: pa.Array, long: int = LONG, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, text: pa.Array, long: int = LONG, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offset of each row's."""
         data, offsets = bytescan.utf8(text)
         symbols = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -94,9 +94,20 @@ class Model:
         lengths = np.diff(np.append(starts, n))
         last = np.zeros(n, np.int64)
         counts = np.zeros(len(starts), np.int64)
-        short = lengths <= long
+        short = np.ones(len(starts), bool)
+        word = np.searchsorted(starts, rows)
+        cuts: dict[int, np.ndarray] = {}
+        wide = np.add.reduceat(np.append(lengths > long, False), np.minimum(word[:-1], len(lengths)), dtype=np.int64) * (np.diff(word) > 0)
+        for r in np.flatnonzero((np.diff(rows) > chunk) | (wide > 0)):
+            cuts[r] = cuts_of(starts[word[r] : word[r + 1]], lengths[word[r] : word[r + 1]], rows[r], rows[r + 1], chunk, long)
+            at = np.searchsorted(starts, cuts[r], "right") - 1
+            short[at[starts[at] < cuts[r]]] = False
         counts[short] = self.machine.run(symbols, starts[short], lengths[short], last)
-        others = {int(k): np.array(self.machine.long_word(symbols[starts[k] : starts[k] + lengths[k]].tolist(), chunk)) for k in np.flatnonzero(~short)}
+        others = {}
+        for r, own in cuts.items():
+            a, b = word[r], word[r + 1]
+            _, found = self.machine.giant(symbols, starts[a:b], lengths[a:b], counts[a:b], own, True)
+            others |= {int(a) + w: np.array(ids) for w, ids in found.items()}
         for k, ids in others.items():
             counts[k] = len(ids)
         ends = np.cumsum(counts)
@@ -158,8 +169,14 @@ def _lists(ids: list[np.ndarray], lengths: list[np.ndarray], valid: pa.Array) ->
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()), mask=mask)
 
 
-def encode(rows: DataFrame, path: str, text: str = "text", ids: str = "ids", giant: int = LONG) -> DataFrame:
+def _unused(rows: DataFrame, name: str) -> None:
+    if name.lower() in {c.lower() for c in rows.columns}:
+        raise ValueError(f"there is a column {name} already; name the new one otherwise")
+
+
+def encode(rows: DataFrame, path: str, text: str = "text", ids: str = "ids", chunk: int = CHUNK) -> DataFrame:
     """rows with a column of piece ids of the column `text`; path: a model file on every executor."""
+    _unused(rows, ids)
 
     def run(batches):
         m = model(path)
@@ -167,7 +184,7 @@ def encode(rows: DataFrame, path: str, text: str = "text", ids: str = "ids", gia
             column = b.column(b.schema.get_field_index(text))
             parts, lengths = [], []
             for at, n in slices(column):
-                x, offsets = m.encode(column.slice(at, n), giant)
+                x, offsets = m.encode(column.slice(at, n), chunk=chunk)
                 parts.append(x)
                 lengths.append(np.diff(offsets))
             yield pa.RecordBatch.from_arrays([*b.columns, _lists(parts, lengths, column.is_valid())], names=[*b.schema.names, ids])
@@ -179,6 +196,7 @@ def encode(rows: DataFrame, path: str, text: str = "text", ids: str = "ids", gia
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """rows with a column of the texts that piece ids stand for."""
+    _unused(rows, text)
 
     def run(batches):
         m = model(path)

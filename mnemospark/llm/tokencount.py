@@ -4,8 +4,9 @@ The vocabulary and merges of a byte-level BPE file become a deterministic transd
 transitions carry the number of tokens they emit (transducer.py). Where it is reset, a smaller
 automaton over classes of characters decides: the pre-tokenizer, whose borders depend on at most the
 character before and the three after, so that all borders of a batch come from array operations. A
-pre-token too long for the lockstep run is cut into chunks whose boundary-state maps are composed by
-an associative scan.
+text of more than CHUNK bytes is cut into chunks, wherever the cuts fall: each gives a map from the boundary states of its left cut
+to those of its right one with the tokens emitted in between, and a parallel prefix scan composes the maps; pre-tokens longer
+than LONG are cut inside, too. The count is that of the composed map: no ids are made.
 
 Counts are those of the `tokenizers` library for the same file: no special tokens are added, and a
 special string inside a text is one token.
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 
 from . import bytescan
 from .shared import lean, slices
-from .transducer import Transducer
+from .transducer import Transducer, cuts_of
 
 LIMIT = 512
-LONG = 2048
+LONG, CHUNK = 1024, 4096
 WHITE, LETTER, NUMBER, OTHER = range(4)
 SPACES = [0x20, *range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -114,7 +115,7 @@ class Counter:
         self.machine = Transducer(tokens, encode, 1 << 20)
         self.kinds = np.frombuffer(zlib.decompress(packed_classes), np.uint8)
 
-    def count(self, text: pa.Array, long: int = LONG) -> np.ndarray:
+    def count(self, text: pa.Array, long: int = LONG, chunk: int = CHUNK) -> np.ndarray:
         data, offsets = bytescan.utf8(text)
         if len(data) == 0:
             return np.zeros(len(text), np.int64)
@@ -137,17 +138,30 @@ class Counter:
             edge[np.searchsorted(first, (a, b))] = True
         starts = first[borders(symbols, self.kinds[symbols], edge)]
         lengths = np.diff(np.append(starts, len(data)))
-        short = lengths <= long
         counts = np.zeros(len(starts), np.int64)
-        counts[short] = self.machine.run(data, starts[short], lengths[short])
-        for k in np.flatnonzero(~short):
-            counts[k] = len(self.machine.long_word(data[starts[k] : starts[k] + lengths[k]].tolist()))
+        fixed = np.zeros(len(starts), bool)
         for a, b in specials:
             x, y = np.searchsorted(starts, (a, b))
-            counts[x:y] = 0
+            fixed[x:y] = True
             counts[x] = 1
+        word = np.searchsorted(starts, offsets)
+        short = ~fixed
+        cuts: dict[int, np.ndarray] = {}
+        wide = np.add.reduceat(np.append(lengths > long, False), np.minimum(word[:-1], len(lengths)), dtype=np.int64) * (np.diff(word) > 0)
+        for r in np.flatnonzero((np.diff(offsets) > chunk) | (wide > 0)):
+            own = cuts_of(starts[word[r] : word[r + 1]], lengths[word[r] : word[r + 1]], offsets[r], offsets[r + 1], chunk, long)
+            at = np.searchsorted(starts, own, "right") - 1
+            own, at = own[~fixed[at]], at[~fixed[at]]  # a special string is one token, whatever is cut
+            if len(own):
+                cuts[r] = own
+                short[at[starts[at] < own]] = False
+        counts[short] = self.machine.run(data, starts[short], lengths[short])
         sums = np.concatenate([[0], np.cumsum(counts)])
-        return np.diff(sums[np.searchsorted(starts, offsets)])
+        out = np.diff(sums[word])
+        for r, own in cuts.items():
+            a, b = word[r], word[r + 1]
+            out[r] = self.machine.giant(data, starts[a:b], lengths[a:b], counts[a:b], own, False)[0]
+        return out
 
 
 _held: dict[str, Counter] = {}

@@ -9,7 +9,8 @@ within one token's length. Transitions are annotated with the number of tokens t
 the hypothesis that ends here. The automaton is compiled lazily, state by state, as texts need it, into
 an open-addressing table, which runs over all words of a batch in lockstep.
 
-Words too long for that are cut into chunks; see ``long_word``.
+Long texts are cut into chunks; see ``giant``: each chunk gives the max-plus transfer matrix between the boundary
+states of its cuts, and an associative scan combines them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import numpy as np
 
 SYMBOL_BITS = 21
 STATES = 400_000
+#: Words cut in a place, with their matrices, that are kept.
+SEGMENTED = 100_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 #: Stands for no token ago; a hypothesis that begins after more tokens than end here is negative.
 ZERO = 512
@@ -46,6 +49,9 @@ class Transducer:
         for key in self.child:
             self.open[key >> SYMBOL_BITS] = 1
         self.longest = max(map(len, tokens))
+        self.segmented: dict = {}
+        #: Texts that went through the scan over chunks.
+        self.scans = 0
         self._reset()
 
     def _reset(self) -> None:
@@ -214,47 +220,109 @@ class Transducer:
                 row[j] = count[s] + 1
         return row, last
 
-    def long_word(self, symbols: list[int], size: int = 4096) -> list[int]:
-        """Token ids of a word of any length, by a max-plus scan over chunks.
+    def segments(self, word: tuple, cuts: tuple):
+        """The states at the cuts of a word (its begin and end included), and of each segment between two of them the
+        transfer matrix and a trace for each entry."""
+        key = word, cuts
+        found = self.segmented.get(key)
+        if found is None:
+            symbols, n = list(word), len(word)
+            states = [self.crossing(symbols, c) for c in (0, *cuts, n)]
+            states[-1] = [(s, t) for s, t in states[-1] if s + len(self.symbols(t)) == n]
+            parts = []
+            for left, right in zip(states, states[1:]):
+                rows = [self.chunk(symbols, e, right) for e in left]
+                parts.append((np.stack([r for r, _ in rows]), [t for _, t in rows]))
+            if len(self.segmented) >= SEGMENTED:
+                self.segmented.clear()
+            found = self.segmented[key] = states, parts
+        return found
 
-        Each chunk gives the matrix from the boundary states of its left cut to those of its right
-        one. The product of all has one finite way for each final state that is valid; the ways are
-        found by an associative scan, and each chunk is then traced back by itself.
-        """
-        n = len(symbols)
-        if n == 0:
-            return []
-        cuts = [0, *range(size, n, size)]
-        if n - cuts[-1] or len(cuts) == 1:
-            cuts.append(n)
-        states = [self.crossing(symbols, c) for c in cuts]
-        states[-1] = [(s, t) for s, t in states[-1] if s + len(self.symbols(t)) == n]
-        matrices, traces = [], []
-        for left, right in zip(states, states[1:]):
-            rows = [self.chunk(symbols, e, right) for e in left]
-            matrices.append(np.stack([r for r, _ in rows]))
-            traces.append([t for _, t in rows])
-        prefix = scan(matrices)
-        # From the right: the one way through all cuts.
-        at = int(np.argmax(prefix[-1][0]))
-        way = [at]
-        for k in range(len(matrices) - 1, 0, -1):
-            at = int(np.argmax(prefix[k - 1][0] + matrices[k][:, at]))
-            way.append(at)
-        way.append(0)
-        way.reverse()
+    def _ids(self, word: tuple, cuts: tuple, way: list[int]) -> list[int]:
+        """Token ids of a word, traced back segment by segment; way: the state taken at each cut, begin and end included."""
+        states, parts = self.segments(word, cuts)
         out: list[int] = []
-        for k, trace in enumerate(traces):
+        for k, (_, traces) in enumerate(parts):
             entry, (s, t) = states[k][way[k]], states[k + 1][way[k + 1]]
             if (s, t) == entry:
                 continue
-            own, begin, last = [t], entry[0] + (len(self.symbols(entry[1])) if entry[1] >= 0 else 0), trace[way[k]]
+            own, begin, last = [t], entry[0] + (len(self.symbols(entry[1])) if entry[1] >= 0 else 0), traces[way[k]]
             while s > begin:
                 own.append(last[s])
                 s -= len(self.symbols(last[s]))
             out += reversed(own)
         return out
 
+    def giant(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, counts: np.ndarray, cuts: np.ndarray, ids: bool):
+        """Number of tokens of a text, and the ids of the words that its cuts run through (a dict, empty unless ids is set).
+
+        starts, lengths, counts: of all its words in order; counts (those of words without a cut are used) come from the
+        lockstep run. A chunk's matrix leads from the boundary states of its left cut to those of its right one: the rest of the word
+        that the left one runs through, the whole words in between, and the begin of the word that the right one runs through.
+        An associative scan multiplies the matrices; then the one finite way gives the state at each cut, and every chunk is
+        traced back by itself.
+        """
+        self.scans += 1
+        at = np.searchsorted(starts, cuts, "right") - 1
+        held: dict[int, list[int]] = {}
+        bounds: list[tuple[int, int] | None] = [None]
+        for w, c in zip(at.tolist(), cuts.tolist()):
+            c -= int(starts[w])
+            if c:
+                own = held.setdefault(w, [])
+                bounds.append((w, len(own)))
+                own.append(c)
+            else:
+                bounds.append(None)
+        bounds.append(None)
+        words = {w: (tuple(symbols[starts[w] : starts[w] + lengths[w]].tolist()), tuple(c)) for w, c in held.items()}
+        parts = {w: self.segments(*x)[1] for w, x in words.items()}
+        whole = counts.copy()
+        whole[list(held)] = 0
+        sums = np.concatenate([[0], np.cumsum(whole)])
+        edge = [0, *np.searchsorted(starts, cuts).tolist(), len(starts)]  # the first word that begins behind each cut
+        none = np.zeros((1, 1))
+        matrices = []
+        for j, (left, right) in enumerate(zip(bounds, bounds[1:])):
+            if left and right and left[0] == right[0]:
+                matrices.append(parts[right[0]][right[1]][0])
+                continue
+            head = parts[left[0]][left[1] + 1][0].max(axis=1)[:, None] if left else none
+            tail = parts[right[0]][0][0][:1] if right else none
+            matrices.append(head + (sums[edge[j + 1]] - sums[edge[j]]) + tail)
+        prefix = scan(matrices)
+        total = int(prefix[-1][0].max())
+        if not ids:
+            return total, {}
+        state = [0] * len(bounds)
+        for k in range(len(matrices) - 1, 0, -1):
+            state[k] = int(np.argmax(prefix[k - 1][0] + matrices[k][:, state[k + 1]]))
+        taken = {w: [0] for w in held}
+        for b, x in zip(bounds, state):
+            if b:
+                taken[b[0]].append(x)
+        out = {}
+        for w, way in taken.items():
+            way.append(int(np.argmax(parts[w][-1][0][way[-1]])))
+            out[w] = self._ids(*words[w], way)
+        return total, out
+
+    def long_word(self, symbols: list[int], size: int = 4096) -> list[int]:
+        """Token ids of one word of any length, by the same scan over chunks of `size` symbols."""
+        n = len(symbols)
+        if n == 0:
+            return []
+        word = np.array(symbols)
+        _, found = self.giant(word, np.zeros(1, np.int64), np.array([n]), np.zeros(1, np.int64), np.arange(size, n, size), True)
+        return found[0] if found else self._ids(tuple(symbols), (), [0, int(np.argmax(self.segments(tuple(symbols), ())[1][0][0][0]))])
+
+
+def cuts_of(starts: np.ndarray, lengths: np.ndarray, begin: int, end: int, chunk: int, long: int) -> np.ndarray:
+    """Where a text from begin to end is cut: every `chunk` symbols, and every `long` ones inside a word longer than that."""
+    every = np.arange(begin + chunk, end, chunk)
+    wide = np.flatnonzero(lengths > long)
+    return np.unique(np.concatenate([every, *(np.arange(starts[w] + long, starts[w] + lengths[w], long) for w in wide)]))
+
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product."""

@@ -81,6 +81,32 @@ def test_token_counts_equal_the_library(spark_):
     assert tokencount.token_counts(docs(spark_, []), path).count() == 0
 
 
+@pytest.mark.parametrize("chunk, long", [(7, 5), (64, 32), (4096, 1024)])
+def test_texts_cut_into_chunks_equal_the_libraries(chunk, long):
+    """Real documents go through the scan at the shipped sizes, awkward ones at any."""
+    import pyarrow.parquet as pq
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = awkward() if chunk < 4096 else pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    path, other = public.path("piece_bpe_32k.model"), public.path("byte_bpe_50k.json")
+    m, library = pieces.Model(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    ids, at = m.encode(pa.array(texts), long, chunk)
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [library.encode(t or "") for t in texts]
+    counter, library = tokencount.Counter(other, tokencount.classes()), Tokenizer.from_file(other)
+    assert counter.count(pa.array(texts), long, chunk).tolist() == [len(library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    sizes = np.array([len((t or "").encode()) for t in texts])
+    assert m.machine.scans >= 10 and counter.machine.scans >= (sizes > chunk).sum() * 0.9 >= 9
+
+
+def test_new_columns_must_have_a_name_of_their_own(spark_):
+    path = public.path("piece_bpe_32k.model")
+    rows = docs(spark_, ["a b"]).withColumnRenamed("score", "ids")
+    with pytest.raises(ValueError):
+        pieces.encode(rows, path)
+    assert pieces.encode(rows, path, ids="pieces").first()["pieces"]
+
+
 def test_character_classes_follow_the_library():
     from tokenizers import Tokenizer
 
