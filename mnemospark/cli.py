@@ -63,7 +63,13 @@ def _stats(args, config) -> None:
         docs = spark.createDataFrame([], briefs.SCHEMA.replace(", _broken string", "") + ", brief_id string, modified timestamp")
     claims = briefs.claims(docs.filter("claims is not null"))
     row = stats.summary(docs.select("brief_id", "created_utc", F.col("source.budget").alias("budget")), claims, lessons).first()
-    print(json.dumps(row.asDict(), ensure_ascii=False, sort_keys=True) if args.json else stats.report(row))
+    at = lambda rows: rows.withColumn("at", F.struct("brief_id", "pos"))
+    parts = stats.breakdown(at(claims), at(briefs.supplements(docs.filter("supplement is not null")))).collect()  # extractors, kinds, ten topics
+    if not args.json:
+        print(stats.report(row, parts))
+        return
+    more = {name: {p["value"]: p["n"] for p in sorted((p for p in parts if p["part"] == part), key=lambda p: p["rank"])} for part, name in (("harvester", "by_harvester"), ("kind", "supplement_by_kind"), ("topic", "top_topics"))}
+    print(json.dumps(row.asDict() | more, ensure_ascii=False, sort_keys=True))
 
 
 def _recall(args, config) -> None:
@@ -97,14 +103,15 @@ def _lessons(args, config) -> None:
 
     log = os.path.expanduser(config.lessons_path)
     if args.add:
-        stores.append_private(log, [{"text": args.add, "ts": args.now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")}])
+        stores.append_private(log, [stores.lesson_row(args.add, args.now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"))])
     _, _, lessons = _store(config)
     rows = [r.asDict() for r in stores.recent(lessons, args.limit).collect()] if lessons is not None else []
     print(json.dumps(rows, ensure_ascii=False) if args.json else "\n".join("- " + r["text"] for r in rows))
 
 
 def _precompact(args, config) -> None:
-    from .plans.memory import build_items, select_items
+    from .operators.extract import lessons as stated
+    from .plans.memory import documents
     from .sources import briefs, stores, transcripts
 
     hook = _hook() if not args.transcript else {}
@@ -117,16 +124,21 @@ def _precompact(args, config) -> None:
     lines = transcripts.read_lines(spark, path)
     for r in transcripts.quality(lines).filter("problem is not null").collect():
         print(f"mnemospark: {r['problem']} in {path} ({r['skipped']} of {r['total']} skipped)", file=sys.stderr)
-    items = build_items(transcripts.units(lines, config.redact), config, lessons).persist()
-    fresh = [r["text"] for r in items.filter("bucket = 'claim' and harvester = 'lessons' and ts is null").orderBy("pos").collect()]  # of one transcript
-    document = briefs.to_json(select_items(items, config.budget_chars, now), now).first()
-    body = json.loads(document["value"]) if document else {"schema_version": 1, "created_utc": now, "claims": [], "supplement": [], "source": {}}
-    body["source"] = {"agent": "cli", "session": str(hook.get("session_id") or "session")}
-    out = args.out or f"{os.path.expanduser(config.brief_dir)}/{now.replace(':', '').replace('-', '')}-{body['source']['session']}.json"
+    units = transcripts.units(lines, config.redact).persist()
+    session = str(hook.get("session_id") or "session")
+    document = documents(units, now, config, lessons, "cli").first()
+    body = json.loads(document["value"]) if document else {"schema_version": 1, "created_utc": now, "claims": [], "supplement": [], "source": {"agent": "cli"}}
+    body["source"]["session"] = session
+    out = args.out or f"{os.path.expanduser(config.brief_dir)}/{now.replace(':', '').replace('-', '')}-{session}.json"
     print(briefs.write_private(out, briefs.pretty(json.dumps(body))))
-    if config.lessons_enabled and fresh:
-        known = {r["text"].casefold() for r in lessons.select("text").collect()} if lessons is not None else set()
-        stores.append_private(os.path.expanduser(config.lessons_path), [{"text": t, "ts": now, "session": body["source"]["session"]} for t in fresh if t.casefold() not in known])
+    if config.lessons_enabled:
+        fresh = [stores.lesson_row(r["text"], now, session) for r in stated(units, config.options()).orderBy("ordinal").collect()]  # of one transcript
+        known = {r["id"] for r in lessons.select("id").collect()} if lessons is not None else set()
+        new = {r["id"]: r for r in reversed(fresh) if r["id"] not in known}
+        if new:
+            stores.append_private(os.path.expanduser(config.lessons_path), list(reversed(new.values())))
+    if log := os.environ.get("MNEMOSPARK_PROBE_LOG"):
+        stores.append_private(log, [{"ts": now, "session_id": session, "corpus_id": os.environ.get("MNEMOSPARK_CORPUS_ID"), "harvest_enabled": config.harvest_enabled, "brief": body}])
 
 
 def _postcompact(args, config) -> None:

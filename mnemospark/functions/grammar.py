@@ -85,11 +85,11 @@ def is_factual(sentence: Column) -> Column:
 
 def factual_parts(sentence: Column) -> Column:
     """The assertions in a sentence; of a question, the clauses that state something."""
+    asked = sentence.endswith("?")
     body = strip(F.regexp_replace(sentence, r"\?+$", ""))
-    parts = F.filter(F.transform(F.split(body, CLAUSE), strip), lambda p: p != "")
-    stated = F.filter(parts, lambda p: ~p.rlike(QUESTION) & is_factual(p))
-    none = F.array().cast("array<string>")
-    return F.when(~sentence.endswith("?"), F.when(is_factual(sentence), F.array(sentence)).otherwise(none)).when(F.size(parts) < 2, none).otherwise(stated)
+    clauses = F.filter(F.transform(F.split(body, CLAUSE), strip), lambda p: p != "")
+    parts = F.when(~asked, F.array(sentence)).when(F.size(clauses) < 2, F.array().cast("array<string>")).otherwise(clauses)
+    return F.filter(parts, lambda p: ~(asked & p.rlike(QUESTION)) & is_factual(p))
 
 
 def is_verbal(word: Column) -> Column:

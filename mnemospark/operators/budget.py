@@ -45,15 +45,29 @@ def scored(items: DataFrame, group: str = "transcript_id") -> DataFrame:
 def greedy(items: DataFrame, budget: int, group: str = "transcript_id") -> DataFrame:
     """Adds kept: items taken by priority while they fit; one that doesn't fit is skipped, smaller ones may follow.
 
-    A fold over the items of one group, which is one brief.
+    A fold over the items of one group, which is one brief, in Arrow batches: sorted rows stream by, and all that is held
+    is the room that is left.
     """
     if budget <= 0:
         return items.withColumn("kept", F.lit(True))
-    costs = items.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("priority", (F.length("text") + 1).alias("cost")))).alias("c"))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("taken"))
-    step = lambda s, x: F.when(s["used"] + x["cost"] <= budget, F.struct((s["used"] + x["cost"]).alias("used"), F.concat(s["taken"], F.array(x["priority"])).alias("taken"))).otherwise(s)
-    taken = costs.select(group, F.explode(F.aggregate("c", start, step, lambda s: s["taken"])).alias("priority"), F.lit(True).alias("_taken"))
-    return items.join(taken, [group, "priority"], "left").withColumn("kept", F.coalesce("_taken", F.lit(False))).drop("_taken")
+
+    def take(batches):
+        import pyarrow as pa
+
+        now, left = None, 0
+        for b in batches:
+            kept = []
+            for g, cost in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if g != now:
+                    now, left = g, budget
+                kept.append(cost <= left)
+                left -= cost if cost <= left else 0
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.bool_())], names=[group, "priority", "kept"])
+
+    costs = items.select(group, "priority", (F.length("text") + 1).alias("cost"))
+    kind = dict(costs.dtypes)
+    taken = costs.repartition(group).sortWithinPartitions(group, "priority").mapInArrow(take, f"`{group}` {kind[group]}, priority {kind['priority']}, kept boolean")
+    return items.join(taken, [group, "priority"])
 
 
 def item_line(created: Column) -> Column:
@@ -111,12 +125,17 @@ def rendered_fit(items: DataFrame, budget: int, created: str, tail: str = "", gr
     return rows.filter(F.col("rendered") <= budget).drop("_area", "_first", "_first_area", "section", "line")
 
 
-def render(items: DataFrame, created: str, tail: str = "", group: str = "transcript_id") -> DataFrame:
-    """One Markdown text for each group: active claims and superseded ones by confidence (none counts as sure), the rest in order."""
+def render(items: DataFrame, created: str, tail: str = "", group: str = "transcript_id", groups: DataFrame | None = None) -> DataFrame:
+    """One Markdown text for each group: active claims and superseded ones by confidence (none counts as sure), the rest in order.
+
+    groups: all that there are, as one without items has a brief, too, which says so.
+    """
     rows = with_sections(items, F.lit(created))
     key = F.when(F.col("section").isin(1, 3), F.struct((-F.coalesce("confidence", F.lit(1.0))).alias("c"), F.col("topic").alias("t"), F.col("id").alias("i"), F.lit(0).alias("p"))).otherwise(F.struct(F.lit(0.0).alias("c"), F.lit("").alias("t"), F.lit("").alias("i"), F.col("pos").alias("p")))
     per = rows.groupBy(group, "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), "line"))), lambda x: x["line"]), "\n").alias("body"))
     wide = per.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("section", "body"))).alias("b"))
+    if groups is not None:
+        wide = groups.select(group).distinct().join(wide, group, "left")
     part = lambda s: F.try_element_at(F.col("b"), F.lit(s))
     block = lambda s: F.coalesce(F.concat(F.lit(HEADS[s]), part(s), F.lit("\n\n")), F.lit(""))
     kinds = F.concat(*(F.coalesce(F.concat(F.lit(HEADS[s]), part(s), F.lit("\n")), F.lit("")) for s in (4, 5, 6)))
@@ -127,10 +146,13 @@ def render(items: DataFrame, created: str, tail: str = "", group: str = "transcr
     return wide.select(group, F.concat(F.rtrim(F.regexp_replace(text, r"\s+$", "")), F.lit("\n"), F.lit(tail)).alias("rendered"))
 
 
-def budget_report(items: DataFrame, kept: DataFrame, budget: int, group: str = "transcript_id") -> DataFrame:
-    """What a budget cost, for each group: NULL-free counts of one run."""
+def budget_report(items: DataFrame, kept: DataFrame, budget: int, group: str = "transcript_id", rendered: DataFrame | None = None) -> DataFrame:
+    """What a budget cost, for each group: NULL-free counts of one run. rendered (group, rendered) adds the size of what is shown."""
     all_ = items.groupBy(group).agg(F.count_if(F.col("bucket") == "claim").alias("harvested_claims"), F.count_if(F.col("bucket") == "supplement").alias("harvested_supplement"))
     left = kept.groupBy(group).agg(F.sum(F.length("text") + 1).alias("used_chars"), F.count_if(F.col("bucket") == "claim").alias("kept_claims"), F.count_if(F.col("bucket") == "supplement").alias("kept_supplement"))
-    rows = all_.join(left, group, "left").fillna(0)
+    rows = all_.join(left, group, "left")
+    if rendered is not None:
+        rows = rendered.select(group, F.length("rendered").alias("rendered_chars")).join(rows, group, "left")
+    rows = rows.fillna(0)
     dropped = F.col("harvested_claims") + F.col("harvested_supplement") - F.col("kept_claims") - F.col("kept_supplement")
     return rows.withColumn("dropped_items", dropped).withColumn("budget_chars", F.lit(budget))

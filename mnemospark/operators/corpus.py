@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import date_tokens, search_tokens
+from ..storage import table
 
 
 def settles_across(topic: Column) -> Column:
@@ -35,10 +36,9 @@ def corpus(claims: DataFrame, supplements: DataFrame, lessons: DataFrame | None
     order = ("part", "name", "bucket", "pos")
     first = Window.partitionBy("bucket", "id").orderBy(*order)
     rows = rows.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1")
-    later = F.row_number().over(Window.partitionBy("settle").orderBy(*(F.desc(o) for o in order)))
-    # Documents without such a topic stay out of that window: they would all be one partition.
-    settled = rows.filter("settle is not null").withColumn("superseded", F.col("superseded") | (later > 1))
-    rows = rows.filter("settle is null").unionByName(settled)
+    # The last of each topic by aggregate and join, as a topic may be in any number of briefs.
+    last = rows.filter("settle is not null").groupBy("settle").agg(F.max(F.struct(*order)).alias("_last"))
+    rows = rows.join(last, "settle", "left").withColumn("superseded", F.col("superseded") | F.coalesce(F.struct(*order) < F.col("_last"), F.lit(False)))
     spelled = F.concat(search_tokens(F.col("text")), date_tokens(F.col("ts"), dates))
     return rows.select(F.struct(*order).alias("doc_seq"), "text", "kind", "id", "ts", "superseded", F.col("name").alias("source"), spelled.alias("tokens"))
 
@@ -50,7 +50,8 @@ def recency_rank(docs: DataFrame, order: str = "doc_seq") -> DataFrame:
     """
     stamped = docs.filter(F.coalesce(F.col("ts"), F.lit("")) != "").select("id", F.col("ts").cast("string").alias("ts"), F.col(order).alias("o"))
     spark = docs.sparkSession
-    placed = stamped.repartitionByRange(F.col("ts"), F.col("o")).withColumn("part", F.spark_partition_id()).persist()
+    # Written with the number of its range: ranges are sampled, and another sample after a loss would give other ones.
+    placed = table(stamped.repartitionByRange(F.col("ts"), F.col("o")).withColumn("part", F.spark_partition_id()), "ranges")
     sizes = [(r[0], r[1]) for r in placed.groupBy("part").count().orderBy("part").collect()]  # one row for each partition
     total, offsets = 0, []
     for part, n in sizes:

@@ -8,32 +8,81 @@ from pyspark.sql import functions as F
 from ..functions.cues import content_terms  # noqa: F401  (part of the surface)
 from ..functions.lexicon import QUESTION_STOPS
 from ..functions.text import ascii_tokens, jaccard, normalized, member, search_tokens
+from ..storage import table
 from .extract import MARKER
 
 PARAPHRASE = 0.5
 
 
+#: Most probes that are sent to every task; more are joined by their tokens.
+FEW_PROBES = 4096
+
+
 def best_match(probes: DataFrame, items: DataFrame, threshold: float = PARAPHRASE) -> DataFrame:
     """id, verdict (EXACT, PARA, LOST), score, matched (extractor), expected: one row for each probe.
 
-    probes: id, text, harvester; items: seq (total order), text, harvester. Only items that share a token with a
-    probe can score above 0, so candidates come from an equi-join on tokens, counted a pair; equal texts
-    are found by their normal form. The first item that reaches the maximum is the match.
+    probes: id, text, harvester; items: seq (total order), text, harvester. Equal texts are found by their normal form.
+    For the rest, up to FEW_PROBES probes are sent to the items, and each batch gives its best item a probe; beyond, items that
+    share a token with a probe are joined on it and counted a pair. The first item that reaches the maximum is the match.
     """
-    p = probes.select("id", F.col("harvester").alias("expected"), normalized(F.col("text")).alias("norm"), ascii_tokens(F.col("text")).alias("tokens"))
-    i = items.select("seq", "harvester", normalized(F.col("text")).alias("norm"), ascii_tokens(F.col("text")).alias("tokens"))
-    same = p.select("id", "norm").join(i, "norm").groupBy("id").agg(F.min(F.struct("seq", "harvester")).alias("x")).select("id", F.col("x.harvester").alias("same"), F.lit(True).alias("exact"))
-    pt = p.select("id", F.size("tokens").alias("np"), F.explode("tokens").alias("token"))
-    it = i.select("seq", "harvester", F.size("tokens").alias("ni"), F.explode("tokens").alias("token"))
-    pairs = pt.join(it, "token").groupBy("id", "seq", "harvester", "np", "ni").agg(F.count("*").alias("both"))
-    j = F.col("both") / (F.col("np") + F.col("ni") - F.col("both"))
-    best = pairs.withColumn("j", j).groupBy("id").agg(F.max(F.struct("j", (-F.col("seq")).alias("s"), "harvester")).alias("b")).select("id", F.col("b.j").alias("j"), F.col("b.harvester").alias("near"))
+    p = table(probes.select("id", F.col("harvester").alias("expected"), normalized(F.col("text")).alias("norm"), ascii_tokens(F.col("text")).alias("tokens")), "probes")
+    i = items.select("seq", "harvester", normalized(F.col("text")).alias("norm"))
+    i = i.withColumn("tokens", F.array_distinct(F.regexp_extract_all("norm", F.lit("[a-z0-9]+"), F.lit(0))))
+    same = i.join(p.select("id", "norm"), "norm").groupBy("id").agg(F.min(F.struct("seq", "harvester")).alias("x")).select("id", F.col("x.harvester").alias("same"), F.lit(True).alias("exact"))
+    pairs = _near_few(p, i) if p.count() <= FEW_PROBES else _near_many(p, i)
+    best = pairs.groupBy("id").agg(F.max(F.struct("j", (-F.col("seq")).alias("s"), "harvester")).alias("b")).select("id", F.col("b.j").alias("j"), F.col("b.harvester").alias("near"))
     rows = p.select("id", "expected").join(same, "id", "left").join(best, "id", "left")
     verdict = F.when(F.col("exact"), "EXACT").when(F.col("j") >= threshold, "PARA").otherwise("LOST")
     matched = F.when(F.col("exact"), F.col("same")).when(F.col("j") >= threshold, F.col("near"))
     return rows.select("id", verdict.alias("verdict"), F.round(F.when(F.col("exact"), 1.0).otherwise(F.coalesce("j", F.lit(0.0))), 3).alias("score"), matched.alias("matched"), "expected")
 
 
+def _near_many(p: DataFrame, i: DataFrame) -> DataFrame:
+    """id, seq, harvester, j of all pairs that share a token."""
+    pt = p.select("id", F.size("tokens").alias("np"), F.explode("tokens").alias("token"))
+    it = i.select("seq", "harvester", F.size("tokens").alias("ni"), F.explode("tokens").alias("token"))
+    pairs = pt.join(it, "token").groupBy("id", "seq", "harvester", "np", "ni").agg(F.count("*").alias("both"))
+    return pairs.select("id", "seq", "harvester", (F.col("both") / (F.col("np") + F.col("ni") - F.col("both"))).alias("j"))
+
+
+def _near_few(p: DataFrame, i: DataFrame) -> DataFrame:
+    """id, seq, harvester, j of the best item of each batch for each probe that shares a token with one."""
+    import numpy as np
+    import pyarrow as pa
+
+    known = p.select("id", "tokens").toArrow()  # FEW_PROBES rows at most
+    ids, tokens = known.column("id").combine_chunks(), known.column("tokens").combine_chunks()
+    words = tokens.flatten().unique()
+    of = np.asarray(pa.compute.index_in(tokens.flatten(), words))
+    owner = np.repeat(np.arange(len(ids)), np.diff(tokens.offsets.to_numpy()))
+    order = np.argsort(of, kind="stable")
+    owner, first = owner[order], np.searchsorted(of[order], np.arange(len(words) + 1))
+    sizes = np.diff(tokens.offsets.to_numpy())
+
+    def near(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                lists = b.column("tokens")
+                count = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                w = pa.compute.fill_null(pa.compute.index_in(lists.flatten(), words), -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(count)), count)[w >= 0]
+                w = w[w >= 0]
+                n = first[w + 1] - first[w]
+                place = np.repeat(first[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(np.repeat(row, n) * len(ids) + owner[place], minlength=len(count) * len(ids)).reshape(len(count), len(ids))
+                j = both / np.maximum(count[:, None] + sizes[None, :] - both, 1)
+                seq = b.column("seq").to_numpy()
+                by = np.argsort(seq, kind="stable")
+                best = by[np.argmax(j[by], axis=0)] if len(by) else np.zeros(0, np.int64)
+                met = np.flatnonzero(both[best, np.arange(len(ids))] > 0) if len(by) else np.zeros(0, np.int64)
+                rows = pa.array(best[met])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(met)), b.column("seq").take(rows), b.column("harvester").take(rows), pa.array(j[best[met], met])], names=["id", "seq", "harvester", "j"])
+
+    kinds = dict(p.dtypes) | {"seq": dict(i.dtypes)["seq"]}
+    return i.select("seq", "harvester", "tokens").mapInArrow(near, f"id {kinds['id']}, seq {kinds['seq']}, harvester string, j double")
+
+
 def retention(results: DataFrame) -> DataFrame:
     """arm, exact, para, lost, n, retention_rate."""
     arm = F.coalesce("expected", "matched", F.lit("unknown"))
@@ -112,13 +161,27 @@ def recall_at(ranked: DataFrame, gold: DataFrame, owner: str = "session", ks: tu
 
 def upper_median(rows: DataFrame, column: str) -> DataFrame:
     """The element at place n // 2 of the sorted values."""
-    return rows.agg(F.expr(f"percentile_disc(0.5) within group (order by `{column}` desc)").alias("median"))
+    return rows.agg(F.expr(f"percentile_disc(0.5) within group (order by `{column}` desc)").cast(rows.schema[column].dataType).alias("median"))
 
 
 def question_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(search_tokens(text), lambda t: (F.length(t) > 2) & ~member(QUESTION_STOPS, t)))
 
 
+def holders(docs: DataFrame, items: DataFrame, text: str = "text", part: str = "question") -> DataFrame:
+    """Rows of docs and items whose part the text contains.
+
+    A text that contains a part holds the part's inner tokens whole; the longest of these is what both are joined on. Parts
+    without an inner token are compared with every text.
+    """
+    inner = F.slice(search_tokens(F.col(part)), 2, F.greatest(F.size(search_tokens(F.col(part))) - 2, F.lit(0)))
+    longest = F.get(F.transform(F.array_sort(F.transform(F.array_distinct(inner), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"]), 0)
+    keyed = table(items.withColumn("_key", longest), "parts")
+    rows = docs.withColumn("_key", F.explode(F.array_distinct(search_tokens(F.col(text))))).join(keyed.filter("_key is not null"), "_key").filter(F.col(text).contains(F.col(part))).drop("_key")
+    short = keyed.filter("_key is null").drop("_key")
+    return rows if short.isEmpty() else rows.unionByName(docs.join(short, F.col(text).contains(F.col(part))))
+
+
 def miss_causes(misses: DataFrame) -> DataFrame:
     """Adds lost (terms of the question that the raw gold had and the kept one lacks) and cause; columns question, raw, kept."""
     terms = question_terms(F.col("question"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cues, grammar
 from ..functions.text import SPACE, casefold, latin_words, normalized, strip
+from ..storage import table
 
 MARKER = r"\[C:\s*" + r"(\d{1,3})" + r"\s*%[^\]]*\]"
 
@@ -195,7 +196,8 @@ def atomic(units: DataFrame, options: Options = Options()) -> DataFrame:
     anchors where a unit kept none, repeats among both), which differs from a fold over the units only if
     an anchor equals a later unit's only fact; options.exact_fold folds each transcript instead.
     """
-    facts = factual_sentences(units, options).withColumn("key", normalized(F.col("text")))
+    # Written once: the grammar is the heaviest part, and anchors and repeats both look at its result.
+    facts = table(factual_sentences(units, options).withColumn("key", normalized(F.col("text"))), "facts")
     if options.anchor == "off":
         kept = _first_seen(facts, F.col("key"), "unit_idx", "sent", "part")
         return _items(kept, "atomic", topic=F.col("topic"), ordinal=("unit_idx", "sent", "part"))

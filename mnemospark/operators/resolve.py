@@ -75,17 +75,27 @@ def is_active() -> Column:
     return F.col("superseded_by").isNull()
 
 
-def carry_lessons(claims: DataFrame, store: DataFrame, most: int = 10, group: str = "transcript_id") -> DataFrame:
-    """Adds the store's newest lessons to every group that doesn't hold them; `store` has seq, text, ts.
+def carry_lessons(claims: DataFrame, store: DataFrame, most: int = 10, group: str = "transcript_id", groups: DataFrame | None = None) -> DataFrame:
+    """Adds to every group the newest lessons of the store that it doesn't hold; `store` has seq, text, ts and may have id.
 
-    At most `most` lessons are joined to each group, so the store's side is bounded.
+    A session's own new lessons are stored first, so they take places among the newest `most`: with three of them and ten
+    places, seven older ones are carried. groups: all there are, as one without a claim gets lessons, too. At most `most`
+    lessons meet a group, so the store's side is bounded.
     """
-    newest = store.orderBy(F.desc("seq")).limit(most).select(F.col("text").alias("l_text"), F.col("ts").alias("l_ts"), "seq", casefold(F.col("text")).alias("l_key"))
-    newest = newest.withColumn("_rn", F.row_number().over(Window.partitionBy("l_key").orderBy(F.desc("seq")))).filter("_rn = 1").drop("_rn")
-    known = claims.filter(F.col("topic").startswith("lesson:")).select(F.col(group).alias("g"), casefold(F.col("text")).alias("l_key")).distinct()
-    groups = claims.groupBy(F.col(group).alias("g")).agg(F.max("pos").alias("last"))
-    added = groups.join(F.broadcast(newest)).join(known, ["g", "l_key"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("seq")))
+    lesson = content_id("lesson", F.lit(""), F.col("text"))
+    kept = store if "id" in store.columns else store.withColumn("id", lesson)
+    newest = kept.orderBy(F.desc("seq")).limit(max(0, most)).select("id", F.col("text").alias("l_text"), F.col("ts").alias("l_ts"), "seq", casefold(F.col("text")).alias("l_key"))
+    own = claims.filter(F.col("topic").startswith("lesson:"))
+    known = own.select(F.col(group).alias("g"), casefold(F.col("text")).alias("l_key")).distinct()
+    fresh = own.select(F.col(group).alias("g"), lesson.alias("id")).distinct().join(kept.select("id"), "id", "left_anti").groupBy("g").agg(F.count("*").alias("fresh"))
+    every = claims.select(F.col(group).alias("g")) if groups is None else groups.select(F.col(group).alias("g"))
+    last = claims.groupBy(F.col(group).alias("g")).agg(F.max("pos").alias("last"))
+    every = every.distinct().join(last, "g", "left").join(fresh, "g", "left")
+    # Places are given before those are left out that the group has; of equal texts the newest counts.
+    placed = every.join(F.broadcast(newest.withColumn("place", F.row_number().over(Window.orderBy(F.desc("seq"))))))
+    placed = placed.filter(F.col("place") <= most - F.coalesce("fresh", F.lit(0))).withColumn("_again", F.row_number().over(Window.partitionBy("g", "l_key").orderBy("place"))).filter("_again = 1")
+    added = placed.join(known, ["g", "l_key"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("g").orderBy("place"))
     topic = F.concat(F.lit("lesson:"), F.substring("l_key", 1, 40))
-    rows = added.select(F.col("g").alias(group), (F.col("last") + place).alias("pos"), F.col("l_text").alias("text"), topic.alias("topic"), F.lit("lessons").alias("harvester"), F.col("l_ts").alias("ts"), content_id("lessons", topic, F.col("l_text")).alias("id"))
+    rows = added.select(F.col("g").alias(group), (F.coalesce("last", F.lit(-1)) + place).alias("pos"), F.col("l_text").alias("text"), topic.alias("topic"), F.lit("lessons").alias("harvester"), F.col("l_ts").alias("ts"), content_id("lessons", topic, F.col("l_text")).alias("id"))
     return claims.unionByName(rows, allowMissingColumns=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cues import content_terms, live_state
 from ..functions.text import casefold, cut, search_tokens, squeeze
+from ..storage import table
 
 K1, B = 1.5, 0.75
 KIND_BOOST = {"path": 0.85, "id": 0.9, "decision": 1.0, "claim": 1.0, "lesson": 1.4}
@@ -20,45 +21,68 @@ def query_terms(spark, queries: dict[str, str]) -> DataFrame:
 
 
 def bm25(docs: DataFrame, terms: DataFrame, key: str = "id") -> DataFrame:
-    """query_id, key, raw: the score of each group of documents for each query whose terms it holds.
+    """query_id, key, raw: the score of each group of documents for each query whose terms it holds."""
+    rows = docs.select(F.col(key).alias("unit"), "tokens")
+    return _weighed(*_postings(rows, terms), terms, "unit").withColumnRenamed("unit", key)
+
+
+def _postings(rows: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written once, from one scan each: (all columns but tokens, term, freq) for the terms that are asked for, and the lengths.
 
     Only tokens that a query asks for leave the scan: the terms are joined before anything is counted, and counts are
-    pre-aggregated. The number and the mean length of groups come from one aggregate.
+    pre-aggregated. Terms are those of the queries at hand; the planner broadcasts them if they are few.
     """
-    groups = docs.groupBy(key).agg(F.sum(F.size("tokens")).alias("length"))
+    own = [c for c in rows.columns if c != "tokens"]
+    asked = table(terms.select("term").distinct(), "asked")
+    hits = table(rows.select(*own, F.explode("tokens").alias("term")).join(asked, "term").groupBy(*own, "term").agg(F.count("*").alias("freq")), "postings")
+    return hits, table(rows.groupBy(*own).agg(F.sum(F.size("tokens")).alias("length")), "lengths")
+
+
+def _weighed(hits: DataFrame, lengths: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """BM25 of groups by key. The number and the mean length of groups come from one aggregate."""
+    hits = hits.groupBy(key, "term").agg(F.sum("freq").alias("freq"))
+    groups = lengths.groupBy(key).agg(F.sum("length").alias("length"))
     shape = groups.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
-    asked = terms.select("term").distinct()
-    hits = docs.select(key, F.explode("tokens").alias("term")).join(F.broadcast(asked), "term").groupBy(key, "term").agg(F.count("*").alias("freq"))
     frequency = hits.groupBy("term").agg(F.count("*").alias("n"))
     idf = F.log(1 + (F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weights = terms.join(frequency, "term").crossJoin(F.broadcast(shape)).select("query_id", "term", "times", "mean", idf.alias("idf"))
-    per = hits.join(F.broadcast(weights), "term").join(groups, key)
+    per = hits.join(weights, "term").join(groups, key)
     length = F.greatest(F.col("length"), F.lit(1))
     mean = F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
     part = F.col("times") * F.col("idf") * (F.col("freq") * (K1 + 1)) / (F.col("freq") + K1 * (1 - B + B * length / mean))
     return per.groupBy("query_id", key).agg(F.sum(part).alias("raw"))
 
 
+def _parent() -> Column:
+    return F.coalesce(F.nullif("source", F.lit("")), "id")
+
+
+def _contexts(hits: DataFrame, lengths: DataFrame, terms: DataFrame) -> DataFrame:
+    several = lengths.agg((F.min("parent") < F.max("parent")).alias("_several"))
+    return _weighed(hits, lengths, terms, "parent").crossJoin(F.broadcast(several)).filter("_several").select("query_id", "parent", F.col("raw").alias("context"))
+
+
 def parent_scores(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """query_id, parent, context: BM25 of whole parents; nothing if there is only one."""
-    rows = docs.withColumn("parent", F.coalesce(F.nullif("source", F.lit("")), "id"))
-    several = rows.agg((F.min("parent") < F.max("parent")).alias("_several"))
-    return bm25(rows, terms, "parent").crossJoin(F.broadcast(several)).filter("_several").select("query_id", "parent", F.col("raw").alias("context"))
+    return _contexts(*_postings(docs.select(_parent().alias("parent"), "tokens"), terms), terms)
 
 
 def scored(docs: DataFrame, terms: DataFrame, recency: DataFrame | None = None, parent_boost: float = PARENT, recency_boost: float = RECENCY) -> DataFrame:
-    """query_id, id, score, bm25 and the document, for all that match or whose parent does."""
-    rows = docs.withColumn("parent", F.coalesce(F.nullif("source", F.lit("")), "id"))
-    own = bm25(docs, terms)
+    """query_id, id, score, bm25 and the document, for all that match or whose parent does.
+
+    Documents' own scores and those of their parents come from the same postings.
+    """
+    rows = docs.withColumn("parent", _parent())
+    hits, lengths = _postings(rows.select("id", "parent", "tokens"), terms)
+    own = _weighed(hits, lengths, terms, "id")
     if parent_boost:
-        near = parent_scores(docs, terms)
-        pairs = near.join(rows.select("id", "parent"), "parent").select("query_id", "id", "context")
+        pairs = _contexts(hits, lengths, terms).join(lengths.select("id", "parent").distinct(), "parent").select("query_id", "id", "context")
         found = own.join(pairs, ["query_id", "id"], "full")
     else:
         found = own.withColumn("context", F.lit(0.0))
     raw = F.coalesce("raw", F.lit(0.0)) + parent_boost * F.coalesce("context", F.lit(0.0))
     found = found.withColumn("raw", raw).filter("raw > 0")
-    out = found.select("query_id", "id", "raw").join(rows, "id")
+    out = found.select("query_id", "id", "raw").join(rows.drop("tokens"), "id")
     out = out.join(recency, "id", "left") if recency is not None else out.withColumn("recency", F.lit(0.0))
     boost = F.lit(1.0)
     for kind, w in KIND_BOOST.items():

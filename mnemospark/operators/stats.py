@@ -34,7 +34,10 @@ def summary(briefs: DataFrame, claims: DataFrame, lessons: DataFrame | None = No
 
 
 def counts(rows: DataFrame, column: str, order: str, most: int = 0) -> DataFrame:
-    """value, n, rank: how often each value occurs, most frequent first, ties by where it came first."""
+    """value, n, rank: how often each value occurs, most frequent first, ties by where it came first.
+
+    Values are aggregated first; only `most` of them, or all where there are few, are ranked.
+    """
     from pyspark.sql import Window
 
     per = rows.groupBy(F.coalesce(F.col(column), F.lit("?")).alias("value")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
@@ -43,12 +46,21 @@ def counts(rows: DataFrame, column: str, order: str, most: int = 0) -> DataFrame
     return per.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "first"))).select("value", "n", "rank")
 
 
-def report(row) -> str:
-    """The text form of a summary row."""
+def breakdown(claims: DataFrame, supplements: DataFrame, order: str = "at", topics: int = 10) -> DataFrame:
+    """part (harvester, kind, topic), value, n, rank: by extractor and by kind, of which there are few, and the most frequent topics."""
+    tagged = lambda part, rows: rows.select(F.lit(part).alias("part"), "value", "n", "rank")
+    return tagged("harvester", counts(claims, "harvester", order)).unionByName(tagged("kind", counts(supplements, "kind", order))).unionByName(tagged("topic", counts(claims, "topic", order, topics)))
+
+
+def report(row, parts=()) -> str:
+    """The text form of a summary row and of rows of `breakdown`."""
     say = lambda x: "not measurable" if x is None else str(x)
     lines = ["Memory statistics", f"briefs: {row['briefs']} ({say(row['first_brief_utc'])} to {say(row['last_brief_utc'])})"]
     for name in ("claims_total", "claims_per_brief", "superseded", "retractions", "marked_claims", "marked_share", "mean_confidence", "harvested_claims", "dropped_items", "lessons_total"):
         lines.append(f"{name.replace('_', ' ')}: {say(row[name])}")
+    for part, title in (("harvester", "by extractor"), ("kind", "supplements by kind"), ("topic", "most frequent topics")):
+        own = sorted((p for p in parts if p["part"] == part), key=lambda p: p["rank"])
+        lines += [f"{title}:"] * bool(own) + [f"  {label(p['value'])}: {p['n']}" for p in own]
     return "\n".join(lines)
 
 

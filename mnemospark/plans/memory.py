@@ -13,6 +13,7 @@ from ..operators import budget as b
 from ..operators.corpus import corpus, recency_rank
 from ..operators.extract import EXTRACTORS, MARKER, Options, harvest
 from ..operators.resolve import carry_lessons, link_corrections, once_by_id, resolve, with_ids
+from ..sources.briefs import to_json
 from ..storage import table
 from ..operators.search import query_terms, recall, scored
 
@@ -65,7 +66,7 @@ def build_items(units: DataFrame, config: Config = Config(), store: DataFrame |
     items = table(with_ids(harvest(units, tuple(config.harvesters), config.options(), config.harvest_enabled)).withColumn("ts", F.lit(None).cast("string")), "items")
     claims = link_corrections(items.filter("bucket = 'claim'"))
     if config.lessons_enabled and store is not None:
-        claims = carry_lessons(claims, store, config.lessons_in_brief).withColumn("bucket", F.lit("claim"))
+        claims = carry_lessons(claims, store, config.lessons_in_brief, groups=units.select("transcript_id")).withColumn("bucket", F.lit("claim"))
     return table(resolve(claims).unionByName(once_by_id(items.filter("bucket = 'supplement'")), allowMissingColumns=True), "resolved")
 
 
@@ -79,15 +80,26 @@ def select_items(items: DataFrame, budget: int, created: str, tail: str = "") ->
 
 
 def briefs(units: DataFrame, created: str, config: Config = Config(), store: DataFrame | None = None) -> DataFrame:
-    """transcript_id and rendered: the write path followed by the read path."""
-    return b.render(select_items(build_items(units, config, store), config.budget_chars, created), created)
+    """transcript_id and rendered: the write path followed by the read path. A transcript without items has a brief, too."""
+    groups = table(units.select("transcript_id").distinct(), "transcripts")
+    return b.render(select_items(build_items(units, config, store), config.budget_chars, created), created, groups=groups)
 
 
-def context_payload(items: DataFrame, created: str, event: str = "SessionStart", budget: int = 0) -> DataFrame:
+def documents(units: DataFrame, created: str, config: Config = Config(), store: DataFrame | None = None, agent: str = "mnemospark", extras: DataFrame | None = None) -> DataFrame:
+    """transcript_id and value: the brief of every transcript as JSON, with what its budget cost."""
+    groups = table(units.select("transcript_id").distinct(), "transcripts")
+    items = build_items(units, config, store)
+    kept = select_items(items, config.budget_chars, created)
+    kept = table(kept, "selected") if config.budget_chars > 0 else items
+    report = b.budget_report(items, kept, config.budget_chars, rendered=b.render(kept, created, groups=groups)) if config.budget_chars > 0 else None
+    return to_json(kept, created, report=report, groups=groups, agent=agent, extras=extras)
+
+
+def context_payload(items: DataFrame, created: str, event: str = "SessionStart", budget: int = 0, groups: DataFrame | None = None) -> DataFrame:
     """transcript_id and payload (JSON); a session's start also gets the marker instruction, which the budget covers."""
     tail = "\n" + b.MARKERS + "\n" if event == "SessionStart" else ""
     fitted = b.rendered_fit(b.scored(items), budget, created, tail) if budget > 0 else items
-    text = b.render(fitted, created, tail)
+    text = b.render(fitted, created, tail, groups=items if groups is None else groups)
     inner = F.struct(F.lit(event).alias("hookEventName"), F.col("rendered").alias("additionalContext"))
     return text.select("transcript_id", F.to_json(F.struct(inner.alias("hookSpecificOutput"))).alias("payload"))
 

@@ -22,9 +22,11 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("See /srv/app", c % 5, "/conf", t % 4, ".yaml and commit ", F.substring(F.md5((c * 1000 + t).cast("string").cast("binary")), 1, 8)),
         ("We decided to keep plan ", k, "."),
         ("I moved to City", k, " in 20", 10 + k, "."),
-        ("LESSON: always verify the token owner before pushing run ", k),
+        ("I work at Plant", k, " now, is it open?"),
+        ("Ticket #", 500 + k, " is 123e4567-e89b-12d3-a456-42661417400", k),
+        (F.when(k == 2, "So next time always verify the token owner of run ").otherwise("LESSON: always verify the token owner before pushing run "), k),
     )
-    asked = _lines(("Correction: the dashboard port is ", 4000 + k, ", not ", 3000 + k), ("mail user", c, "@example.com token = abcdef", 1000 + t))
+    asked = _lines(("Correction: the dashboard port is ", 4000 + k, ", not ", 3000 + k), ("mail user", c, "@example.com token = abcdef", 1000 + t), ("Исправление: порт панели ", 4000 + k, ", а не ", 3000 + k))
     told = _lines(("The system value is ", k, " [C:99%]"),)
     more = F.when(F.col("role") == "assistant", said).when(F.col("role") == "user", asked).otherwise(told)
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -45,10 +47,12 @@ raw AS (
       || 'See /srv/app' || (conv_id % 5) || '/conf' || (turn % 4) || '.yaml and commit ' || substr(md5(CAST(conv_id * 1000 + turn AS VARCHAR)), 1, 8) || chr(10)
       || 'We decided to keep plan ' || ((conv_id * 7 + turn) % 3) || '.' || chr(10)
       || 'I moved to City' || ((conv_id * 7 + turn) % 3) || ' in 20' || (10 + (conv_id * 7 + turn) % 3) || '.' || chr(10)
-      || 'LESSON: always verify the token owner before pushing run ' || ((conv_id * 7 + turn) % 3)
+      || 'I work at Plant' || ((conv_id * 7 + turn) % 3) || ' now, is it open?' || chr(10)
+      || 'Ticket #' || (500 + (conv_id * 7 + turn) % 3) || ' is 123e4567-e89b-12d3-a456-42661417400' || ((conv_id * 7 + turn) % 3) || chr(10)
+      || CASE (conv_id * 7 + turn) % 3 WHEN 2 THEN 'So next time always verify the token owner of run ' ELSE 'LESSON: always verify the token owner before pushing run ' END || ((conv_id * 7 + turn) % 3)
     WHEN 'user' THEN
       'Correction: the dashboard port is ' || (4000 + (conv_id * 7 + turn) % 3) || ', not ' || (3000 + (conv_id * 7 + turn) % 3) || chr(10)
-      || 'mail user' || conv_id || '@example.com token = abcdef' || (1000 + turn)
+      || 'mail user' || conv_id || '@example.com token = abcdef' || (1000 + turn) || chr(10) || 'Исправление: порт панели ' || (4000 + (conv_id * 7 + turn) % 3) || ', а не ' || (3000 + (conv_id * 7 + turn) % 3)
     ELSE 'The system value is ' || ((conv_id * 7 + turn) % 3) || ' [C:99%]' END AS text
   FROM conversations
 )"""

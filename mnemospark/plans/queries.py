@@ -24,14 +24,16 @@ from ..streaming import views
 from . import memory, overlay
 from .settings import HOOK_PROMPTS, SEARCHES, TASKS, THRESHOLD
 
-SQL_NAMES = ("calibration", "lessons", "retraction")
-_NO_ATOMIC = ("retraction", "calibration", "regex_floor", "lessons")
-
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked units, written once: extractors scan them several times."""
+    return table(overlay.units(spark, sf_dir), "units")
+
+
 def _json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as the JSON lines of five hosts, with a broken line behind each."""
     c = _t(spark, sf_dir, "conversations")
@@ -91,7 +93,7 @@ def calibration_claims(spark, sf_dir):
 
 
 def _floor(spark, sf_dir, kind):
-    return ex.regex_floor(overlay.units(spark, sf_dir)).filter(F.col("kind") == kind).select("transcript_id", "unit_idx", "text")
+    return ex.regex_floor(_units(spark, sf_dir)).filter(F.col("kind") == kind).select("transcript_id", "unit_idx", "text")
 
 
 def floor_paths(spark, sf_dir):
@@ -107,7 +109,7 @@ def floor_decisions(spark, sf_dir):
 
 
 def retraction_lines(spark, sf_dir):
-    return ex.retraction(overlay.units(spark, sf_dir)).select("transcript_id", "unit_idx", "text", "topic")
+    return ex.retraction(_units(spark, sf_dir)).select("transcript_id", "unit_idx", "text", "topic")
 
 
 def lesson_lines(spark, sf_dir):
@@ -115,7 +117,7 @@ def lesson_lines(spark, sf_dir):
 
 
 def atomic_facts(spark, sf_dir):
-    return ex.atomic(overlay.units(spark, sf_dir)).select("transcript_id", "unit_idx", "text", "topic")
+    return ex.atomic(_units(spark, sf_dir)).select("transcript_id", "unit_idx", "text", "topic")
 
 
 def sentence_parts(spark, sf_dir):
@@ -129,7 +131,7 @@ def topic_keys(spark, sf_dir):
 
 
 def _harvest(spark, sf_dir):
-    return table(rs.with_ids(ex.harvest(overlay.units(spark, sf_dir), _NO_ATOMIC)), "items")
+    return table(rs.with_ids(ex.harvest(_units(spark, sf_dir))), "items")
 
 
 def _claims(spark, sf_dir):
@@ -166,8 +168,8 @@ def supersede_orders(spark, sf_dir):
 
 
 def cross_conv_settle(spark, sf_dir):
-    items = rs.with_ids(ex.harvest(overlay.units(spark, sf_dir), ("calibration",))).withColumn("brief_id", F.lpad(F.col("transcript_id").cast("string"), 9, "0")).withColumn("ts", F.lit(None).cast("string")).withColumn("created_utc", F.lit(TASKS["created"]))
-    return co.corpus(items, items.filter("bucket = 'supplement'")).select("id", "text", "kind", "superseded", "source")
+    items = _harvest(spark, sf_dir).withColumn("brief_id", F.lpad(F.col("transcript_id").cast("string"), 9, "0")).withColumn("ts", F.lit(None).cast("string")).withColumn("created_utc", F.lit(TASKS["created"]))
+    return co.corpus(items.filter("bucket = 'claim'"), items.filter("bucket = 'supplement'")).select("id", "text", "kind", "superseded", "source")
 
 
 def _items(spark, sf_dir):
@@ -202,7 +204,8 @@ def session_payload(spark, sf_dir):
 
 
 def full_briefs(spark, sf_dir):
-    return memory.briefs(overlay.units(spark, sf_dir), TASKS["created"])
+    units = _units(spark, sf_dir)
+    return memory.briefs(units, TASKS["created"])
 
 
 def live_state_flags(spark, sf_dir):
@@ -280,7 +283,7 @@ def retention_by_arm(spark, sf_dir):
 
 
 def probe_extraction(spark, sf_dir):
-    return ev.extract_probes(overlay.units(spark, sf_dir).filter("role = 'assistant'"))
+    return ev.extract_probes(_units(spark, sf_dir).filter("role = 'assistant'"))
 
 
 def probe_arms(spark, sf_dir):
@@ -303,9 +306,9 @@ def quality_coverage(spark, sf_dir):
 
 
 def _gold(spark, sf_dir):
-    """Which documents hold which benchmark text; the benchmark is a table of fixed size."""
+    """Which documents hold which benchmark text."""
     items = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
-    return _t(spark, sf_dir, "documents").join(F.broadcast(items), F.col("text").contains(F.col("question")))
+    return ev.holders(_t(spark, sf_dir, "documents"), items)
 
 
 def recall_at_k(spark, sf_dir):
@@ -341,9 +344,12 @@ def lesson_anti_append(spark, sf_dir):
 
 
 def lessons_carried(spark, sf_dir):
-    found = ex.lessons(overlay.units(spark, sf_dir)).select(F.col("text"), (F.col("transcript_id") * 100_000 + F.col("unit_idx")).alias("seq"))
-    store = stores.once_by_text(found).withColumn("ts", F.lit("2024-01-01T00:00:00Z"))
-    return rs.carry_lessons(_harvest(spark, sf_dir).filter("bucket = 'claim'").withColumn("ts", F.lit(None).cast("string")), store, 2).select("transcript_id", "pos", "id", "text", "topic", "ts")
+    units = _units(spark, sf_dir)
+    claims = table(rs.with_ids(ex.harvest(units)), "items").filter("bucket = 'claim'").withColumn("ts", F.lit(None).cast("string"))
+    said = ex.lessons(units).select("transcript_id", "unit_idx", "text", (F.col("transcript_id") * 100_000 + F.col("unit_idx")).alias("seq"))
+    store = stores.new_lessons(said.select(stores.lesson_id(F.col("text")).alias("id")).filter("false"), said.select("text", "seq")).withColumn("ts", F.lit("2024-01-01T00:00:00Z"))
+    groups = units.select("transcript_id").distinct()
+    return rs.carry_lessons(claims, store, 2, groups=groups).select("transcript_id", "pos", "id", "text", "topic", "ts")
 
 
 def latest_by_topic_stream(spark, sf_dir):

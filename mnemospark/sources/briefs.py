@@ -59,13 +59,29 @@ def supplements(rows: DataFrame) -> DataFrame:
     return x.select("brief_id", "created_utc", "pos", id_.alias("id"), "s.text", "s.kind", F.col("s.source_harvester").alias("harvester"))
 
 
-def to_json(items: DataFrame, created: str, group: str = "transcript_id") -> DataFrame:
-    """group and value: one JSON document for each brief. A brief's items are its own, budgeted list."""
+def to_json(items: DataFrame, created: str, group: str = "transcript_id", report: DataFrame | None = None, groups: DataFrame | None = None, agent: str | None = None, extras: DataFrame | None = None) -> DataFrame:
+    """group and value: one JSON document for each brief. A brief's items are its own, budgeted list.
+
+    report: rows of `budget_report`, kept in source.budget; groups: all there are, with items or without; extras: group and
+    any of open_threads, narrative (lists), last_user_ask.
+    """
     claim = F.struct("id", "text", "confidence", "topic", F.col("harvester").alias("source_harvester"), "ts", F.col("span").alias("source_span"), "superseded_by", "supersedes")
     item = F.struct("id", "text", "kind", F.col("harvester").alias("source_harvester"))
     pick = lambda bucket, x: F.transform(F.array_sort(F.collect_list(F.when(F.col("bucket") == bucket, F.struct("pos", x.alias("x"))))), lambda y: y["x"])
     per = items.groupBy(group).agg(pick("claim", claim).alias("claims"), pick("supplement", item).alias("supplement"))
-    doc = F.struct("claims", F.lit(created).alias("created_utc"), F.lit(VERSION).alias("schema_version"), F.struct(F.col(group).cast("string").alias("session")).alias("source"), "supplement")
+    if groups is not None:
+        kinds = dict(per.dtypes)
+        per = groups.select(group).distinct().join(per, group, "left")
+        per = per.select(group, *(F.coalesce(c, F.array().cast(kinds[c])).alias(c) for c in ("claims", "supplement")))
+    source = [F.col(group).cast("string").alias("session")] + ([F.lit(agent).alias("agent")] if agent else [])
+    if report is not None:
+        names = ("budget_chars", "used_chars", "rendered_chars", "kept_claims", "kept_supplement", "dropped_items", "harvested_claims", "harvested_supplement")
+        per = per.join(report.select(group, F.struct(*(n for n in names if n in report.columns)).alias("budget")), group, "left")
+        source.append(F.col("budget"))
+    more = [c for c in ("open_threads", "narrative", "last_user_ask") if extras is not None and c in extras.columns]
+    if more:
+        per = per.join(extras.select(group, *more), group, "left")
+    doc = F.struct("claims", F.lit(created).alias("created_utc"), *more, F.lit(VERSION).alias("schema_version"), F.struct(*source).alias("source"), "supplement")
     return per.select(group, F.to_json(doc, {"ignoreNullFields": "true"}).alias("value"))
 
 

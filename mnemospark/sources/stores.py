@@ -17,11 +17,11 @@ def lesson_id(text):
 
 
 def read_lessons(spark: SparkSession, path: str) -> DataFrame:
-    """seq, id, text, ts, session of a JSON-lines log; broken lines are left out, of equal ids the first keeps its place and the last its values."""
+    """seq, id, text, ts, session of a JSON-lines log; broken lines and those without an id are left out, of equal ids the first keeps its place and the last its values."""
     from .transcripts import read_lines
 
     rows = read_lines(spark, path).select("transcript_id", "line", F.from_json("value", "id string, text string, ts string, session string").alias("l"))
-    rows = rows.filter(F.coalesce(F.col("l.text"), F.lit("")) != "").select(F.struct("transcript_id", "line").alias("at"), F.coalesce("l.id", lesson_id(F.col("l.text"))).alias("id"), "l.text", "l.ts", "l.session")
+    rows = rows.filter(F.col("l.text").isNotNull() & F.col("l.id").isNotNull()).select(F.struct("transcript_id", "line").alias("at"), "l.id", "l.text", "l.ts", "l.session")
     return latest(rows, "at").withColumn("seq", F.col("at.line")).drop("at")
 
 
@@ -59,6 +59,15 @@ def append_private(path: str, rows: list[dict]) -> None:
         os.fsync(f.fileno())
 
 
+def lesson_row(text: str, ts: str | None = None, session: str | None = None) -> dict:
+    """A line of the lesson log; its id is that of `lesson_id`."""
+    import hashlib
+
+    text = text.strip()
+    folded = " ".join(text.lower().replace("ß", "ss").replace("ς", "σ").split())
+    return {"id": hashlib.sha1(f"lesson||{folded}".encode()).hexdigest()[:16], "text": text, "ts": ts, "session": session}
+
+
 def read_observations(spark: SparkSession, url: str, table: str = "observations", limit: int = 300, driver: str | None = None) -> DataFrame:
     """Newest titled records of a relational store by JDBC, the text of title and narrative; filter and limit go down to it."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)

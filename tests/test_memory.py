@@ -154,15 +154,53 @@ def test_brief_files_and_lesson_store(spark, tmp_path):
     assert loose.count() == 2 and [r.brief_id for r in good.collect()] == ["one.json"]
     assert [r.text for r in briefs.claims(good).collect()] == ["The port is 3333"] and briefs.supplements(good).first()["kind"] == "path"
     log = str(tmp_path / "l" / "lessons.jsonl")
-    stores.append_private(log, [{"text": "first rule"}, {"text": "second rule", "ts": "1"}, {"text": "First  rule", "ts": "2"}])
+    stores.append_private(log, [stores.lesson_row("first rule"), stores.lesson_row("second rule", "1"), stores.lesson_row("First  rule", "2")])
     with open(log, "a") as f:
-        f.write("{broken\n")
+        f.write('{broken\n{"text": "a line without an id counts for nothing"}\n')
     kept = stores.read_lessons(spark, log)
     assert [(r.text, r.ts) for r in stores.recent(kept, 5).collect()] == [("second rule", "1"), ("First  rule", "2")]
     batch = spark.createDataFrame([(1, "first rule"), (2, "third rule"), (3, "third  RULE")], "seq int, text string")
     assert [r.text for r in stores.new_lessons(kept, batch).collect()] == ["third rule"]
 
 
+def test_lesson_ids_are_the_same_on_both_sides(spark):
+    texts = ["Always  VERIFY the Straße", "ς end"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(stores.lesson_id(F.col("text")).alias("id"))
+    assert [r.id for r in rows.collect()] == [stores.lesson_row(t)["id"] for t in texts]
+
+
+def test_fresh_lessons_take_places_among_the_newest(spark):
+    u = spark.createDataFrame([(1, k, "assistant", f"LESSON: always verify the fresh thing number {k}") for k in range(3)] + [(2, 0, "assistant", "nothing here")], "transcript_id int, unit_idx int, role string, text string")
+    claims = rs.with_ids(ex.harvest(u, ("lessons",))).withColumn("ts", F.lit(None).cast("string"))
+    old = spark.createDataFrame([(k, f"an older lesson, of number {k}", "t") for k in range(12)], "seq int, text string, ts string")
+    got = rs.carry_lessons(claims, old, 10, groups=u.select("transcript_id")).filter("ts = 't'").groupBy("transcript_id").count()
+    assert {tuple(r) for r in got.collect()} == {(1, 7), (2, 10)}
+    stored = old.unionByName(claims.select((F.col("pos") + 20).alias("seq"), "text", F.lit("t").alias("ts")))
+    got = rs.carry_lessons(claims, stored, 10, groups=u.select("transcript_id")).filter("ts = 't'").groupBy("transcript_id").count()
+    assert {tuple(r) for r in got.collect()} == {(1, 7), (2, 10)}
+
+
+def test_documents_record_their_budget_and_empty_transcripts_have_one(spark):
+    u = units(spark, *(f"The gauge{k} is {k * 111} [C:{50 + k}%]" for k in range(9))).unionByName(spark.createDataFrame([(2, 0, "tool", "nothing")], "transcript_id long, unit_idx int, role string, text string"))
+    extras = spark.createDataFrame([(1, ["next"], "go on")], "transcript_id long, open_threads array<string>, last_user_ask string")
+    rows = {r.transcript_id: json.loads(r.value) for r in memory.documents(u, "2024-05-01", memory.Config(budget_chars=600), agent="test", extras=extras).collect()}
+    cost = rows[1]["source"]["budget"]
+    assert cost["harvested_claims"] == 9 and cost["kept_claims"] == len(rows[1]["claims"]) == 9 - cost["dropped_items"] and 0 < cost["rendered_chars"] <= 600 and rows[1]["source"]["agent"] == "test"
+    assert rows[1]["open_threads"] == ["next"] and rows[2]["claims"] == [] and rows[2]["source"]["budget"]["harvested_claims"] == 0
+    shown = {r.transcript_id: r.rendered for r in memory.briefs(u, "2024-05-01").collect()}
+    assert "- None" in shown[2] and "gauge3" in shown[1]
+
+
+def test_statistics_by_extractor_kind_and_topic(spark):
+    c = spark.createDataFrame([("a", "t1", 1), ("a", "t2", 2), ("b", "t1", 3)], "harvester string, topic string, at int")
+    k = spark.createDataFrame([("path", 1), ("id", 2), ("path", 3)], "kind string, at int")
+    rows = st.breakdown(c, k).collect()
+    assert {(r.part, r.value, r.n, r["rank"]) for r in rows} == {("harvester", "a", 2, 1), ("harvester", "b", 1, 2), ("kind", "path", 2, 1), ("kind", "id", 1, 2), ("topic", "t1", 2, 1), ("topic", "t2", 1, 2)}
+    head = spark.createDataFrame([("b1", "2024", None)], "brief_id string, created_utc string, budget struct<harvested_claims:int,dropped_items:int>")
+    text = st.report(st.summary(head, spark.createDataFrame([], "text string, topic string, harvester string, confidence double, superseded_by string")).first(), rows)
+    assert "by extractor:\n  a: 2" in text and "most frequent topics:\n  t1: 2" in text
+
+
 def test_managed_block():
     once = briefs.managed_block("# Notes\n", f"a {briefs.END} b")
     assert briefs.managed_block(once, f"a {briefs.END} b") == once and once.startswith("# Notes\n\n") and once.count(briefs.END) == 1
@@ -181,6 +219,22 @@ def test_events(spark):
     assert (got["r"].thread_id, got["r"].input_tokens, got["r"].events, got["e"].parse_error) == ("t1", 9, 5, True)
 
 
+def test_many_probes_are_matched_as_few_are(spark, monkeypatch):
+    rng = __import__("random").Random(3)
+    some = lambda n: " ".join(rng.choice("abcdefghij") * rng.randint(1, 2) for _ in range(n))
+    probes = spark.createDataFrame([(k, some(rng.randint(0, 6)), "x") for k in range(40)], "id int, text string, harvester string")
+    items = spark.createDataFrame([(k, some(rng.randint(0, 8)), f"h{k % 3}") for k in range(300)], "seq int, text string, harvester string")
+    few = sorted(map(tuple, ev.best_match(probes, items).collect()))
+    monkeypatch.setattr(ev, "FEW_PROBES", 0)
+    assert few == sorted(map(tuple, ev.best_match(probes, items).collect()))
+
+
+def test_holders_of_a_passage(spark):
+    d = spark.createDataFrame([(1, "one two three four"), (2, "xone two threex"), (3, "two"), (4, None), (5, "one two thre")], "doc_id int, text string")
+    i = spark.createDataFrame([("a", "one two three"), ("b", "two"), ("c", "e two t")], "item string, question string")
+    assert {(r.doc_id, r.item) for r in ev.holders(d, i).collect()} == {(1, "a"), (2, "a"), (1, "b"), (2, "b"), (3, "b"), (5, "b"), (1, "c"), (2, "c"), (5, "c")}
+
+
 def test_probes_and_recall(spark):
     probes = spark.createDataFrame([("p1", "the port is 3333", "calibration"), ("p2", "/srv/app", "regex_floor"), ("p3", "port is 3333 now ok", "x"), ("p4", "nothing alike", "x")], "id string, text string, harvester string")
     items = spark.createDataFrame([(0, "The  port is 3333", "atomic"), (1, "/srv/app", "regex_floor"), (2, "the port is 3333", "calibration")], "seq int, text string, harvester string")
@@ -249,4 +303,4 @@ def test_lessons_of_every_transcript_reach_the_append(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1, "assistant", "x"), (1, 3, "assistant", "y"), (2, 1, "assistant", "z")], "conv_id long, turn long, role string, text string")
     rows.write.parquet(f"{tmp_path}/conversations.parquet")
     got = queries.lesson_anti_append(spark, str(tmp_path)).collect()
-    assert sorted(r.text for r in got) == [f"always verify the token owner before pushing run {k}" for k in (1, 2)]
+    assert sorted(r.text for r in got) == ["So next time always verify the token owner of run 2", "always verify the token owner before pushing run 1"]
