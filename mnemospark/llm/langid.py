@@ -4,26 +4,26 @@ The network (two GRU layers side by side, one from each end, and a softmax at ev
 trained here in numpy by backpropagation through time. It labels every byte position of a text, cut
 into windows; a document's probabilities are the mean over all of its positions.
 
-Training uses at most PER_LANGUAGE stretches of SPAN characters for each language, from labelled
-documents with the smallest hashes of their doc_id, at most LANGUAGES languages (the most frequent). A
-prediction sees nothing but the text.
+Every language that a labelled document has is learned, from at most PER_LANGUAGE stretches of SPAN characters each (fewer
+where there are so many languages that TOTAL stretches wouldn't do; one at least), taken from its documents with the smallest hashes
+of doc_id; all bytes of these are used. A prediction sees nothing but the text.
 
 Cases: a null text, or one without a letter, is `und` with score 0. Without any labelled document all
 are `und`. With one language, that is it. Repeated rows are predicted one by one. An empty table gives
-no rows. Other columns are ignored.
+no rows. Other columns, whatever their names, are ignored by `predict` and kept by `keep_known`.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .shared import lean, slices
+from .shared import fresh, lean, slices
 
-LANGUAGES, PER_LANGUAGE, SPAN = 64, 400, 256
+PER_LANGUAGE, TOTAL, SPAN = 400, 25_600, 256
 WINDOW, HIDDEN = 64, 8
 UNKNOWN = "und"
 
@@ -118,43 +118,52 @@ class Network:
             out[t] = y
         return out
 
+    def params(self) -> list[np.ndarray]:
+        return [*self.forward.params(), *self.backward.params(), self.v, self.b]
+
+    def gradients(self, bytes_: np.ndarray, want: np.ndarray, mask: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean loss over the positions in mask, and its gradient for each of params, by backpropagation through time;
+        bytes_ and mask: (position, lane), want: the language of each lane."""
+        k, batch, n = self.forward.h, bytes_.shape[1], len(bytes_)
+        runs = []
+        for layer, order in ((self.forward, range(n)), (self.backward, range(n - 1, -1, -1))):
+            h, states, saved = np.zeros((k, batch), np.float32), {}, {}
+            for t in order:
+                before = h
+                h, keep = layer.step(bytes_[t], h)
+                states[t], saved[t] = h, (before, keep)
+            runs.append((states, saved))
+        grads = [np.zeros_like(p) for p in self.params()]
+        douts, loss, total = {}, 0.0, max(1.0, float(mask.sum()))
+        lanes = np.arange(batch)
+        for t in range(n):
+            both = np.concatenate([runs[0][0][t], runs[1][0][t]])
+            y = self.v @ both + self.b
+            y = np.exp(y - y.max(axis=0))
+            y /= y.sum(axis=0)
+            loss -= float((np.log(y[want, lanes] + 1e-9) * mask[t]).sum())
+            y[want, lanes] -= 1
+            y *= mask[t] / total
+            grads[4] += y @ both.T
+            grads[5] += y.sum(axis=1, keepdims=True)
+            douts[t] = self.v.T @ y
+        for layer, (_, saved), order, part, g in ((self.forward, runs[0], range(n - 1, -1, -1), slice(0, k), grads[:2]), (self.backward, runs[1], range(n), slice(k, 2 * k), grads[2:4])):
+            dh = np.zeros((k, batch), np.float32)
+            for t in order:
+                dh = layer.back(bytes_[t], saved[t][0], saved[t][1], dh + douts[t][part], g)
+        return loss / total, grads
+
     def train(self, x: np.ndarray, labels: np.ndarray, valid: np.ndarray, steps: int = 260, batch: int = 128, rate: float = 0.02, seed: int = 13) -> list[float]:
-        """Backpropagation through time with Adam; the mean loss of every step."""
+        """Adam on windows drawn at random, each language as often as any other; the mean loss of every step."""
         rng = np.random.default_rng(seed)
-        params = [*self.forward.params(), *self.backward.params(), self.v, self.b]
+        params = self.params()
         moment, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        own = [np.flatnonzero(labels == k) for k in np.unique(labels)]
         losses = []
-        k = self.forward.h
         for s in range(1, steps + 1):
-            pick = rng.integers(0, len(x), batch)
-            bytes_, want, mask = np.ascontiguousarray(x[pick].T), labels[pick], valid[pick].T.astype(np.float32)
-            n = len(bytes_)
-            runs = []
-            for layer, order in ((self.forward, range(n)), (self.backward, range(n - 1, -1, -1))):
-                h, states, saved = np.zeros((k, batch), np.float32), {}, {}
-                for t in order:
-                    before = h
-                    h, keep = layer.step(bytes_[t], h)
-                    states[t], saved[t] = h, (before, keep)
-                runs.append((states, saved))
-            grads = [np.zeros_like(p) for p in params]
-            douts, loss, total = {}, 0.0, max(1.0, float(mask.sum()))
-            for t in range(n):
-                both = np.concatenate([runs[0][0][t], runs[1][0][t]])
-                y = self.v @ both + self.b
-                y = np.exp(y - y.max(axis=0))
-                y /= y.sum(axis=0)
-                loss -= float((np.log(y[want, np.arange(batch)] + 1e-9) * mask[t]).sum())
-                y[want, np.arange(batch)] -= 1
-                y *= mask[t] / total
-                grads[4] += y @ both.T
-                grads[5] += y.sum(axis=1, keepdims=True)
-                douts[t] = self.v.T @ y
-            for layer, (states, saved), order, part, g in ((self.forward, runs[0], range(n - 1, -1, -1), slice(0, k), grads[:2]), (self.backward, runs[1], range(n), slice(k, 2 * k), grads[2:4])):
-                dh = np.zeros((k, batch), np.float32)
-                for t in order:
-                    dh = layer.back(bytes_[t], saved[t][0], saved[t][1], dh + douts[t][part], g)
-            losses.append(loss / total)
+            pick = np.array([own[k][int(u * len(own[k]))] for k, u in zip(rng.integers(0, len(own), batch), rng.random(batch))])
+            loss, grads = self.gradients(np.ascontiguousarray(x[pick].T), labels[pick], valid[pick].T.astype(np.float32))
+            losses.append(loss)
             step = rate * min(1.0, 3 * (1 - s / (steps + 1)))
             for p, g, m, v in zip(params, grads, moment, square):
                 np.clip(g, -1, 1, out=g)
@@ -177,19 +186,25 @@ def windows(data: np.ndarray, offsets: np.ndarray, width: int = WINDOW) -> tuple
 
 
 def _training_rows(docs: DataFrame) -> list[tuple[str, str]]:
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    """(lang, stretch) of each language's documents with the smallest hashes."""
+    known = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    sizes = known.groupBy("lang").count()
+    languages = sizes.count()
+    if not languages:
+        return []
+    most = max(1, min(PER_LANGUAGE, TOTAL // languages))
     hashed = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40))
-    chance = F.lit(0)
-    for lang, n in sizes:
-        chance = F.when(F.col("lang") == lang, F.lit(min(1 << 40, PER_LANGUAGE * (1 << 40) // n))).otherwise(chance)
-    chosen = known.withColumn("_h", hashed).filter(F.col("_h") < chance)
-    begin = F.pmod(F.col("_h"), F.greatest(F.length("text") - SPAN, F.lit(1))) + 1
-    return chosen.select("lang", F.substr("text", begin.cast("int"), F.lit(SPAN)).alias("text"), "_h").orderBy("_h", "lang", "text").limit(PER_LANGUAGE * len(sizes) + 1).drop("_h").collect() if sizes else []
+    # Some more than needed pass by their hash alone, so only they are ranked.
+    chance = F.least(F.lit(1.0), F.lit(2.0 * most + 50) / F.col("count")) * (1 << 40)
+    chosen = known.withColumn("h", hashed).join(sizes, "lang").filter(F.col("h") < chance)
+    begin = F.pmod(F.col("h"), F.greatest(F.length("text") - SPAN, F.lit(1))) + 1
+    chosen = chosen.select("lang", F.substr("text", begin.cast("int"), F.lit(SPAN)).alias("text"), "h")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    return chosen.withColumn("n", place).filter(F.col("n") <= most).orderBy("lang", "n").select("lang", "text").collect()
 
 
 def fit(docs: DataFrame) -> Network | None:
-    """Trains a network on the labelled documents that aren't held out."""
+    """Trains a network on the labelled documents that aren't held out; with more languages it is larger and trained for longer."""
     rows = _training_rows(docs)
     languages = sorted({r[0] for r in rows})
     if not languages:
@@ -197,11 +212,10 @@ def fit(docs: DataFrame) -> Network | None:
     data, offsets = bytescan.utf8(pa.array([r[1] for r in rows], pa.string()))
     x, length, first = windows(data, offsets)
     labels = np.array([languages.index(r[0]) for r in rows])[bytescan.row_of(first)]
-    network = Network(languages)
-    if len(languages) > 1 and len(x):
-        # Languages with few rows are drawn as often as others.
-        order = np.concatenate([np.resize(np.flatnonzero(labels == k), 1024) for k in range(len(languages)) if (labels == k).any()])
-        network.train(x[order], labels[order], (np.arange(WINDOW) < length[:, None])[order])
+    n = len(languages)
+    network = Network(languages, max(HIDDEN, min(32, n // 2)))
+    if n > 1 and len(x):
+        network.train(x, labels, np.arange(WINDOW) < length[:, None], steps=max(260, 8 * n))
     return network
 
 
@@ -259,4 +273,4 @@ def keep_known(docs: DataFrame, network: Network | None, least: float = 0.5) ->
             else:
                 yield rest.filter(pa.array(known & (document_probabilities(network, text).max(axis=1) >= least)))
 
-    return docs.withColumn("_letters", text).mapInArrow(lean(run), docs.schema)
+    return docs.withColumn(fresh(docs, "letters"), text).mapInArrow(lean(run), docs.schema)

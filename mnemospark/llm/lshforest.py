@@ -54,8 +54,9 @@ class Forest:
         high = low + (1 << (self.bits - depth))
         return tuple(np.stack([np.searchsorted(self.sorted[t], v[t]) for t in range(self.trees)]) for v in (low, high))
 
-    def candidates(self, queries: np.ndarray, least: int):
-        """For each query, rows found by ascending in all trees at once until `least` are met."""
+    def candidates(self, queries: np.ndarray, least: int, own: np.ndarray, k: int):
+        """For each query, rows found by ascending in all trees at once until `least` are met, and k of them at least that
+        aren't its own (own: how many rows of the query's own id there are)."""
         strings = self._strings(queries)
         kept = {}
         todo = np.arange(len(queries))
@@ -64,16 +65,22 @@ class Forest:
             # Trees overlap: each row may be met once in each.
             enough = (high - low).sum(axis=0) >= least * 1.5 if depth else np.ones(len(todo), bool)
             for j in np.flatnonzero(enough):
-                kept[todo[j]] = low[:, j], high[:, j]
+                met = self._met(low[:, j], high[:, j])
+                if depth == 0 or met.sum() >= k + own[todo[j]]:
+                    kept[todo[j]] = met
+                else:
+                    enough[j] = False
             todo = todo[~enough]
             if not len(todo):
                 break
-        for k in range(len(queries)):
-            low, high = kept[k]
-            met = np.zeros(len(self.x), bool)
-            for t in range(self.trees):
-                met[self.order[t, low[t] : high[t]]] = True
-            yield np.flatnonzero(met)
+        for j in range(len(queries)):
+            yield np.flatnonzero(kept[j])
+
+    def _met(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        met = np.zeros(len(self.x), bool)
+        for t in range(self.trees):
+            met[self.order[t, low[t] : high[t]]] = True
+        return met
 
 
 def _clean(vectors: DataFrame, id_: str, vector: str) -> tuple[DataFrame, int]:
@@ -113,7 +120,8 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, id_: str = "ve
                     if forest is None:
                         ids = np.concatenate(ids)
                         forest = Forest(np.concatenate(held))
-                    for j, found in enumerate(forest.candidates(x[a:z], max(60 * k, int(share * len(ids))))):
+                    own = np.array([np.count_nonzero(ids == q) for q in id_[a:z]])
+                    for j, found in enumerate(forest.candidates(x[a:z], max(60 * k, int(share * len(ids))), own, k)):
                         found = found[ids[found] != id_[a + j]]
                         distance = np.sqrt(((forest.x[found] - x[a + j]) ** 2).sum(axis=1))
                         best = np.lexsort((ids[found], distance))[:k]

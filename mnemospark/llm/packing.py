@@ -3,13 +3,12 @@
 The global histogram of lengths goes through a dynamic program that chooses the bucket boundaries with
 the least padding; inside each bucket, batches are formed that hold at most a budget of padded tokens.
 
-A length is a number of whitespace-separated words. The histogram's bins are exact up to 4096 words; a
-longer length is rounded up to 12 significant bits, so the histogram that reaches the driver has at most
-4096 + 2048 * 51 rows for any input, and a boundary is at most 1/2048 above the length it stands for.
+A length is a number of whitespace-separated words. The histogram is exact, a row for each length that occurs: d of these
+need d * (d + 1) / 2 words in all, so 10^13 words (about 100 TB) give at most 4.5 million rows to the driver.
 
 Cases: a null or empty text has length 0 and is packed like any other. A document longer than the
 budget makes a batch by itself. Repeated rows are packed one by one. An empty table gives no rows. Ties
-in length are ordered by doc_id.
+in length are ordered by doc_id. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +23,12 @@ from .shared import lean, slices, table
 
 BUCKETS = 16
 BUDGET = 65_536
-PARTS = 256
+#: Rows of a bucket that are ranked together, about; at least PARTS parts.
+PARTS, PART_ROWS = 256, 1 << 20
 
 
 def lengths(docs: DataFrame) -> DataFrame:
-    """doc_id and n_tokens of every row."""
+    """doc_id, n_tokens and salt (a hash of id and text) of every row."""
 
     def count(batches):
         for b in batches:
@@ -36,15 +36,16 @@ def lengths(docs: DataFrame) -> DataFrame:
             out = np.zeros(len(text), np.int64)
             for at, n in slices(text):
                 out[at : at + n] = np.diff(bytescan.words(*bytescan.utf8(text.slice(at, n)))[2])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out), b.column(2)], names=["doc_id", "n_tokens", "salt"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(count), "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("doc_id", "text")).mapInArrow(lean(count), "doc_id long, n_tokens long, salt long")
 
 
 def boundaries(values: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper ends of at most `buckets` buckets of sorted values with the least total padding.
 
-    Divide and conquer over the last cut: the optimal cut never moves left as the end moves right.
+    Divide and conquer over the last cut: the optimal cut never moves left as the end moves right. The intervals of a
+    level are searched side by side, so a layer takes log2(n) passes over arrays of about n candidates.
     """
     n = len(values)
     if n == 0:
@@ -56,17 +57,22 @@ def boundaries(values: np.ndarray, counts: np.ndarray, buckets: int) -> list[int
     cuts = []
     for _ in range(min(buckets, n) - 1):
         nxt, cut = best.copy(), np.zeros(n + 1, np.int64)
-        todo = [(1, n, 0, n - 1)]
-        while todo:
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
+        lo, hi, a, b = (np.array([x]) for x in (1, n, 0, n - 1))
+        while len(lo):
             j = (lo + hi) // 2
-            i = np.arange(a, min(j - 1, b) + 1)
-            cost = best[i] + value[j - 1] * (rows[j] - rows[i])
-            k = int(np.argmin(cost))
-            nxt[j], cut[j] = cost[k], i[k]
-            todo += [(lo, j - 1, a, i[k]), (j + 1, hi, i[k], b)]
+            size = np.minimum(j - 1, b) - a + 1
+            first = np.cumsum(size) - size
+            i = np.repeat(a - first, size) + np.arange(size.sum())
+            end = np.repeat(j, size)
+            cost = best[i] + value[end - 1] * (rows[end] - rows[i])
+            least = np.minimum.reduceat(cost, first)
+            at = np.flatnonzero(cost == np.repeat(least, size))
+            owner = np.searchsorted(first, at, "right") - 1
+            k = i[at[np.unique(owner, return_index=True)[1]]]
+            nxt[j], cut[j] = least, k
+            lo, hi, a, b = np.concatenate([lo, j + 1]), np.concatenate([j - 1, hi]), np.concatenate([a, k]), np.concatenate([k, b])
+            go = lo <= hi
+            lo, hi, a, b = lo[go], hi[go], a[go], b[go]
         cuts.append(cut)
         best = nxt
     ends, j = [], n
@@ -83,23 +89,23 @@ def boundaries(values: np.ndarray, counts: np.ndarray, buckets: int) -> list[int
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_len, batch_id, batch_pos, padding: one row a document."""
     spark = docs.sparkSession
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)) + 1)).cast("int") - 12)
-    unit = F.pow(F.lit(2.0), bits).cast("long")
-    sized = table(spark, lengths(docs).withColumn("bin", (F.ceil(F.col("n_tokens") / unit) * unit).cast("long")), "lengths")
-    bins = sized.groupBy("bin").count().orderBy("bin").collect()
-    ends = boundaries(np.array([r[0] for r in bins], np.int64), np.array([r[1] for r in bins], np.int64), buckets)
+    sized = table(spark, lengths(docs), "lengths")
+    bins = sized.groupBy("n_tokens").count().toArrow().sort_by("n_tokens")
+    values, counts = (bins.column(c).to_numpy() for c in ("n_tokens", "count"))
+    ends = boundaries(values, counts, buckets)
     bucket = F.lit(len(ends) - 1)
     for k in range(len(ends) - 2, -1, -1):
-        bucket = F.when(F.col("bin") <= ends[k], k).otherwise(bucket)
-    sized = sized.withColumn("bucket", bucket.cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+        bucket = F.when(F.col("n_tokens") <= ends[k], k).otherwise(bucket)
+    parts = max(PARTS, int(counts.sum()) // PART_ROWS)
+    sized = sized.withColumn("bucket", bucket.cast("int")).withColumn("part", F.pmod("salt", F.lit(parts)).cast("int"))
     begin: dict[int, int] = {}
     before = []
-    for r in sized.groupBy("bucket", "part").count().orderBy("bucket", "part").collect():  # at most BUCKETS * PARTS rows
+    for r in sized.groupBy("bucket", "part").count().orderBy("bucket", "part").collect():  # at most buckets * parts rows
         at = begin.get(r[0], 0)
         before.append((r[0], r[1], ends[r[0]], max(1, budget // max(1, ends[r[0]])), at))
         begin[r[0]] = at + r[2]
     lookup = spark.createDataFrame(before, "bucket int, part int, bucket_len long, a_batch long, begin long")
-    rank = F.col("begin") + F.row_number().over(Window.partitionBy("bucket", "part").orderBy("doc_id", "n_tokens")) - 1
+    rank = F.col("begin") + F.row_number().over(Window.partitionBy("bucket", "part").orderBy("doc_id", "n_tokens", "salt")) - 1
     return (
         sized.join(F.broadcast(lookup), ["bucket", "part"])
         .withColumn("rank", rank)

@@ -7,12 +7,13 @@ rest, until none is good enough. The list becomes one ordered Spark conditional
 scoring a document costs a few comparisons.
 
 The statistics are taken from whole texts. Learning uses at most `rows` labelled documents, those with
-the smallest hash of their doc_id.
+the smallest hash of their doc_id; of these, the ones that the base rule leaves.
 
 Cases: a null or empty text has no words and fails the base rule; so does any text of fewer than 50
 words. Without labels, or without two classes, the list is empty and only the base rule decides. A
 doc_id labelled several times counts as often; labels without a document, or null ones, are left out.
-Repeated rows are judged one by one. An empty table gives no rows. Other columns are ignored.
+Repeated rows are judged one by one. An empty table gives no rows. Other columns, whatever their names, are ignored by `judge` and
+kept by `keep_good`.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .shared import lean, slices, table
+from .shared import fresh, lean, slices
 
 ROWS = 20_000
 MIN_WORDS = 50
@@ -197,25 +198,29 @@ def verdict(rules: list[list[Test]]) -> Column:
     return out
 
 
-def fit(stats: DataFrame, labels: DataFrame, rows: int = ROWS) -> list[list[Test]]:
-    """The decision list for documents with the given statistics; labels: doc_id, quality (0: reject)."""
-    known = labels.filter("quality is not null").select("doc_id", (F.col("quality") == 0).alias("bad"))
-    sample = stats.filter(~base_failed()).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(rows)
-    got = sample.select(*(ratio(k).alias(k) for k in RATIOS), "bad").toPandas()
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> list[list[Test]]:
+    """The decision list for documents; labels: doc_id, quality (0: reject). At most `rows` labels are sent to the documents."""
+    known = labels.filter("quality is not null and doc_id is not null").select("doc_id", (F.col("quality") == 0).alias("bad"))
+    n = known.count()
+    hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 40))
+    # Some more than needed pass by their hash alone, so only they are sorted.
+    sample = known.withColumn("h", hashed).filter(F.col("h") < (1 << 40 if n <= rows else int((1 << 40) * (1.1 * rows + 100) / n)))
+    sample = sample.orderBy("h", "doc_id", "bad").limit(rows).select("doc_id", "bad")
+    stats = statistics(docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi"))
+    got = stats.filter(~base_failed()).join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).select(*(ratio(k).alias(k) for k in RATIOS), "bad").toPandas()
     return learn({k: got[k].to_numpy(np.float64) for k in RATIOS}, got["bad"].to_numpy(bool)) if len(got) else []
 
 
 def judge(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     """doc_id, COUNTS, base_failed, kept for each row of docs."""
-    stats = table(docs.sparkSession, statistics(docs), "statistics")
-    rules = fit(stats, labels, rows)
-    return stats.select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
+    rules = fit(docs, labels, rows)
+    return statistics(docs).select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     """The rows of docs, all columns, that neither the base rule nor the decision list rejects."""
-    rules = fit(table(docs.sparkSession, statistics(docs), "statistics"), labels, rows)
-    named = {c: f"_rule_{c}" for c in COUNTS}
+    rules = fit(docs, labels, rows)
+    named = {c: fresh(docs, c) for c in COUNTS}
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{c}` long" for c in named.values())])
 
     def run(batches):
@@ -225,5 +230,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame
 
     failed, good = base_failed(), verdict(rules)
     counted = docs.mapInArrow(lean(run), schema)
-    for_rules = counted.select(F.struct("*").alias("doc"), *(F.col(v).alias(c) for c, v in named.items()))
-    return for_rules.filter(~failed & good).select("doc.*").select(*docs.columns)
+    doc = "d" + fresh(docs, "doc")
+    for_rules = counted.select(F.struct(*docs.columns).alias(doc), *(F.col(v).alias(c) for c, v in named.items()))
+    return for_rules.filter(~failed & good).select(*(F.col(doc)[c].alias(c) for c in docs.columns))

@@ -3,10 +3,10 @@
 Records hash into a fixed number of virtual slots; a small, versioned table maps slots to shards.
 Only that table is edited when shards must be rebalanced or added, records never change their slot.
 
-Law ``bytes``: the shards' sizes are near equal. Rows with equal texts share a slot, hence a shard, as
-long as they are light; a group of copies that holds more than 1/16 of a shard's fair share of bytes
-or rows is salted by doc_id over several slots. At most 2 * 16 * shards groups can be that heavy, so
-their list is bounded whatever the input.
+Law ``bytes``: the shards' sizes are near equal. Rows with equal texts share a slot, hence a shard, wherever the law allows:
+groups of copies that hold more than 1/16 of a shard's fair share of bytes (at most 16 * shards can) are placed on the driver
+first, whole where they hold at most half a share. Only if sizes then differ by more than 1 % of a share, groups above a
+quarter, then an eighth, then a sixteenth of a share are salted by doc_id over several slots.
 
 Cases: a null text counts as no bytes and has checksum 0; an empty one equals it in size. Repeated
 rows each get a place of their own. An empty table gives no rows. A null doc_id hashes like any
@@ -26,6 +26,8 @@ from .shared import new_path, table
 
 SLOTS = 4096
 HEAVY = 16
+#: Rows of a slot that are ranked together, about.
+PART_ROWS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -96,6 +98,25 @@ class SlotMap:
         return SlotMap(x["version"], x["shards"], tuple(x["shard_of"]))
 
 
+def split_from(groups: list[int], total: int, shards: int, slots: int, slack: float = 0.01) -> int:
+    """2, 4, 8 or 16: groups of copies above this part of a shard's share are split. The first with which the largest and the smallest
+    shard differ by at most slack of a share, where each group or piece of one is placed as a whole and the rest is spread evenly."""
+    share = total / shards
+    rest = (total - sum(groups)) / slots
+    for parts in (2, 4, 8, HEAVY):
+        items = []
+        for b in groups:
+            n = max(1, -(-b * parts // share)) if b > share / parts else 1
+            items += [b / n] * int(n)
+        load = [0.0] * shards
+        for x in sorted(items, reverse=True) + [rest] * slots:
+            k = min(range(shards), key=load.__getitem__)
+            load[k] += x
+        if max(load) - min(load) <= max(slack * share, 2 * rest):
+            return parts
+    return HEAVY
+
+
 def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (place inside the shard, gapless from 0), grown_shard,
     virtual_slot, map_version."""
@@ -106,29 +127,32 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
         docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.xxhash64(text).alias("copies")),
         "shard-rows",
     )
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    share = [max(1.0, x / (shards * HEAVY)) for x in total]
-    # Bounded: at most shards * HEAVY groups exceed either share.
-    heavy = rows.groupBy("copies").agg(F.sum("size").alias("b"), F.count("*").alias("n")).filter((F.col("b") > share[0]) & (F.col("n") > 1) | (F.col("n") > share[1]) & (F.col("n") > 1))
-    heavy = heavy.select("copies", F.ceil(F.greatest(F.col("b") / share[0], F.col("n") / share[1])).alias("pieces"))
-    placed = rows.join(F.broadcast(heavy), "copies", "left").withColumn(
-        "virtual_slot",
-        F.pmod(F.xxhash64("copies", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(F.lit(0).cast("long"))), F.lit(slots)).cast("int"),
-    )
-    weights, counts = [0] * slots, [0] * slots
-    for r in placed.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():  # at most one row a slot
-        weights[r[0]], counts[r[0]] = r[1], r[2]
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    share = max(1.0, total / shards)
+    # At most shards * HEAVY groups are that heavy.
+    groups = rows.groupBy("copies").agg(F.sum("size").alias("b"), F.count("*").alias("n")).filter((F.col("b") > share / HEAVY) & (F.col("n") > 1)).collect()
+    limit = share / split_from([r["b"] for r in groups], total, shards, slots)
+    pieces = spark.createDataFrame([(r["copies"], int(-(-r["b"] // limit))) for r in groups if r["b"] > limit], "copies long, pieces long")
+    salt = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(F.lit(0).cast("long"))
+    parts = max(1, n // (slots * PART_ROWS))
+    placed = rows.join(F.broadcast(pieces), "copies", "left").withColumn("virtual_slot", F.pmod(F.xxhash64("copies", salt), F.lit(slots)).cast("int"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "copies"), F.lit(parts)).cast("int"))
+    weights, counts = [0] * slots, [[0] * parts for _ in range(slots)]
+    for r in placed.groupBy("virtual_slot", "part").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():  # at most one row a slot, or a million rows
+        weights[r[0]] += r[2]
+        counts[r[0]][r[1]] = r[3]
     folder = new_path(spark, "slot-map")
     slot_map = SlotMap.load(spark, SlotMap.balanced(weights, shards).save(spark, folder))
     begin, before = [0] * shards, []
     for slot, s in enumerate(slot_map.shard_of):
-        before.append((slot, s, begin[s]))
-        begin[s] += counts[slot]
-    lookup = spark.createDataFrame(before, "virtual_slot int, shard int, begin long")
-    inside = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32"))
+        for part, count in enumerate(counts[slot]):
+            before.append((slot, part, s, begin[s]))
+            begin[s] += count
+    lookup = spark.createDataFrame(before, "virtual_slot int, part int, shard int, begin long")
+    inside = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "size", "text_crc32"))
     return (
         placed.withColumn("inside", inside)
-        .join(F.broadcast(lookup), "virtual_slot")
+        .join(lookup, ["virtual_slot", "part"])
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("begin") + F.col("inside") - 1).cast("long").alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slot_map.version).alias("map_version"),

@@ -30,7 +30,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean, new_path, table
+from .shared import lean, maybe_in, new_path, table
 
 GZIP, LEVEL, CHUNK = 31, 6, 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -106,7 +106,12 @@ def write(pages: DataFrame) -> DataFrame:
     # Only payloads that occur more than once; as a table, so that the planner sees its real size and
     # broadcasts it only if it is small.
     again = table(spark, rows.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1 and keep is not null").select("digest", "keep"), "warc-again")
-    rows = rows.join(again, "digest", "left").select("page_id", "url", F.encode("payload", "utf-8").alias("payload"), "digest", "keep")
+    # Pages whose payload occurs once never leave their task, however many others there are.
+    rows = rows.withColumn("h", F.xxhash64("digest"))
+    ids = again.select(F.xxhash64("digest").alias("h"))
+    met = maybe_in(rows, "h", ids).join(again, "digest", "left")
+    rows = met.unionByName(maybe_in(rows, "h", ids, among=False).withColumn("keep", F.lit(None).cast("long")))
+    rows = rows.select("page_id", "url", F.encode("payload", "utf-8").alias("payload"), "digest", "keep")
 
     def make(batches):
         fs, root = FileSystem.from_uri(folder)

@@ -236,16 +236,49 @@ def test_language_id_is_right_on_held_out_documents(spark_):
 
 
 def test_back_propagation_agrees_with_differences():
+    rng = np.random.default_rng(1)
+    net = langid.Network(["a", "b", "c"], hidden=3)
+    for layer in (net.forward, net.backward):
+        layer.w, layer.u = (rng.normal(0, 0.5, p.shape) for p in layer.params())
+    net.v, net.b = rng.normal(0, 0.5, net.v.shape), rng.normal(0, 0.5, net.b.shape)
+    x, want = rng.integers(97, 103, (7, 5)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    mask = (rng.random((7, 5)) < 0.8).astype(np.float32)
+    _, grads = net.gradients(x, want, mask)
+    for p, g in zip(net.params(), grads):
+        used = np.argwhere(np.abs(g) > 1e-4)
+        for at in map(tuple, used[rng.permutation(len(used))[:12]]):
+            kept, e = p[at], 1e-2
+            p[at] = kept + e
+            high = net.gradients(x, want, mask)[0]
+            p[at] = kept - e
+            low = net.gradients(x, want, mask)[0]
+            p[at] = kept
+            assert abs((high - low) / (2 * e) - g[at]) < 2e-3 + 0.03 * abs(g[at])
+
+
+def test_training_learns():
     rng = np.random.default_rng(1)
     net = langid.Network(["a", "b"], hidden=3)
-    for p in (*net.forward.params(), *net.backward.params(), net.v, net.b):
-        p[...] = rng.normal(0, 0.3, p.shape)
     x = rng.integers(97, 110, (64, 12)).astype(np.uint8)
     y = (x[:, 0] % 2).astype(int)
     losses = net.train(x, y, np.ones((64, 12), bool), steps=150, batch=64)
     assert np.mean(losses[-10:]) < 0.3 * losses[0]
 
 
+def test_seventy_languages_are_all_learned(spark_):
+    rng = random.Random(2)
+    letters = [chr(c) for c in range(0x561, 0x587)] + [chr(c) for c in range(0x3B1, 0x3C9)] + [chr(c) for c in range(0x10D0, 0x10F0)]
+    rows = []
+    for k in range(70):
+        own = [letters[k], letters[(3 * k + 7) % len(letters)]]
+        rows += [(100 * k + j, "".join(rng.choice(own) for _ in range(300)), f"l{k:02d}") for j in range(8)]
+    table = spark_.createDataFrame(rows, "doc_id long, text string, lang string")
+    network = langid.fit(table)
+    assert network.languages == [f"l{k:02d}" for k in range(70)]
+    got = langid.predict(table, network).join(table, "doc_id").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.8
+
+
 def test_packing_is_optimal_and_within_budget(spark_):
     rng = random.Random(8)
     values = np.array(sorted(rng.sample(range(1, 60), 9)))
@@ -273,6 +306,18 @@ def test_packing_is_optimal_and_within_budget(spark_):
     assert packing.pack(docs(spark_, [])).count() == 0
 
 
+def test_packing_of_long_lengths_is_optimal(spark_):
+    """Lengths far apart and above any rounding: total padding equals the least of all choices of boundaries."""
+    import itertools
+
+    rng = random.Random(4)
+    sizes = sorted(rng.sample(range(4097, 20_500), 9))
+    rows = [n for n in sizes for _ in range(rng.randint(1, 3))]
+    got = packing.pack(docs(spark_, ["w " * n for n in rows]), buckets=4).collect()
+    least = min(sum(min(e for e in (*s, sizes[-1]) if e >= n) - n for n in rows) for s in itertools.combinations(sizes[:-1], 3))
+    assert sum(r.padding for r in got) == least and sorted(r.n_tokens for r in got) == rows
+
+
 def test_shards_are_near_equal_and_slots_gapless(spark_):
     import zlib
 
@@ -291,6 +336,36 @@ def test_shards_are_near_equal_and_slots_gapless(spark_):
     assert sharding.shard(docs(spark_, [])).count() == 0
 
 
+def test_copies_stay_together_where_the_law_allows(spark_):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(100, 400))) for _ in range(6000)]
+    texts += [t for k, t in enumerate(texts[:60]) for _ in range(3 + k % 9)]  # light groups
+    texts += ["middle " * 40] * 60  # above a sixteenth of a share, below a half
+    got = sharding.shard(docs(spark_, texts)).collect()
+    of, size = collections.defaultdict(set), collections.Counter()
+    for r in got:
+        of[texts[r.doc_id]].add(r.shard)
+        size[r.shard] += r.size
+    assert all(len(s) == 1 for s in of.values())
+    assert max(size.values()) - min(size.values()) < 0.02 * sum(size.values()) / 24
+
+
+def test_columns_of_any_name_are_left_alone(spark_):
+    """Stages keep extra columns that are named as they name their own inside."""
+    from pyspark.sql import functions as F
+
+    names = ["_letters", "letters", "n_words", "_rule_n_words", "doc", "_doc", "_gone", "gone", "holes", "cell", "_cell", "again", "h", "key", "hash"]
+    prose = " ".join(f"word{k % 97}" for k in range(120))
+    rows = docs(spark_, [prose, prose + " end", prose.upper(), None, "", prose], [1, 2, 3, 4, None, 5]).withColumns({c: F.lit("kept") for c in names})
+    labels = spark_.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    network = langid.Network(["en"])
+    for out in (langid.keep_known(rows, network), rules.keep_good(rows, labels), ngram_join.keep_one(rows), paragraphs.remove(rows)):
+        assert out.columns == rows.columns
+        found = out.collect()
+        assert found and all(r[c] == "kept" for r in found for c in names)
+    assert {r.doc_id for r in ngram_join.keep_one(rows).collect()} == {1, 3, 4, None} - {3}
+
+
 def test_slot_map_versions(spark_, tmp_path):
     rng = random.Random(6)
     weight = [rng.randint(0, 1000) for _ in range(512)]
