@@ -1,7 +1,12 @@
 """From raw documents to packed training batches: five stages, each one operator of mnemospark.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return
-the columns of `documents`; a null text goes with stage one, as it has no language.
+the columns of `documents`, and any others, whatever their names; a null text goes with stage one, as it has no language.
+
+Cases, for each stage: an empty table gives no rows. Rows that repeat a doc_id are judged one by one by language and quality, and are one
+document for the other stages: near_duplicates keeps one row of it, substring_dedup cuts all alike, packing packs each.
+Rows with a null doc_id are judged by language and quality, stay in near_duplicates and substring_dedup, and are
+packed. An empty text has no language and goes. Very long texts are worked on whole. Ties go to the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -46,7 +51,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup), ("packing", pack)]
 
-#: The network and the decision list are learned, which SQL can't express; tests hold run() against brute force.
+#: The network and the decision list are learned, which SQL can't express. Tests hold the stages' operators against brute force, each by
+#: itself, and run() against the five stages called one after the other.
 ORACLE_SQL = None
 
 
