@@ -42,13 +42,13 @@ def scored(items: DataFrame, group: str = "transcript_id") -> DataFrame:
     return rows.withColumn("priority", F.row_number().over(w))
 
 
-def greedy(items: DataFrame, budget: int, group: str = "transcript_id") -> DataFrame:
+def greedy(items: DataFrame, budget: int, group: str = "transcript_id", budgets: DataFrame | None = None) -> DataFrame:
     """Adds kept: items taken by priority while they fit; one that doesn't fit is skipped, smaller ones may follow.
 
     A fold over the items of one group, which is one brief, in Arrow batches: sorted rows stream by, and all that is held
-    is the room that is left.
+    is the room that is left. budgets (group, budget) gives each group its own.
     """
-    if budget <= 0:
+    if budget <= 0 and budgets is None:
         return items.withColumn("kept", F.lit(True))
 
     def take(batches):
@@ -57,14 +57,15 @@ def greedy(items: DataFrame, budget: int, group: str = "transcript_id") -> DataF
         now, left = None, 0
         for b in batches:
             kept = []
-            for g, cost in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            for g, cost, room in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 if g != now:
-                    now, left = g, budget
+                    now, left = g, room
                 kept.append(cost <= left)
                 left -= cost if cost <= left else 0
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.bool_())], names=[group, "priority", "kept"])
 
-    costs = items.select(group, "priority", (F.length("text") + 1).alias("cost"))
+    rows = items if budgets is None else items.join(budgets.select(group, F.col("budget").alias("_room")), group)
+    costs = rows.select(group, "priority", (F.length("text") + 1).alias("cost"), (F.lit(budget) if budgets is None else F.col("_room")).cast("long").alias("room"))
     kind = dict(costs.dtypes)
     taken = costs.repartition(group).sortWithinPartitions(group, "priority").mapInArrow(take, f"`{group}` {kind[group]}, priority {kind['priority']}, kept boolean")
     return items.join(taken, [group, "priority"])

@@ -201,3 +201,65 @@ def session_text(turns: DataFrame) -> DataFrame:
     """session, text: `role: content` lines in order; one session's own turns."""
     per = turns.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("content", F.lit(""))).alias("line")))).alias("x"))
     return per.select("session", F.array_join(F.transform("x", lambda t: t["line"]), "\n").alias("text"))
+
+
+# Documents of a haystack, and reports over many questions.
+
+
+def raw_docs(turns: DataFrame, by: str = "session") -> DataFrame:
+    """id, owner, text of a haystack as it is, a document for each session or turn; turns: session, turn, role, content."""
+    if by == "session":
+        return session_text(turns).select(F.col("session").cast("string").alias("id"), F.col("session").alias("owner"), "text")
+    return turns.select(F.concat_ws("#", F.col("session").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("session").alias("owner"), F.col("content").alias("text"))
+
+
+def harvested_docs(items: DataFrame, grouped: bool = False, group: str = "transcript_id") -> DataFrame:
+    """id, owner, text of what extraction kept (bucket, pos, text): a document for each item, or one for each session."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy("bucket", "pos")) - 1
+    rows = items.select(group, "text", place.alias("n"))
+    if not grouped:
+        return rows.select(F.concat(F.col(group).cast("string"), F.lit("#h"), F.col("n")).alias("id"), F.col(group).alias("owner"), "text")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n")  # one session's own items
+    return rows.groupBy(group).agg(body.alias("text")).select(F.col(group).cast("string").alias("id"), F.col(group).alias("owner"), "text")
+
+
+def recall_report(hits: DataFrame, kinds: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """kind, n and the share of questions with a hit at each k, for each kind of question and for all; hits: as of recall_at."""
+    rows = hits.join(kinds.select("query_id", "kind"), "query_id").select(F.explode(F.array("kind", F.lit("all"))).alias("kind"), *(f"hit_{k}" for k in ks))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), *(F.round(F.avg(F.col(f"hit_{k}").cast("int")), 4).alias(f"recall_{k}") for k in ks))
+
+
+def kept_share(kept: DataFrame, haystack: DataFrame) -> DataFrame:
+    """kept_chars, haystack_chars, kept_share: recall says little without the volume that it cost."""
+    total = lambda rows, name: rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias(name))
+    both = total(kept, "kept_chars").crossJoin(total(haystack, "haystack_chars"))
+    return both.withColumn("kept_share", F.round(F.col("kept_chars") / F.nullif(F.col("haystack_chars"), F.lit(0)), 4))
+
+
+def zero_results(queries: DataFrame, ranked: DataFrame) -> DataFrame:
+    """queries, without_result, zero_share; both have query_id."""
+    rows = queries.select("query_id").distinct().join(ranked.select("query_id").distinct().withColumn("found", F.lit(True)), "query_id", "left")
+    return rows.agg(F.count("*").alias("queries"), F.count_if(F.col("found").isNull()).alias("without_result"), F.round(F.avg(F.col("found").isNull().cast("int")), 4).alias("zero_share"))
+
+
+def evidence_trace(turns: DataFrame, items: DataFrame, question: str) -> DataFrame:
+    """transcript_id, unit_idx, kept, hits, lost for each gold turn (text): how many items it gave, which terms of the question they hold,
+    and which ones the turn has and they lack."""
+    asked = question_terms(F.lit(question))
+    held = items.select("transcript_id", "unit_idx", F.explode_outer(search_tokens(F.col("text"))).alias("t"), F.lit(1).alias("one"))
+    held = held.groupBy("transcript_id", "unit_idx").agg(F.collect_set("t").alias("held"))  # one turn's own words
+    count = items.groupBy("transcript_id", "unit_idx").agg(F.count("*").alias("kept"))
+    rows = turns.join(count, ["transcript_id", "unit_idx"], "left").join(held, ["transcript_id", "unit_idx"], "left")
+    have = F.coalesce("held", F.array().cast("array<string>"))
+    lost = F.array_except(F.array_intersect(asked, search_tokens(F.col("text"))), have)
+    return rows.select("transcript_id", "unit_idx", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"), F.array_sort(F.array_intersect(asked, have)).alias("hits"), F.array_sort(lost).alias("lost"))
+
+
+def without_markers(units: DataFrame, marker: str = MARKER) -> DataFrame:
+    """The units of the arm that never marked its confidence."""
+    return units.withColumn("text", F.regexp_replace("text", marker, ""))
+
+
+def usable_segments(segments: DataFrame, least_summary: int = 200, least_units: int = 20, least_probes: int = 5) -> DataFrame:
+    """Segments that are worth comparing; columns summary_chars, units, probes."""
+    return segments.filter((F.col("summary_chars") >= least_summary) & (F.col("units") >= least_units) & (F.col("probes") >= least_probes))

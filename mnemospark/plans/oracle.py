@@ -339,4 +339,44 @@ SQL: dict[str, str] = {
     "session_texts": f"SELECT conv_id AS session, string_agg(role || ': ' || text, {NL} ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
     "retention_by_arm": "",
 }
+
+
+def _arm(arm: str, scored: str) -> str:
+    """Kept items of an arm within an eighth of each transcript's length, against the probes of the whole texts."""
+    return f"""WITH RECURSIVE {scored}, {_PROBES}, room AS (SELECT transcript_id, floor(sum(length(text)) / 8) AS room FROM full_ov GROUP BY ALL),
+  fold AS (SELECT i.transcript_id, i.priority, i.text, length(i.text) + 1 <= room AS kept, CASE WHEN length(i.text) + 1 <= room THEN length(i.text) + 1 ELSE 0 END AS used, room FROM item1 i JOIN room USING (transcript_id) WHERE priority = 1
+    UNION ALL SELECT i.transcript_id, i.priority, i.text, f.used + length(i.text) + 1 <= f.room, f.used + CASE WHEN f.used + length(i.text) + 1 <= f.room THEN length(i.text) + 1 ELSE 0 END, f.room FROM fold f JOIN item1 i ON i.transcript_id = f.transcript_id AND i.priority = f.priority + 1),
+  live AS (SELECT DISTINCT {_norm('text')} AS norm FROM fold WHERE kept),
+  hits AS (SELECT p.family, p.text, bool_or(CASE p.family WHEN 'fact' THEN contains(norm, string_split(p.text, ' ')[1]) AND contains(norm, string_split(p.text, ' ')[2])
+    WHEN 'claim' THEN len(list_intersect({_PTOK.format(_norm('p.text'))}, {_PTOK.format('norm')})) / greatest(len(list_distinct(list_concat({_PTOK.format(_norm('p.text'))}, {_PTOK.format('norm')}))), 1)::DOUBLE >= 0.5 ELSE contains(norm, {_norm('p.text')}) END) AS kept FROM probes p CROSS JOIN live GROUP BY ALL),
+  t AS (SELECT family, count(*) FILTER (kept) AS kept, count(*) AS n FROM hits GROUP BY ALL UNION ALL SELECT 'all', count(*) FILTER (kept), count(*) FROM hits)
+  SELECT '{arm}' AS arm, family, kept, n, round(kept / n::DOUBLE, 4) AS share FROM t"""
+
+
+def _tokens_ab(arm: str, words: str) -> str:
+    terms = f"terms AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({words.format('query')}) AS term FROM queries) GROUP BY ALL)"
+    return f"""WITH queries AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text AS query FROM benchmark UNION ALL SELECT * FROM (VALUES ('ru', 'порт панели'), ('fr', 'élu être'), ('none', '???'))), {terms}, docs AS (SELECT doc_id, {words.format('text')} AS tokens FROM documents),{_bm25('docs', 'doc_id', 'own')},
+  r AS (SELECT query_id, doc_id AS id, round(raw, 4) AS score FROM own), top AS ({_top('r', 10, 'query_id, id, rank')}),
+  gold AS (SELECT CAST(b.item_id AS VARCHAR) AS query_id, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+  h AS (SELECT g.query_id, coalesce(min(rank), 99) AS place FROM gold g LEFT JOIN top t ON t.query_id = g.query_id AND t.id = g.id GROUP BY ALL)
+  SELECT '{arm}' AS arm, (SELECT count(*) FROM queries) AS queries, (SELECT count(*) FROM queries WHERE query_id NOT IN (SELECT query_id FROM top)) AS without_result, (SELECT round(avg(CASE WHEN query_id IN (SELECT query_id FROM top) THEN 0 ELSE 1 END), 4) FROM queries) AS zero_share,
+  round(avg(CAST(place <= 1 AS INTEGER)), 4) AS recall_1, round(avg(CAST(place <= 3 AS INTEGER)), 4) AS recall_3, round(avg(CAST(place <= 5 AS INTEGER)), 4) AS recall_5, round(avg(CAST(place <= 10 AS INTEGER)), 4) AS recall_10 FROM h"""
+
+
+_FULL_OV = OV + ", full_ov AS (SELECT * FROM ov)"
+_BARE_OV = OV.replace("ov AS (", "full_ov AS (", 1) + f", ov AS (SELECT transcript_id, unit_idx, role, regexp_replace(text, '{MARK}', '', 'g') AS text FROM full_ov)"
+_ALL_ITEMS = "every AS (SELECT transcript_id, 'claim' AS bucket, pos, text FROM claim1 UNION ALL SELECT transcript_id, 'supplement', pos, text FROM supp)"
+_WHOLE_PROBES = _PROBES.replace("FROM ov WHERE", "FROM full_ov WHERE")
+SQL |= {
+    "equal_budget_arms": " UNION ALL ".join(f"SELECT * FROM ({_arm(arm, SCORED.replace(OV, ov)).replace(_PROBES, _WHOLE_PROBES)})" for arm, ov in (("marked", _FULL_OV), ("stripped", _BARE_OV))),
+    "recall_by_type": f"WITH h AS ({SQL['recall_at_k']}), k AS (SELECT h.*, unnest(['type' || (CAST(query_id AS INTEGER) % 3), 'all']) AS kind FROM h) SELECT kind, count(*) AS n, round(avg(CAST(hit_1 AS INTEGER)), 4) AS recall_1, round(avg(CAST(hit_3 AS INTEGER)), 4) AS recall_3, round(avg(CAST(hit_5 AS INTEGER)), 4) AS recall_5, round(avg(CAST(hit_10 AS INTEGER)), 4) AS recall_10 FROM k GROUP BY kind",
+    "kept_volume": f"WITH {ITEMS}, {_ALL_ITEMS}, a AS (SELECT CAST(sum(length(text)) AS BIGINT) AS kept_chars FROM every), b AS (SELECT CAST(sum(length(text)) AS BIGINT) AS haystack_chars FROM ov) SELECT kept_chars, haystack_chars, round(kept_chars / haystack_chars::DOUBLE, 4) AS kept_share FROM a, b",
+    "grouped_documents": f"WITH {ITEMS}, {_ALL_ITEMS} SELECT CAST(transcript_id AS VARCHAR) AS id, transcript_id AS owner, string_agg(text, {NL} ORDER BY bucket, pos) AS text FROM every GROUP BY transcript_id",
+    "item_documents": f"WITH {ITEMS}, {_ALL_ITEMS} SELECT transcript_id || '#h' || (row_number() OVER (PARTITION BY transcript_id ORDER BY bucket, pos) - 1) AS id, transcript_id AS owner, text FROM every",
+    "turn_documents": "SELECT conv_id || '#' || turn AS id, conv_id AS owner, text FROM conversations",
+    "tokenizer_ab": f"SELECT * FROM ({_tokens_ab('any script', _WORDS.replace('{0}', _fold('{0}')))}) UNION ALL SELECT * FROM ({_tokens_ab('ascii', 'regexp_extract_all(lower({0}), ' + chr(39) + '[a-z0-9]+' + chr(39) + ')')})",
+    "evidence_traces": f"""WITH {ITEMS}, s AS (SELECT transcript_id, unit_idx, text FROM claim1 UNION ALL SELECT transcript_id, unit_idx, text FROM paths UNION ALL SELECT transcript_id, unit_idx, text FROM ids UNION ALL SELECT transcript_id, unit_idx, text FROM decs),
+  g AS (SELECT transcript_id, unit_idx, count(*) AS kept, list_distinct(flatten(list({_WORDS.format(_fold('text'))}))) AS held FROM s GROUP BY ALL), q AS (SELECT ['dashboard', 'port', 'token', 'user'] AS terms)
+  SELECT o.transcript_id, o.unit_idx, coalesce(kept, 0) AS kept, list_sort(list_intersect(terms, coalesce(held, []))) AS hits, list_sort(list_filter(list_intersect(terms, {_WORDS.format(_fold('o.text'))}), lambda t: NOT list_contains(coalesce(held, []), t))) AS lost FROM ov o CROSS JOIN q LEFT JOIN g USING (transcript_id, unit_idx) WHERE o.role = 'user'""",
+}
 SQL["retention_by_arm"] = f"SELECT expected AS arm, count(*) FILTER (verdict = 'EXACT') AS exact, count(*) FILTER (verdict = 'PARA') AS para, count(*) FILTER (verdict = 'LOST') AS lost, count(*) AS n, round(count(*) FILTER (verdict <> 'LOST') / count(*)::DOUBLE, 3) AS retention_rate FROM ({SQL['probe_retention']}) GROUP BY ALL"

@@ -299,6 +299,68 @@ def arm_duel(spark, sf_dir):
     return ev.duel(rows.groupBy("transcript_id").agg((F.count_if("kept") / total).alias("ours"), (newest / total).alias("theirs")))
 
 
+def _built(units):
+    items = table(rs.with_ids(ex.harvest(units)), "items").withColumn("ts", F.lit(None).cast("string"))
+    claims = rs.resolve(rs.link_corrections(items.filter("bucket = 'claim'")))
+    return table(b.scored(claims.unionByName(rs.once_by_id(items.filter("bucket = 'supplement'")))), "scored")
+
+
+def equal_budget_arms(spark, sf_dir):
+    """Probes kept by the whole harvest and by that of texts without markers, both within an eighth of each transcript's length."""
+    units = _units(spark, sf_dir)
+    room = units.groupBy("transcript_id").agg(F.floor(F.sum(F.length("text")) / 8).alias("budget"))
+    probes = table(ev.extract_probes(units.filter("role = 'assistant'")), "probes")
+    out = None
+    for arm, own in (("marked", units), ("stripped", ev.without_markers(units))):
+        kept = b.greedy(_built(own), 0, budgets=room).filter("kept")
+        rows = ev.tally(ev.score_arm(probes, kept)).select(F.lit(arm).alias("arm"), "family", "kept", "n", "share")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def recall_by_type(spark, sf_dir):
+    kinds = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.concat(F.lit("type"), (F.col("item_id") % 3).cast("string")).alias("kind"))
+    return ev.recall_report(recall_at_k(spark, sf_dir), kinds)
+
+
+def kept_volume(spark, sf_dir):
+    units = _units(spark, sf_dir)
+    return ev.kept_share(rs.with_ids(ex.harvest(units)), units)
+
+
+def grouped_documents(spark, sf_dir):
+    return ev.harvested_docs(_harvest(spark, sf_dir), grouped=True)
+
+
+def item_documents(spark, sf_dir):
+    return ev.harvested_docs(_harvest(spark, sf_dir))
+
+
+def turn_documents(spark, sf_dir):
+    return ev.raw_docs(_t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", "role", F.col("text").alias("content")), "turn")
+
+
+def tokenizer_ab(spark, sf_dir):
+    """Recall and share of queries without a result, with words of any script and with ASCII words."""
+    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
+    items = items.unionByName(spark.createDataFrame([("ru", "порт панели"), ("fr", "élu être"), ("none", "???")], "query_id string, query string"))
+    gold = table(_gold(spark, sf_dir).select(F.col("item_id").cast("string").alias("query_id"), F.col("doc_id").alias("session")), "gold")
+    out = None
+    for arm, split in (("any script", search_tokens), ("ascii", lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0)))):
+        terms = table(items.select("query_id", F.explode(split(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")), "terms")
+        docs = _t(spark, sf_dir, "documents").select("doc_id", split(F.col("text")).alias("tokens"))
+        ranked = table(se.top(se.bm25(docs, terms, "doc_id").select("query_id", F.col("doc_id").alias("id"), F.round("raw", 4).alias("score")), 10), "ranked")
+        hits = ev.recall_report(ev.recall_at(ranked.withColumnRenamed("id", "session"), gold), gold.select("query_id").distinct().withColumn("kind", F.lit("q"))).filter("kind = 'all'").drop("kind", "n")
+        rows = ev.zero_results(items, ranked).crossJoin(hits).withColumn("arm", F.lit(arm))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def evidence_traces(spark, sf_dir):
+    units = _units(spark, sf_dir)
+    return ev.evidence_trace(units.filter("role = 'user'"), table(ex.harvest(units), "items"), "what is the dashboard port token of user")
+
+
 def quality_coverage(spark, sf_dir):
     n = F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"), F.lit(0))) + F.size(F.regexp_extract_all("text", F.lit(r"\b[0-9a-f]{16,40}\b"), F.lit(0)))
     rows = _t(spark, sf_dir, "documents").select("doc_id", n.alias("items")).join(_t(spark, sf_dir, "labels"), "doc_id")
@@ -387,6 +449,7 @@ floor_decisions retraction_lines lesson_lines atomic_facts sentence_parts topic_
 supersede_orders cross_conv_settle claim_scores greedy_budget budget_report rendered_fit rendered_brief session_payload full_briefs live_state_flags
 bm25_documents bm25_parent recall_boosted recall_budget recall_hook_filter recency_rank stats_summary stats_by_harvester stats_top_topics probe_retention
 retention_by_arm probe_extraction probe_arms arm_duel quality_coverage recall_at_k miss_causes median_length event_threshold_segments compaction_segments
+equal_budget_arms recall_by_type kept_volume grouped_documents item_documents turn_documents tokenizer_ab evidence_traces
 lesson_anti_append lessons_carried latest_by_topic_stream agent_runs agent_messages session_texts
 """.split()
 
