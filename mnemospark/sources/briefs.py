@@ -108,6 +108,27 @@ def write_private(path: str, text: str) -> str:
     return path
 
 
+def problem_of(path: str, since: float | None = None) -> str | None:
+    """Why a file can't count as the brief of a run that began at `since` (seconds), or None if it can: the gate before its
+    transcript is put away."""
+    if not os.path.isfile(path):
+        return "no brief was written"
+    if since is not None and os.path.getmtime(path) < since:
+        return "the brief is older than the run"
+    with open(path, "rb") as f:
+        raw = f.read()
+    if not raw.strip():
+        return "the brief is empty"
+    try:
+        found = json.loads(raw)
+    except ValueError as e:
+        return f"the brief can't be read: {e}"
+    if not isinstance(found, dict):
+        return "the brief is no JSON object"
+    lacking = sorted({"claims", "schema_version", "supplement"} - found.keys())
+    return f"the brief lacks {', '.join(lacking)}" if lacking else None
+
+
 def harden(folder: str) -> None:
     """Takes everyone else's rights away from a store that exists."""
     for root, _, files in os.walk(folder):

@@ -59,6 +59,24 @@ def append_private(path: str, rows: list[dict]) -> None:
         os.fsync(f.fileno())
 
 
+def append_units(path: str, units: list[dict]) -> int:
+    """Adds units to a rolling transcript, which only its owner may read, as a file that was there before may be read no longer
+    by others, either; the number added."""
+    append_private(path, units)
+    os.chmod(os.path.dirname(os.path.abspath(path)), 0o700)
+    os.chmod(path, 0o600)
+    return len(units)
+
+
+def rotate(path: str, stamp: str) -> str | None:
+    """Puts a harvested transcript away under a name of its own, so that the next one begins empty; None without a transcript."""
+    if not os.path.exists(path):
+        return None
+    away = f"{path}.{stamp}.done"
+    os.replace(path, away)
+    return away
+
+
 def lesson_row(text: str, ts: str | None = None, session: str | None = None) -> dict:
     """A line of the lesson log; its id is that of `lesson_id`."""
     import hashlib

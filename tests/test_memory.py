@@ -201,6 +201,25 @@ def test_statistics_by_extractor_kind_and_topic(spark):
     assert "by extractor:\n  a: 2" in text and "most frequent topics:\n  t1: 2" in text
 
 
+def test_transcripts_roll_and_briefs_are_checked_first(tmp_path):
+    path = tmp_path / "t" / "live.jsonl"
+    assert stores.rotate(str(path), "1") is None
+    assert stores.append_units(str(path), [{"text": "a"}, {"text": "é"}]) == 2
+    path.chmod(0o644)
+    stores.append_units(str(path), [{"text": "b"}])
+    assert oct(path.stat().st_mode)[-3:] == "600" and [json.loads(x)["text"] for x in path.read_text("utf-8").splitlines()] == ["a", "é", "b"]
+    away = stores.rotate(str(path), "2024")
+    assert not path.exists() and len(open(away).readlines()) == 3
+    brief = tmp_path / "b.json"
+    said = []
+    for text in (None, "", "{", "[]", '{"claims": []}', '{"claims": [], "supplement": [], "schema_version": 1}'):
+        if text is not None:
+            brief.write_text(text)
+        said.append(briefs.problem_of(str(brief)))
+    assert said[:2] == ["no brief was written", "the brief is empty"] and "can't be read" in said[2] and "no JSON object" in said[3] and said[4].endswith("schema_version, supplement") and said[5] is None
+    assert "older" in briefs.problem_of(str(brief), brief.stat().st_mtime + 5)
+
+
 def test_managed_block():
     once = briefs.managed_block("# Notes\n", f"a {briefs.END} b")
     assert briefs.managed_block(once, f"a {briefs.END} b") == once and once.startswith("# Notes\n\n") and once.count(briefs.END) == 1
