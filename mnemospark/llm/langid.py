@@ -196,7 +196,8 @@ def _training_rows(docs: DataFrame) -> list[tuple[str, str]]:
     hashed = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40))
     # Some more than needed pass by their hash alone, so only they are ranked.
     chance = F.least(F.lit(1.0), F.lit(2.0 * most + 50) / F.col("count")) * (1 << 40)
-    chosen = known.withColumn("h", hashed).join(sizes, "lang").filter(F.col("h") < chance)
+    few = F.broadcast(sizes) if languages <= TOTAL else sizes  # else all texts would be shuffled
+    chosen = known.withColumn("h", hashed).join(few, "lang").filter(F.col("h") < chance)
     begin = F.pmod(F.col("h"), F.greatest(F.length("text") - SPAN, F.lit(1))) + 1
     chosen = chosen.select("lang", F.substr("text", begin.cast("int"), F.lit(SPAN)).alias("text"), "h")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
