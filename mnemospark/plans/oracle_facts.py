@@ -86,11 +86,12 @@ _LATIN = "regexp_extract_all({0}, '[''0-9A-Za-z]+')"
 
 
 def _is(x: str, pattern: str) -> str:
-    return f"regexp_matches({x}, '{pattern}')"
+    """Whether x matches. Word borders are ASCII's here, so other letters are taken for one that is."""
+    return f"regexp_matches(regexp_replace({x}, '[À-ÖØ-öø-ɏͰ-ϿЀ-ӿ]', 'x', 'g'), '{pattern}')"
 
 
 def factual(x: str) -> str:
-    me, hard = _is(x, _ME), f"({_is(x, _HARD)} OR {_is(x, _PROPER)})"
+    me, hard = _is(x, _ME), f"({_is(x, _HARD)} OR regexp_matches({x}, '{_PROPER}'))"
     words = _LATIN.format(x)
     return (
         f"({x} <> '' AND NOT ends_with({x}, '?') AND len({words}) BETWEEN 4 AND 45 AND NOT {_is(x, _OPEN)} AND NOT {_is(x, _ADVICE)} AND NOT {_is(x, _CHAT)} AND NOT {_is(x, _BOLD)}"
