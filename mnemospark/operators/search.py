@@ -26,6 +26,117 @@ def bm25(docs: DataFrame, terms: DataFrame, key: str = "id") -> DataFrame:
     return _weighed(*_postings(rows, terms), terms, "unit").withColumnRenamed("unit", key)
 
 
+#: Most queries, and most rows of query terms, that are sent to every task; more are joined by term.
+FEW_QUERIES, FEW_TERMS = 4096, 1 << 18
+
+
+def best(docs: DataFrame, terms: DataFrame, key: str = "id", limit: int = 10) -> DataFrame:
+    """query_id, id, score (to 4 places), rank: the best groups of documents for each query by BM25, equal scores by id.
+
+    A pair of a document and a query that shares a term with it is never a row: each task adds up the scores of its documents
+    for all queries at once and hands on `limit` of them a query. Beyond FEW_QUERIES or FEW_TERMS, pairs are joined by term.
+    """
+    terms = table(terms, "terms")
+    known = terms.select("query_id", "term", "times").limit(FEW_TERMS + 1).toArrow().combine_chunks()
+    if known.num_rows > FEW_TERMS or len(known.column("query_id").unique()) > FEW_QUERIES:
+        return top(bm25(docs, terms, key).select("query_id", F.col(key).alias("id"), F.round("raw", 4).alias("score")), limit)
+    return top(_best_few(docs.select(F.col(key).alias("id"), "tokens"), known, dict(terms.dtypes)["query_id"], limit), limit)
+
+
+def _best_few(docs: DataFrame, known, query_kind: str, limit: int) -> DataFrame:
+    """query_id, id, score: what each task holds of the best."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    queries, words = (pa.array(known.column(c).unique().to_pylist(), known.schema.field(c).type) for c in ("query_id", "term"))
+    n_queries, n_words = len(queries), len(words)
+    term, query = (np.asarray(pc.index_in(known.column(c), v).combine_chunks()).astype(np.int64) for c, v in (("term", words), ("query_id", queries)))
+    order = np.lexsort((query, term))
+    query, times, first = query[order], np.asarray(known.column("times").combine_chunks()).astype(np.float64)[order], np.searchsorted(term[order], np.arange(n_words + 1))
+
+    def flat(lists):
+        """Where each list begins among the members of all."""
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        return np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+
+    def counted(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, step := max(1, (1 << 20) // max(1, n_words))):
+                b = whole.slice(at, step)
+                lists, ends = b.column("tokens"), flat(b.column("tokens"))
+                w = pc.fill_null(pc.index_in(lists.flatten(), words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                cell = np.repeat(np.arange(b.num_rows), np.diff(ends))[w >= 0] * n_words + w[w >= 0]
+                freq = np.bincount(cell, minlength=b.num_rows * n_words)
+                met = np.flatnonzero(freq)
+                offsets = pa.array(np.searchsorted(met, np.arange(b.num_rows + 1) * n_words).astype(np.int32))
+                parts = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (met % max(1, n_words), freq[met])]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pc.list_value_length(lists).cast(pa.int64()), *parts], names=["id", "length", "terms", "freqs"])
+
+    kind = dict(docs.dtypes)["id"]
+    # Written once: the frequency of a term among all documents is known only after the last one.
+    rows = table(docs.mapInArrow(counted, f"id {kind}, length long, terms array<int>, freqs array<int>"), "postings")
+    groups = rows.groupBy("id").agg(F.sum("length").alias("length"), F.count("*").alias("n"))
+    total, mean, most = groups.agg(F.count("*"), F.avg("length"), F.max("n")).first()
+    if (most or 0) > 1:
+        each = rows.select("id", F.explode(F.arrays_zip("terms", "freqs")).alias("x")).groupBy("id", F.col("x.terms").alias("term")).agg(F.sum("x.freqs").cast("int").alias("freq"))
+        each = each.groupBy(F.col("id").alias("own")).agg(F.array_sort(F.collect_list(F.struct("term", "freq"))).alias("x"))  # the queries' terms at most
+        rows = table(groups.join(each, F.col("id").eqNullSafe(F.col("own"))).select("id", "length", F.col("x.term").alias("terms"), F.col("x.freq").alias("freqs")), "postings")
+
+    def held(batches):
+        n = np.zeros(n_words, np.int64)
+        for b in batches:
+            n += np.bincount(b.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=n_words)
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(n[met])], names=["term", "n"])
+
+    frequency = rows.select("terms").mapInArrow(held, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row a term
+    n = np.zeros(n_words)
+    n[frequency.column("term").to_numpy()] = frequency.column("n").to_numpy()
+    idf = np.log(1 + (total - n + 0.5) / (n + 0.5))
+    weight = times * np.repeat(idf, np.diff(first))
+    mean = mean if mean and mean > 0 else 1.0
+    step = max(1, min((1 << 18) // max(1, n_queries), (1 << 22) // max(1, len(weight))))
+
+    def cut(found, least):
+        found = found.sort_by([("query", "ascending"), ("score", "descending"), ("id", "ascending")])
+        q = found.column("query").to_numpy()
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = np.flatnonzero(place == limit - 1)
+        least[q[last]] = found.column("score").to_numpy()[last]
+        return found.filter(pa.array(place < limit))
+
+    def scores(batches):
+        found, least = None, np.zeros(n_queries)
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                ends = flat(b.column("terms"))
+                t, f = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("terms", "freqs"))
+                row = np.repeat(np.arange(b.num_rows), np.diff(ends))
+                length = np.maximum(pc.fill_null(b.column("length"), 0).to_numpy(zero_copy_only=False), 1)[row]
+                above, below = f * (K1 + 1), f + K1 * (1 - B + B * length / mean)
+                many = first[t + 1] - first[t]
+                pair = np.repeat(first[t] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                part = weight[pair] * np.repeat(above, many) / np.repeat(below, many)
+                raw = np.bincount(np.repeat(row, many) * n_queries + query[pair], part, b.num_rows * n_queries).reshape(b.num_rows, n_queries)
+                score = np.floor(raw * 1e4 + 0.5) / 1e4
+                good = (raw > 0) & (score >= least)
+                if b.num_rows > limit and good.sum() > 4 * limit * n_queries:
+                    good &= score >= np.partition(score, b.num_rows - limit, axis=0)[b.num_rows - limit]
+                r, q = np.nonzero(good)
+                new = pa.table({"query": pa.array(q.astype(np.int32)), "score": pa.array(score[r, q]), "id": b.column("id").take(pa.array(r))})
+                found = new if found is None else pa.concat_tables([found, new])
+                if found.num_rows > 2 * limit * n_queries:
+                    found = cut(found, least)
+        if found is not None:
+            found = cut(found, least).combine_chunks()
+            names = pa.table({"query_id": queries.take(found.column("query").combine_chunks()), "id": found.column("id"), "score": found.column("score")})
+            yield from names.combine_chunks().to_batches()
+
+    return rows.filter("id is not null and size(terms) > 0").select("id", "length", "terms", "freqs").mapInArrow(scores, f"query_id {query_kind}, id {kind}, score double")
+
+
 def _postings(rows: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Written once, from one scan each: (all columns but tokens, term, freq) for the terms that are asked for, and the lengths.
 
@@ -149,4 +260,4 @@ def hook_payload(lines: DataFrame, event: str = "UserPromptSubmit") -> DataFrame
     return lines.groupBy("query_id").agg(F.to_json(F.struct(inner.alias("hookSpecificOutput"))).alias("payload"))
 
 
-__all__ = ["accepted", "bm25", "hook_lines", "hook_payload", "parent_scores", "query_terms", "recall", "scored", "top"]
+__all__ = ["accepted", "best", "bm25", "hook_lines", "hook_payload", "parent_scores", "query_terms", "recall", "scored", "top"]

@@ -218,8 +218,7 @@ def _searched(spark, sf_dir):
 
 
 def bm25_documents(spark, sf_dir):
-    raw = se.bm25(_searched(spark, sf_dir), se.query_terms(spark, SEARCHES), "doc_id")
-    return se.top(raw.select("query_id", F.col("doc_id").alias("id"), F.round("raw", 4).alias("score")), 20)
+    return se.best(_searched(spark, sf_dir), se.query_terms(spark, SEARCHES), "doc_id", 20)
 
 
 def bm25_parent(spark, sf_dir):
@@ -347,9 +346,9 @@ def tokenizer_ab(spark, sf_dir):
     gold = table(_gold(spark, sf_dir).select(F.col("item_id").cast("string").alias("query_id"), F.col("doc_id").alias("session")), "gold")
     out = None
     for arm, split in (("any script", search_tokens), ("ascii", lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0)))):
-        terms = table(items.select("query_id", F.explode(split(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")), "terms")
+        terms = items.select("query_id", F.explode(split(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
         docs = _t(spark, sf_dir, "documents").select("doc_id", split(F.col("text")).alias("tokens"))
-        ranked = table(se.top(se.bm25(docs, terms, "doc_id").select("query_id", F.col("doc_id").alias("id"), F.round("raw", 4).alias("score")), 10), "ranked")
+        ranked = table(se.best(docs, terms, "doc_id"), "ranked")
         hits = ev.recall_report(ev.recall_at(ranked.withColumnRenamed("id", "session"), gold), gold.select("query_id").distinct().withColumn("kind", F.lit("q"))).filter("kind = 'all'").drop("kind", "n")
         rows = ev.zero_results(items, ranked).crossJoin(hits).withColumn("arm", F.lit(arm))
         out = rows if out is None else out.unionByName(rows)
