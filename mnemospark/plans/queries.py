@@ -374,9 +374,8 @@ def _gold(spark, sf_dir):
 
 def recall_at_k(spark, sf_dir):
     q = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.explode(search_tokens(F.col("text"))).alias("term"))
-    raw = se.bm25(_searched(spark, sf_dir), q.groupBy("query_id", "term").agg(F.count("*").alias("times")), "doc_id")
-    ranked = se.top(raw.select("query_id", F.col("doc_id").alias("id"), F.round("raw", 4).alias("score")), 10)
-    gold = _gold(spark, sf_dir).select(F.col("item_id").cast("string").alias("query_id"), F.col("doc_id").alias("session"))
+    ranked = se.best(_searched(spark, sf_dir), q.groupBy("query_id", "term").agg(F.count("*").alias("times")), "doc_id")
+    gold = table(_gold(spark, sf_dir).select(F.col("item_id").cast("string").alias("query_id"), F.col("doc_id").alias("session")), "gold")
     return ev.recall_at(ranked.withColumnRenamed("id", "session"), gold)
 
 
