@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lexicon import ABBREVIATIONS, AUXILIARIES, IMPERATIVES, LEADING_STOPS, OBJECT_STOPS, ONE_VALUE, VERBS
-from .text import SPACE, alternatives, casefold, latin_words, member, strip
+from .text import SPACE, alternatives, casefold, latin_words, let, member, strip
 
 
 def _any(words: str, before: str = r"(?iU)\b", after: str = r"\b") -> str:
@@ -64,10 +64,8 @@ def sentences(text: Column) -> Column:
 def is_factual(sentence: Column) -> Column:
     """Whether a person asserted something, rather than discussed, asked or advised."""
     words = latin_words(sentence)
-    personal = sentence.rlike(PERSONAL)
-    concrete = sentence.rlike(CONCRETE) | sentence.rlike(PROPER)
     colon = F.instr(sentence, ":")
-    return (
+    plain = (
         (sentence != "")
         & ~sentence.endswith("?")
         & F.size(words).between(LEAST_WORDS, MOST_WORDS)
@@ -75,13 +73,20 @@ def is_factual(sentence: Column) -> Column:
         & ~sentence.rlike(ADVICE)
         & ~sentence.rlike(REGISTER)
         & ~sentence.rlike(BOLD_HEAD)
-        & (personal | ~sentence.rlike(LIST_ITEM))
-        & (~sentence.rlike(HEDGED) | personal & concrete)
-        & ~member(IMPERATIVES, F.lower(F.coalesce(F.get(words, 0), F.lit(""))))
-        & (personal | ~colon.between(1, 61))
-        & (personal | concrete)
     )
 
+    def asserted(personal: Column) -> Column:
+        concrete = sentence.rlike(CONCRETE) | sentence.rlike(PROPER)
+        return (
+            (personal | ~sentence.rlike(LIST_ITEM))
+            & (~sentence.rlike(HEDGED) | personal & concrete)
+            & ~member(IMPERATIVES, F.lower(F.coalesce(F.get(words, 0), F.lit(""))))
+            & (personal | ~colon.between(1, 61))
+            & (personal | concrete)
+        )
+
+    return plain & let(sentence.rlike(PERSONAL), asserted)
+
 
 def factual_parts(sentence: Column) -> Column:
     """The assertions in a sentence; of a question, the clauses that state something."""
@@ -101,20 +106,22 @@ def is_verbal(word: Column) -> Column:
 
 def verb_root(word: Column) -> Column:
     """A stem that is the same for the tenses of a verb."""
-    low = F.regexp_replace(F.lower(word), "^'+|'+$", "")
     known = lambda s: member(VERBS, s)
 
-    def stem(n: int, undouble: bool) -> Column:
+    def stem(low: Column, n: int, undouble: bool) -> Column:
         s = F.substring(low, F.lit(1), F.length(low) - n)
         if undouble:
             s = F.regexp_replace(s, r"^(.*)(.)\2$", "$1$2")
-        return F.when(~known(s) & known(F.concat(s, F.lit("e"))), F.concat(s, F.lit("e"))).otherwise(s)
+        return let(s, lambda s: F.when(~known(s) & known(F.concat(s, F.lit("e"))), F.concat(s, F.lit("e"))).otherwise(s))
+
+    def root(low: Column) -> Column:
+        out = F.when(low.isin("am", "are", "be", "been", "being", "is", "was", "were"), "be").when(low.isin("had", "has", "have"), "have").when(low.isin("did", "do", "does"), "do")
+        out = out.when(low.rlike("...ying$"), F.concat(F.substring(low, F.lit(1), F.length(low) - 4), F.lit("y")))
+        for end, n, undouble in (("ing", 3, True), ("ied", 3, False), ("ed", 2, True), ("es", 2, False), ("s", 1, False)):
+            out = out.when(low.rlike(f"...{end}$"), stem(low, n, undouble))
+        return out.otherwise(low)
 
-    out = F.when(low.isin("am", "are", "be", "been", "being", "is", "was", "were"), "be").when(low.isin("had", "has", "have"), "have").when(low.isin("did", "do", "does"), "do")
-    out = out.when(low.rlike("...ying$"), F.concat(F.substring(low, F.lit(1), F.length(low) - 4), F.lit("y")))
-    for end, n, undouble in (("ing", 3, True), ("ied", 3, False), ("ed", 2, True), ("es", 2, False), ("s", 1, False)):
-        out = out.when(low.rlike(f"...{end}$"), stem(n, undouble))
-    return out.otherwise(low)
+    return let(F.regexp_replace(F.lower(word), "^'+|'+$", ""), root)
 
 
 def _first(low: Column, high: Column, test) -> Column:
@@ -162,15 +169,17 @@ def states_value(words: Column) -> Column:
 def triple_topic(triple: Column) -> Column:
     """A key that stays the same when a statement is made again with another value or tense."""
     low = lambda a: F.transform(a, F.lower)
-    subject = F.filter(low(triple["subject"]), lambda w: ~member(LEADING_STOPS, w))
-    subject = F.slice(subject, F.greatest(F.size(subject) - 2, F.lit(1)), 3)
-    subject = F.when(F.size(subject) > 0, F.array_join(subject, " ")).otherwise("speaker")
+    subject = let(F.filter(low(triple["subject"]), lambda w: ~member(LEADING_STOPS, w)), lambda s: F.slice(s, F.greatest(F.size(s) - 2, F.lit(1)), 3))
+    subject = let(subject, lambda s: F.when(F.size(s) > 0, F.array_join(s, " ")).otherwise("speaker"))
     content = F.filter(low(triple["predicate"]), lambda w: ~member(AUXILIARIES, w))
     last = F.coalesce(F.try_element_at(content, F.lit(-1)), F.try_element_at(low(triple["predicate"]), F.lit(-1)))
-    root = F.coalesce(verb_root(last), F.lit("be"))
-    head = object_head(triple["object"])
-    bare = F.concat(subject, F.lit("|"), root)
-    return F.when(root.isin(*ONE_VALUE) | states_value(triple["object"]) | (head == ""), bare).otherwise(F.concat(bare, F.lit("|"), head))
+    parts = F.struct(subject.alias("subject"), F.coalesce(verb_root(last), F.lit("be")).alias("root"), object_head(triple["object"]).alias("head"))
+
+    def joined(x: Column) -> Column:
+        bare = F.concat(x["subject"], F.lit("|"), x["root"])
+        return F.when(x["root"].isin(*ONE_VALUE) | states_value(triple["object"]) | (x["head"] == ""), bare).otherwise(F.concat(bare, F.lit("|"), x["head"]))
+
+    return let(parts, joined)
 
 
 def slug_topic(text: Column) -> Column:

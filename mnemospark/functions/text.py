@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body names it; the planner would write it out each time."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def casefold(text: Column) -> Column:
     """Lower case, with the folds that lower() lacks and that occur in European text."""
     return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))

@@ -185,7 +185,9 @@ def factual_sentences(units: DataFrame, options: Options = Options()) -> DataFra
     rows = assistant_units(units).select("transcript_id", "unit_idx", F.posexplode(grammar.sentences(F.col("text"))).alias("sent", "sentence"))
     rows = rows.filter(~F.col("sentence").rlike(options.marker))
     rows = rows.select("transcript_id", "unit_idx", "sent", F.posexplode(grammar.factual_parts(F.col("sentence"))).alias("part", "text"))
-    rows = grammar.with_triple(rows, "text", "triple").filter("triple is not null")
+    # A filter would be moved below the grammar's steps, and all of them written out in it again.
+    some = F.explode(F.filter(F.array("triple"), lambda t: t.isNotNull()))
+    rows = grammar.with_triple(rows, "text", "triple").select("transcript_id", "unit_idx", "sent", "part", "text", some.alias("triple"))
     return rows.withColumn("topic", grammar.triple_topic(F.col("triple")))
 
 

@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+from mnemospark.functions import grammar
+from mnemospark.operators import extract as ex
 from mnemospark.operators import search as se
 
 
@@ -34,3 +36,23 @@ def test_tasks_hand_on_only_their_best(spark):
     known = terms.toArrow().combine_chunks()
     assert se._best_few(docs, known, "string", 10).count() <= 2 * 10 * 3
     assert ranked(se.best(docs, terms)) == ranked(by_pairs(docs, terms, 10))
+
+
+def planned(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_steps_of_the_grammar_are_planned_once(spark, tmp_path):
+    said = "I moved to Oslo in 2019. The dashboard port is 3333 since June. Is it open? I work at Plant1 now, is it far?"
+    spark.createDataFrame([(1, 0, "assistant", said)], "transcript_id long, unit_idx int, role string, text string").write.parquet(f"{tmp_path}/units")
+    facts = ex.factual_sentences(spark.read.parquet(f"{tmp_path}/units"))
+    assert len(planned(facts)) < 40_000  # 176,725 with the filter moved below the steps and topics written out
+    assert sorted(r.topic for r in facts.collect()) == ["dashboard port|be", "i|move", "i|work"]
+
+
+def test_roots_are_planned_once(spark):
+    words = ["worked", "bases", "tried", "planned", "buses", "dying", "seed", "making", "'goes'", "", None]
+    rows = spark.createDataFrame([(w,) for w in words], "x string").coalesce(1)
+    roots = rows.select(grammar.verb_root(F.col("x")).alias("r"))
+    assert [r.r for r in roots.collect()] == ["work", "bas", "tri", "plan", "bus", "dying", "seed", "make", "goe", "", None]
+    assert len(str(grammar.triple_topic(F.col("t"))._jc)) < 40_000  # 94,653 with each use written out
