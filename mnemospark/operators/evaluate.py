@@ -9,6 +9,7 @@ from ..functions.cues import content_terms  # noqa: F401  (part of the surface)
 from ..functions.lexicon import QUESTION_STOPS
 from ..functions.text import ascii_tokens, jaccard, normalized, member, search_tokens
 from ..storage import table
+from . import search
 from .extract import MARKER
 
 PARAPHRASE = 0.5
@@ -168,15 +169,38 @@ def question_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(search_tokens(text), lambda t: (F.length(t) > 2) & ~member(QUESTION_STOPS, t)))
 
 
+def _longest_inner(part: Column) -> Column:
+    """The longest of the tokens that a text with this part holds whole, or NULL."""
+    inner = F.slice(search_tokens(part), 2, F.greatest(F.size(search_tokens(part)) - 2, F.lit(0)))
+    return F.get(F.transform(F.array_sort(F.transform(F.array_distinct(inner), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"]), 0)
+
+
+#: Most parts, and most of their characters, that are sent to every task.
+FEW_PARTS, FEW_CHARS = 4096, 1 << 24
+
+
+def ranked_and_held(docs: DataFrame, terms: DataFrame, items: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """search.best of docs (key, tokens, text), and query_id and key of those that contain the question of items (query_id, question).
+
+    Tokens are the heaviest part of both; few queries and questions are answered from one scan, more by search.best and `holders`.
+    """
+    terms = table(terms, "terms")
+    known = search.few_terms(terms)
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("question")), F.lit(0))).first()
+    if known is None or n > FEW_PARTS or chars > FEW_CHARS:
+        return search.best(docs, terms, key), holders(docs.drop("tokens"), items).select("query_id", key)
+    parts = items.select(F.col("query_id").alias("part_id"), F.col("question").alias("part"), _longest_inner(F.col("question")).alias("key"))
+    ranked, held = search.best_and_holders(docs, terms, known, parts, key)
+    return ranked, held.select(F.col("part_id").alias("query_id"), F.col("id").alias(key))
+
+
 def holders(docs: DataFrame, items: DataFrame, text: str = "text", part: str = "question") -> DataFrame:
     """Rows of docs and items whose part the text contains.
 
     A text that contains a part holds the part's inner tokens whole; the longest of these is what both are joined on. Parts
     without an inner token are compared with every text.
     """
-    inner = F.slice(search_tokens(F.col(part)), 2, F.greatest(F.size(search_tokens(F.col(part))) - 2, F.lit(0)))
-    longest = F.get(F.transform(F.array_sort(F.transform(F.array_distinct(inner), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"]), 0)
-    keyed = table(items.withColumn("_key", longest), "parts")
+    keyed = table(items.withColumn("_key", _longest_inner(F.col(part))), "parts")
     rows = docs.withColumn("_key", F.explode(F.array_distinct(search_tokens(F.col(text))))).join(keyed.filter("_key is not null"), "_key").filter(F.col(text).contains(F.col(part))).drop("_key")
     short = keyed.filter("_key is null").drop("_key")
     return rows if short.isEmpty() else rows.unionByName(docs.join(short, F.col(text).contains(F.col(part))))

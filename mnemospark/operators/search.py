@@ -37,20 +37,43 @@ def best(docs: DataFrame, terms: DataFrame, key: str = "id", limit: int = 10) ->
     for all queries at once and hands on `limit` of them a query. Beyond FEW_QUERIES or FEW_TERMS, pairs are joined by term.
     """
     terms = table(terms, "terms")
-    known = terms.select("query_id", "term", "times").limit(FEW_TERMS + 1).toArrow().combine_chunks()
-    if known.num_rows > FEW_TERMS or len(known.column("query_id").unique()) > FEW_QUERIES:
+    known = few_terms(terms)
+    if known is None:
         return top(bm25(docs, terms, key).select("query_id", F.col(key).alias("id"), F.round("raw", 4).alias("score")), limit)
     return top(_best_few(docs.select(F.col(key).alias("id"), "tokens"), known, dict(terms.dtypes)["query_id"], limit), limit)
 
 
-def _best_few(docs: DataFrame, known, query_kind: str, limit: int) -> DataFrame:
-    """query_id, id, score: what each task holds of the best."""
+def few_terms(terms: DataFrame):
+    """The terms of all queries, as an Arrow table, or None where they are too many to be sent to every task."""
+    known = terms.select("query_id", "term", "times").limit(FEW_TERMS + 1).toArrow().combine_chunks()
+    return None if known.num_rows > FEW_TERMS or len(known.column("query_id").unique()) > FEW_QUERIES else known
+
+
+def best_and_holders(docs: DataFrame, terms: DataFrame, known, parts: DataFrame, key: str = "id", limit: int = 10) -> tuple[DataFrame, DataFrame]:
+    """best, and part_id and id of the documents (id, tokens, text) whose text contains a part, from one scan of the documents.
+
+    known: few_terms(terms); parts: few rows of part_id, part and key, a token that texts with the part hold, or NULL.
+    """
+    kinds = dict(terms.dtypes)["query_id"], dict(parts.dtypes)["part_id"]
+    ranked, held = _best_few(docs.select(F.col(key).alias("id"), "tokens", "text"), known, kinds[0], limit, parts.select("part_id", "part", "key").toArrow().combine_chunks(), kinds[1])
+    return top(ranked, limit), held
+
+
+def _best_few(docs: DataFrame, known, query_kind: str, limit: int, parts=None, part_kind: str = "string"):
+    """query_id, id, score: what each task holds of the best; with parts also part_id, id of best_and_holders."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
     queries, words = (pa.array(known.column(c).unique().to_pylist(), known.schema.field(c).type) for c in ("query_id", "term"))
-    n_queries, n_words = len(queries), len(words)
+    n_parts, n_queries = 0, len(queries)
+    if parts is not None:
+        n_parts, asked = len(parts), parts.column("part").to_pylist()
+        words = pa.concat_arrays([words, *parts.column("key").cast(words.type).chunks]).unique().drop_null()
+        keys = np.asarray(pc.fill_null(pc.index_in(parts.column("key").cast(words.type), words), -1)).astype(np.int64)
+        keyed, keyless = np.flatnonzero(keys >= 0), np.flatnonzero(keys < 0)
+        part_ids = pa.array(parts.column("part_id").to_pylist(), parts.schema.field("part_id").type)
+    n_words = len(words)
     term, query = (np.asarray(pc.index_in(known.column(c), v).combine_chunks()).astype(np.int64) for c, v in (("term", words), ("query_id", queries)))
     order = np.lexsort((query, term))
     query, times, first = query[order], np.asarray(known.column("times").combine_chunks()).astype(np.float64)[order], np.searchsorted(term[order], np.arange(n_words + 1))
@@ -62,7 +85,7 @@ def _best_few(docs: DataFrame, known, query_kind: str, limit: int) -> DataFrame:
 
     def counted(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, step := max(1, (1 << 20) // max(1, n_words))):
+            for at in range(0, whole.num_rows, step := max(1, (1 << 20) // max(1, n_words, n_parts))):
                 b = whole.slice(at, step)
                 lists, ends = b.column("tokens"), flat(b.column("tokens"))
                 w = pc.fill_null(pc.index_in(lists.flatten(), words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -70,12 +93,25 @@ def _best_few(docs: DataFrame, known, query_kind: str, limit: int) -> DataFrame:
                 freq = np.bincount(cell, minlength=b.num_rows * n_words)
                 met = np.flatnonzero(freq)
                 offsets = pa.array(np.searchsorted(met, np.arange(b.num_rows + 1) * n_words).astype(np.int32))
-                parts = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (met % max(1, n_words), freq[met])]
-                yield pa.RecordBatch.from_arrays([b.column("id"), pc.list_value_length(lists).cast(pa.int64()), *parts], names=["id", "length", "terms", "freqs"])
+                found = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (met % max(1, n_words), freq[met])]
+                more = [holding(b.column("text"), freq.reshape(b.num_rows, n_words))] if n_parts else []
+                yield pa.RecordBatch.from_arrays([b.column("id"), pc.list_value_length(lists).cast(pa.int64()), *found, *more], names=["id", "length", "terms", "freqs", "parts"][: 4 + len(more)])
+
+    def holding(texts, freq):
+        """The parts of each text: those whose key it has are looked for in it, and those without a key."""
+        row, part = np.nonzero(freq[:, keys[keyed]])
+        row, part = np.concatenate((row, np.repeat(np.arange(len(texts)), len(keyless)))), np.concatenate((keyed[part], np.tile(keyless, len(texts))))
+        need, place = np.unique(row, return_inverse=True)
+        said = texts.take(pa.array(need)).to_pylist()
+        good = np.array([said[t] is not None and asked[k] is not None and asked[k] in said[t] for t, k in zip(place.tolist(), part.tolist())], bool)
+        row, part = row[good], part[good]
+        order = np.argsort(row, kind="stable")
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(len(texts) + 1)).astype(np.int32)), part_ids.take(pa.array(part[order])))
 
     kind = dict(docs.dtypes)["id"]
     # Written once: the frequency of a term among all documents is known only after the last one.
-    rows = table(docs.mapInArrow(counted, f"id {kind}, length long, terms array<int>, freqs array<int>"), "postings")
+    rows = table(docs.mapInArrow(counted, f"id {kind}, length long, terms array<int>, freqs array<int>" + f", parts array<{part_kind}>" * bool(n_parts)), "postings")
+    owners = rows.select(F.explode("parts").alias("part_id"), "id") if n_parts else rows.filter("false").select(F.lit(None).cast(part_kind).alias("part_id"), "id")
     groups = rows.groupBy("id").agg(F.sum("length").alias("length"), F.count("*").alias("n"))
     total, mean, most = groups.agg(F.count("*"), F.avg("length"), F.max("n")).first()
     if (most or 0) > 1:
@@ -134,7 +170,8 @@ def _best_few(docs: DataFrame, known, query_kind: str, limit: int) -> DataFrame:
             names = pa.table({"query_id": queries.take(found.column("query").combine_chunks()), "id": found.column("id"), "score": found.column("score")})
             yield from names.combine_chunks().to_batches()
 
-    return rows.filter("id is not null and size(terms) > 0").select("id", "length", "terms", "freqs").mapInArrow(scores, f"query_id {query_kind}, id {kind}, score double")
+    ranked = rows.filter("id is not null and size(terms) > 0").select("id", "length", "terms", "freqs").mapInArrow(scores, f"query_id {query_kind}, id {kind}, score double")
+    return ranked if parts is None else (ranked, owners)
 
 
 def _postings(rows: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:

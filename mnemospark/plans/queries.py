@@ -373,9 +373,10 @@ def _gold(spark, sf_dir):
 
 
 def recall_at_k(spark, sf_dir):
-    q = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.explode(search_tokens(F.col("text"))).alias("term"))
-    ranked = se.best(_searched(spark, sf_dir), q.groupBy("query_id", "term").agg(F.count("*").alias("times")), "doc_id")
-    gold = table(_gold(spark, sf_dir).select(F.col("item_id").cast("string").alias("query_id"), F.col("doc_id").alias("session")), "gold")
+    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("question"))
+    q = items.select("query_id", F.explode(search_tokens(F.col("question"))).alias("term"))
+    ranked, held = ev.ranked_and_held(_searched(spark, sf_dir), q.groupBy("query_id", "term").agg(F.count("*").alias("times")), items)
+    gold = table(held.withColumnRenamed("doc_id", "session"), "gold")
     return ev.recall_at(ranked.withColumnRenamed("id", "session"), gold)
 
 

@@ -1,8 +1,10 @@
 from pyspark.sql import functions as F
 
 from mnemospark.functions import grammar
+from mnemospark.operators import evaluate as ev
 from mnemospark.operators import extract as ex
 from mnemospark.operators import search as se
+from mnemospark.plans import queries
 
 
 def ranked(rows):
@@ -56,3 +58,25 @@ def test_roots_are_planned_once(spark):
     roots = rows.select(grammar.verb_root(F.col("x")).alias("r"))
     assert [r.r for r in roots.collect()] == ["work", "bas", "tri", "plan", "bus", "dying", "seed", "make", "goe", "", None]
     assert len(str(grammar.triple_topic(F.col("t"))._jc)) < 40_000  # 94,653 with each use written out
+
+
+def test_recall_reads_documents_once(spark, tmp_path, monkeypatch):
+    words = [f"word{k}" for k in range(40)]
+    docs = [(k, " ".join(words[(k * j + j) % 40] for j in range(k % 25)), "s") for k in range(300)]
+    docs += [(300, "x word1 word2 word3 y", "s"), (301, "xword1 word2 word3", "s"), (302, None, "s"), (303, "so ab it", "s")]
+    items = [(1, "word1 word2 word3"), (2, "word1 word2"), (3, "b i"), (4, "absent words here"), (5, None), (6, docs[24][1])]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    read, t = [], queries._t
+    monkeypatch.setattr(queries, "_t", lambda s, d, name: read.append(name) or t(s, d, name))
+    once = sorted(queries.recall_at_k(spark, str(tmp_path)).collect())
+    assert read.count("documents") == 1 and [r.query_id for r in once] == ["1", "2", "3", "6"]
+    own, asked = queries._searched(spark, str(tmp_path)), spark.createDataFrame(items, "query_id long, question string").withColumn("query_id", F.col("query_id").cast("string"))
+    terms = asked.select("query_id", F.explode(se.search_tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    ranked_, held = ev.ranked_and_held(own, terms, asked)
+    want = sorted((r.query_id, r.doc_id) for r in ev.holders(own, asked).collect())
+    assert sorted(map(tuple, held.collect())) == want and ("3", 303) in want and ("1", 301) in want
+    assert ranked(ranked_) == ranked(se.best(own, terms, "doc_id"))
+    monkeypatch.setattr(ev, "FEW_PARTS", 2)
+    assert sorted(map(tuple, ev.ranked_and_held(own, terms, asked)[1].collect())) == want
+    assert sorted(queries.recall_at_k(spark, str(tmp_path)).collect()) == once
