@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 _DASHES = "-" * 5
 _NAME = "[0-9A-Za-z._-]*"
 _PART = "[0-9A-Za-z_-]{8,}"
@@ -23,8 +25,17 @@ RULES: tuple[tuple[str, str], ...] = (
     (r"(?i)\b(credential|passphrase|password|secret|token|ключ|креденшл|пароль|секрет|токен)\w*\s+([+/0-9A-Z_a-z-]{20,}={0,2})\b", "$1 [REDACTED:secret]"),
     (r"\b[%+.0-9A-Z_a-z-]+@[.0-9A-Za-z-]+[.][A-Za-z]{2,}\b", "[REDACTED:email]"),
 )
+#: What every match of a rule holds, by the rule's place: a plain search for it spares most texts the pattern.
+HELD = {0: _DASHES + "BEGIN", 1: "sk-", 2: "gh", 3: "xox", 4: "AKIA", 5: "eyJ", 9: "@"}
 
 
 def redact(text: Column) -> Column:
     """Ten passes over a text; each rule sees what the ones before it left."""
-    return reduce(lambda x, rule: F.regexp_replace(x, "(?U)" + rule[0], rule[1]), RULES, text)
+
+    def masked(x: Column, k: int) -> Column:
+        pattern, by = RULES[k]
+        if k not in HELD:
+            return F.regexp_replace(x, "(?U)" + pattern, by)
+        return let(x, lambda x: F.when(F.contains(x, F.lit(HELD[k])), F.regexp_replace(x, "(?U)" + pattern, by)).otherwise(x))
+
+    return reduce(masked, range(len(RULES)), text)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cues, grammar
-from ..functions.text import SPACE, casefold, latin_words, normalized, strip
+from ..functions.text import SPACE, casefold, latin_words, let, normalized, strip
 from ..storage import table
 
 MARKER = r"\[C:\s*" + r"(\d{1,3})" + r"\s*%[^\]]*\]"
@@ -63,21 +63,25 @@ def correction_units(units: DataFrame) -> DataFrame:
 
 def scoped_statements(text: Column, marker: str = MARKER) -> Column:
     """(statement, percent) of each marker: what stands before it, else what stands behind it."""
-    gaps, marks = F.split(text, marker), F.regexp_extract_all(text, F.lit(marker), F.lit(1))
     blank = lambda s: strip(s) == ""
     ends = r"(?U)(?<=[.!?…])\s+"
     tidy = lambda s: strip(F.regexp_replace(strip(s), "^[-•*—,;:.)（(]+|[-•*—,;:.)（(]+$", ""))
 
-    def scoped(k: Column) -> Column:
-        lines = F.filter(F.split(F.get(gaps, k), "\n"), lambda x: ~blank(x))
-        line = F.try_element_at(lines, F.lit(-1))
+    def ahead(line: Column) -> Column:
         parts = F.filter(F.split(line, ends), lambda p: ~blank(p))
-        before = F.coalesce(tidy(F.coalesce(F.try_element_at(parts, F.lit(-1)), line)), F.lit(""))
-        behind = F.get(F.split(F.get(gaps, k + 1), "\n"), 0)
-        first = F.coalesce(F.get(F.filter(F.split(behind, ends), lambda p: ~blank(p)), 0), behind)
-        return F.struct(F.when(before != "", before).otherwise(tidy(first)).alias("text"), F.get(marks, k).alias("percent"))
+        return F.coalesce(tidy(F.coalesce(F.try_element_at(parts, F.lit(-1)), line)), F.lit(""))
 
-    found = F.when(F.size(marks) > 0, F.transform(F.sequence(F.lit(0), F.size(marks) - 1), scoped))
+    def behind(line: Column) -> Column:
+        return tidy(F.coalesce(F.get(F.filter(F.split(line, ends), lambda p: ~blank(p)), 0), line))
+
+    def scoped(x: Column, k: Column) -> Column:
+        lines = F.filter(F.split(F.get(x["gaps"], k), "\n"), lambda x: ~blank(x))
+        after = let(F.get(F.split(F.get(x["gaps"], k + 1), "\n"), 0), behind)
+        said = let(let(F.try_element_at(lines, F.lit(-1)), ahead), lambda before: F.when(before != "", before).otherwise(after))
+        return F.struct(said.alias("text"), F.get(x["marks"], k).alias("percent"))
+
+    cut = F.struct(F.split(text, marker).alias("gaps"), F.regexp_extract_all(text, F.lit(marker), F.lit(1)).alias("marks"))
+    found = let(cut, lambda x: F.when(F.size(x["marks"]) > 0, F.transform(F.sequence(F.lit(0), F.size(x["marks"]) - 1), lambda k: scoped(x, k))))
     return F.filter(F.coalesce(found, F.array().cast("array<struct<text:string,percent:string>>")), lambda s: s["text"] != "")
 
 
@@ -120,6 +124,8 @@ def regex_floor(units: DataFrame, options: Options = Options()) -> DataFrame:
 
     paths = found(PATH, 0).filter(F.regexp_replace("raw", "^/+|/+$", "").contains("/"))
     paths = _first_seen(paths, normalized(F.col("clean")), "unit_idx", "k")
+    if options.floor_paths and options.floor_ids:
+        paths = table(paths, "paths")  # items, and what ids are held against
     out = []
     if options.floor_paths:
         out.append(_items(paths, "regex_floor", bucket="supplement", text="clean", kind=F.lit("path"), ordinal=("unit_idx", "family", "k")))
@@ -147,8 +153,8 @@ def regex_floor(units: DataFrame, options: Options = Options()) -> DataFrame:
 
 def retraction(units: DataFrame, options: Options = Options()) -> DataFrame:
     """Lines that overturn something and say what, from the agent and from people."""
-    rows = correction_units(units).select("transcript_id", "unit_idx", (F.col("role") != "assistant").alias("external"), F.posexplode(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("k", "line"))
-    rows = rows.withColumn("line", strip(F.col("line"))).filter(F.length("line").between(24, 360) & cues.is_correction(F.col("line")))
+    rows = correction_units(units).select("transcript_id", "unit_idx", (F.col("role") != "assistant").alias("external"), F.posexplode(F.transform(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), strip)).alias("k", "line"))
+    rows = rows.filter(F.length("line").between(24, 360) & cues.is_correction(F.col("line")))
     floor = F.when(F.col("external"), 5).otherwise(4)
     rows = rows.filter((F.size(cues.signature(F.col("line"))) > 0) | (F.size(F.array_distinct(cues.long_words(F.col("line")))) >= floor))
     rows = _first_seen(rows, normalized(F.col("line")), "unit_idx", "k")
@@ -168,9 +174,9 @@ def lessons(units: DataFrame, options: Options = Options()) -> DataFrame:
 ANCHOR_LEAST, ANCHOR_MOST, ANCHOR_NAMES = 200, 220, 8
 
 
-def _anchor(text: Column, names: bool) -> Column:
-    """The opening sentence of a long unit, cut; NULL if there is none."""
-    usable = F.filter(grammar.sentences(text), lambda s: (F.size(latin_words(s)) >= grammar.LEAST_WORDS) & ~s.rlike(grammar.LIST_ITEM))
+def _anchor(text: Column, names: bool, sentences: Column | None = None) -> Column:
+    """The opening sentence of a long unit, cut; NULL if there is none. sentences: those of the text, where they are known."""
+    usable = F.filter(grammar.sentences(text) if sentences is None else sentences, lambda s: (F.size(latin_words(s)) >= grammar.LEAST_WORDS) & ~s.rlike(grammar.LIST_ITEM))
     head = F.when(F.length(text) >= ANCHOR_LEAST, F.substring(F.get(usable, 0), 1, ANCHOR_MOST))
     if not names:
         return head
@@ -182,7 +188,8 @@ def _anchor(text: Column, names: bool) -> Column:
 
 def factual_sentences(units: DataFrame, options: Options = Options()) -> DataFrame:
     """Assertions with a triple, in order: transcript_id, unit_idx, sent, part, text, topic; repeats included."""
-    rows = assistant_units(units).select("transcript_id", "unit_idx", F.posexplode(grammar.sentences(F.col("text"))).alias("sent", "sentence"))
+    said = F.col("sentences") if "sentences" in units.columns else grammar.sentences(F.col("text"))
+    rows = assistant_units(units).select("transcript_id", "unit_idx", F.posexplode(said).alias("sent", "sentence"))
     rows = rows.filter(~F.col("sentence").rlike(options.marker))
     rows = rows.select("transcript_id", "unit_idx", "sent", F.posexplode(grammar.factual_parts(F.col("sentence"))).alias("part", "text"))
     # A filter would be moved below the grammar's steps, and all of them written out in it again.
@@ -198,12 +205,15 @@ def atomic(units: DataFrame, options: Options = Options()) -> DataFrame:
     anchors where a unit kept none, repeats among both), which differs from a fold over the units only if
     an anchor equals a later unit's only fact; options.exact_fold folds each transcript instead.
     """
-    # Written once: the grammar is the heaviest part, and anchors and repeats both look at its result.
+    # Written once: the grammar is the heaviest part, and anchors and repeats both look at its results.
+    units = table(assistant_units(units).select("transcript_id", "unit_idx", "role", "text", grammar.sentences(F.col("text")).alias("sentences")), "sentences") if options.anchor != "off" else units
     facts = table(factual_sentences(units, options).withColumn("key", normalized(F.col("text"))), "facts")
     if options.anchor == "off":
         kept = _first_seen(facts, F.col("key"), "unit_idx", "sent", "part")
         return _items(kept, "atomic", topic=F.col("topic"), ordinal=("unit_idx", "sent", "part"))
-    anchors = assistant_units(units).select("transcript_id", "unit_idx", _anchor(F.col("text"), options.anchor_names).alias("text")).filter("text is not null")
+    # Not a filter, which would be moved below and hold the anchor again.
+    some = F.explode(F.filter(F.array(_anchor(F.col("text"), options.anchor_names, F.col("sentences"))), lambda a: a.isNotNull()))
+    anchors = units.select("transcript_id", "unit_idx", some.alias("text"))
     head = grammar.object_head(latin_words(F.col("text")))
     anchors = anchors.select("transcript_id", "unit_idx", F.lit(1 << 30).alias("sent"), F.lit(0).alias("part"), "text", F.concat(F.lit("context|"), F.when(head != "", head).otherwise("turn")).alias("topic"), normalized(F.col("text")).alias("key"))
     facts = facts.select(*anchors.columns)

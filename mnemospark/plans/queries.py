@@ -131,7 +131,8 @@ def topic_keys(spark, sf_dir):
 
 
 def _harvest(spark, sf_dir):
-    return table(rs.with_ids(ex.harvest(_units(spark, sf_dir))), "items")
+    # Without the spans, whole texts that no query here shows, and that every window would move.
+    return table(rs.with_ids(ex.harvest(_units(spark, sf_dir))).drop("span"), "items")
 
 
 def _claims(spark, sf_dir):
@@ -299,7 +300,7 @@ def arm_duel(spark, sf_dir):
 
 
 def _built(units):
-    items = table(rs.with_ids(ex.harvest(units)), "items").withColumn("ts", F.lit(None).cast("string"))
+    items = table(rs.with_ids(ex.harvest(units)).drop("span"), "items").withColumn("ts", F.lit(None).cast("string"))
     claims = rs.resolve(rs.link_corrections(items.filter("bucket = 'claim'")))
     return table(b.scored(claims.unionByName(rs.once_by_id(items.filter("bucket = 'supplement'")))), "scored")
 

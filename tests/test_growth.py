@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from mnemospark.functions import grammar
+from mnemospark.functions import redact as masks
 from mnemospark.operators import evaluate as ev
 from mnemospark.operators import extract as ex
 from mnemospark.operators import search as se
@@ -80,3 +81,22 @@ def test_recall_reads_documents_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ev, "FEW_PARTS", 2)
     assert sorted(map(tuple, ev.ranked_and_held(own, terms, asked)[1].collect())) == want
     assert sorted(queries.recall_at_k(spark, str(tmp_path)).collect()) == once
+
+
+def test_statements_split_a_text_once(spark):
+    said = ex.scoped_statements(F.col("x"))
+    assert str(said._jc).count("[C:") == 2  # once for each use of each statement before
+    rows = spark.createDataFrame([("The port is 80. It is open [C:90%]\nx [C: 70 %] [C:5%] then this. And more", ), ("none",), (None,)], "x string").coalesce(1)
+    assert [[tuple(s) for s in r.s or []] for r in rows.select(said.alias("s")).collect()] == [[("It is open", "90"), ("x", "70"), ("then this", "5")], [], []]
+
+
+def test_masks_equal_those_of_bare_patterns(spark):
+    key = "-----BEGIN PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----"
+    texts = [key, "sk-" + "a" * 24, "ghp_" + "b" * 24, "xoxb-1234567890ab", "AKIA" + "A1" * 8, ".".join(["eyJ" + "a" * 9, "b" * 9, "c" * 9]), "me@example.com token = abcdef1", "Bearer " + "z" * 20, "plain sk gh @", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(" ".join(t for t in texts if t),)], "x string").coalesce(1)
+    bare = F.col("x")
+    for pattern, by in masks.RULES:
+        bare = F.regexp_replace(bare, "(?U)" + pattern, by)
+    got = rows.select(masks.redact(F.col("x")).alias("a"), bare.alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and all("[REDACTED" in r.a for r in got[:8])
+    assert str(masks.redact(F.col("x"))._jc).count("contains") == len(masks.HELD)
