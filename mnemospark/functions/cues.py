@@ -6,32 +6,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lexicon import CORRECTION_STOPS, RECALL_STOPS
-from .text import SPACE, alternatives, casefold, member, search_tokens
+from .text import SPACE, ahead, alternatives, casefold, let, member, search_tokens, word_ahead
 
 CORRECTION = (
-    r"(?iU)\b" + alternatives("corrected correction disproved disproven no_longer_holds not_true overturn(?:ed)? refutation refute[sd]? retract(?:ed|ion)? scratch_that supersede[sd]? turns_out was_wrong were_wrong").replace(r"\s+", " ") + r"\b"
-    "|" + alternatives("беру_свои_слова была_не_права исправл(?:ение|яю) на_самом_деле не_подтвердилось неверно неправильно оказалось_не опроверг отмен(?:ено|яю) ошиб(?:ка|ки|лась|ся) поправк снимаю ты_прав уточн(?:ение|яю)").replace(r"\s+", " ")
+    word_ahead("cdnorstw", r"(?iU)\b" + alternatives("corrected correction disproved disproven no_longer_holds not_true overturn(?:ed)? refutation refute[sd]? retract(?:ed|ion)? scratch_that supersede[sd]? turns_out was_wrong were_wrong").replace(r"\s+", " ") + r"\b")
+    + "|" + ahead("", r"(?iU)" + alternatives("беру_свои_слова была_не_права исправл(?:ение|яю) на_самом_деле не_подтвердилось неверно неправильно оказалось_не опроверг отмен(?:ено|яю) ошиб(?:ка|ки|лась|ся) поправк снимаю ты_прав уточн(?:ение|яю)").replace(r"\s+", " "))
 )
-DECISION = (
+DECISION = word_ahead(
+    "acdglwu",
     r"(?iU)\b" + alternatives("approved chose decided decision going_with locked will_use").replace(r"\s+", " ") + r"\b"
     r"|\b" + alternatives("вывод договорились принято выбра(?:л|ла|ли|но) реш(?:ени[ея]|ено|ил|ила|или)") + r"\b"
-    r"|\buse\s.+\snot\s+."
+    r"|\buse\s.+\snot\s+.",
 )
 _RULE_END = alternatives("always from_now_on going_forward in_future never next_time").replace(r"\s+", " ")
-LESSON_RULE = r"(?iU)\b(?:lesson|so|therefore|which means)\b[^\n!.?]{0,40}?\b" + _RULE_END + r"\b"
+LESSON_RULE = word_ahead("lstw", r"(?iU)\b(?:lesson|so|therefore|which means)\b[^\n!.?]{0,40}?\b" + _RULE_END + r"\b")
 LESSON_LABEL = (
     r"(?imU)^\s*(?:[*-]\s*)?(?:[A-Z][0-9A-Z]{0,15}[ -])?LESSON(?:\s+LEARNED)?(?:\s*\[[^\n\]]{0,60}\])?"
     r"(?:\s*[(][^\n)]{0,60}[)])?\s*[:\-—]\s*(.+?)\s*$"
 )
-STATE_WORD = r"(?iU)\b(?:currently|deployed|still)\b|\b(?:все ещё|всё ещё)\b|\b(?:развернут|развёрнут)\w*"
-STATE_NOUN = r"(?iU)(?:\b(?:branch|commit|current|latest|port|release|tag|version)\b|\b(?:верси|ветк|коммит|порт|релиз|текущ)\w*)"
-STATE_VALUE = r"(?U)\b\d{3,6}\b|\b[a-f0-9]{7,40}\b|\b\d+(?:[.]\d+){1,2}\b"
+STATE_WORD = word_ahead("cds", r"(?iU)\b(?:currently|deployed|still)\b|\b(?:все ещё|всё ещё)\b|\b(?:развернут|развёрнут)\w*")
+STATE_NOUN = word_ahead("bclprtv", r"(?iU)(?:\b(?:branch|commit|current|latest|port|release|tag|version)\b|\b(?:верси|ветк|коммит|порт|релиз|текущ)\w*)")
+STATE_VALUE = word_ahead("0-9a-f", r"(?U)\b\d{3,6}\b|\b[a-f0-9]{7,40}\b|\b\d+(?:[.]\d+){1,2}\b")
 INTENT = (
     r"(?iU)^\s*(?:да\b,?\s+)?" + alternatives("i_will let_me please запусти запущу изучи изучу начни начну проведи проверь проверю сделай сделаю").replace(r"\s+", " ") + r"\b"
 )
 WINDOW = 40
-ENTITY = r"(?U)\b(?:#\d+|[A-Z]+-\d+|[a-f0-9]{7,40})\b"
-NUMBER = r"(?U)\b\d+(?:[,.]\d+)?%?\b"
+ENTITY = ahead("#0-9a-z", r"(?U)\b(?:#\d+|[A-Z]+-\d+|[a-f0-9]{7,40})\b")
+NUMBER = word_ahead("0-9", r"(?U)\b\d+(?:[,.]\d+)?%?\b")
 
 
 def is_correction(line: Column) -> Column:
@@ -72,15 +73,18 @@ def live_state(text: Column) -> Column:
     A noun of state counts only with a value within 40 characters: the window is cut first, then searched,
     so a value that the cut changes counts as what is left of it.
     """
-    pieces = F.split(text, STATE_NOUN)
-    nouns = F.regexp_extract_all(text, F.lit(STATE_NOUN), F.lit(0))
-    # Where the k-th noun begins: after the pieces and nouns before it.
-    begins = F.transform(F.sequence(F.lit(1), F.size(nouns)), lambda k: F.aggregate(F.slice(pieces, 1, k), F.lit(0), lambda a, p: a + F.length(p)) + F.aggregate(F.slice(nouns, 1, k - 1), F.lit(0), lambda a, n: a + F.length(n)))
-    around = F.transform(
-        F.arrays_zip(begins.alias("b"), nouns.alias("n")),
-        lambda x: F.substring(text, F.greatest(x["b"] - WINDOW, F.lit(0)) + 1, x["b"] + F.length(x["n"]) + WINDOW - F.greatest(x["b"] - WINDOW, F.lit(0))),
-    )
-    valued = F.when(F.size(nouns) > 0, F.exists(around, lambda w: w.rlike(STATE_VALUE))).otherwise(False)
+
+    def near_value(x: Column) -> Column:
+        # Where the k-th noun begins: after the pieces and nouns before it.
+        begins = F.transform(F.sequence(F.lit(1), F.size(x["nouns"])), lambda k: F.aggregate(F.slice(x["pieces"], 1, k), F.lit(0), lambda a, p: a + F.length(p)) + F.aggregate(F.slice(x["nouns"], 1, k - 1), F.lit(0), lambda a, n: a + F.length(n)))
+        around = F.transform(
+            F.arrays_zip(begins.alias("b"), x["nouns"].alias("n")),
+            lambda x: F.substring(text, F.greatest(x["b"] - WINDOW, F.lit(0)) + 1, x["b"] + F.length(x["n"]) + WINDOW - F.greatest(x["b"] - WINDOW, F.lit(0))),
+        )
+        return F.when(F.size(x["nouns"]) > 0, F.exists(around, lambda w: w.rlike(STATE_VALUE))).otherwise(False)
+
+    cut = F.struct(F.split(text, STATE_NOUN).alias("pieces"), F.regexp_extract_all(text, F.lit(STATE_NOUN), F.lit(0)).alias("nouns"))
+    valued = text.rlike(STATE_NOUN) & let(cut, near_value)
     return F.coalesce(~text.rlike(INTENT) & (text.rlike(STATE_WORD) | valued), F.lit(False))
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lexicon import ABBREVIATIONS, AUXILIARIES, IMPERATIVES, LEADING_STOPS, OBJECT_STOPS, ONE_VALUE, VERBS
-from .text import SPACE, alternatives, casefold, latin_words, let, member, strip
+from .text import LATIN_WORD, SPACE, alternatives, casefold, latin_words, let, member, strip, word_ahead
 
 
 def _any(words: str, before: str = r"(?iU)\b", after: str = r"\b") -> str:
-    return before + alternatives(words) + after
+    return word_ahead("".join(sorted({w[0] for w in words.split()})), before + alternatives(words) + after)
 
 
 _DAYS = "friday|monday|saturday|sunday|thursday|tuesday|wednesday"
@@ -26,19 +26,24 @@ OPENER = (
     r"|there\s+(?:are|is|was|were)|this\s+(?:can|could|is|would)|try|you\s+(?:can|could|may|might|need|should|want|will))\b"
 )
 ADVICE = r"(?iU)\byou\s+(?:can|could|may|might|need\s+to|should|want\s+to|will)\b"
-REGISTER = (
+REGISTER = word_ahead(
+    "adfghikl",
     r"(?iU)\b(?:as\s+an\s+ai|don't\s+hesitate|feel\s+free|glad\s+to|good\s+luck|great\s+question|happy\s+to\s+help"
     r"|hope\s+(?:it|that|these|this|you)|i\s+(?:can|could)\s+help|i\s+(?:recommend|suggest)|i'd\s+(?:recommend|suggest)"
-    r"|keep\s+in\s+mind|kudos|let's|lets\s+get)\b"
+    r"|keep\s+in\s+mind|kudos|let's|lets\s+get)\b",
 )
 LIST_ITEM = r"(?U)^\s*(?:-|•|\*+|\d+[).])\s"
 BOLD_HEAD = r"(?U)^\s*[*]{2}[^*]+[*]{2}\s*[-:]"
-CONCRETE = (
+CONCRETE = word_ahead(
+    "0-9adfijlmnopstwy",
     rf"(?iU)\b(?:\d+|{_MONTHS}|{_DAYS}|tomorrow|tonight|yesterday)\b"
     rf"|\b(?:last|next|past|this)\s+(?:fall|month|night|semester|spring|summer|week|weekend|winter|year|{_DAYS})\b"
-    r"|\bin\s+(?:19|20)\d{2}\b|\bsince\s+\w|\w\s+ago\b"
+    r"|\bin\s+(?:19|20)\d{2}\b|\bsince\s+\w",
 )
+AGO = r"(?iU)\w\s+ago\b"
 PROPER = r"(?<![!.?]\s)(?<!^)\b[A-Z][A-Za-z]{2,}\b"
+#: One search for what any of these four begins with or is; most sentences have none.
+SOME = r"(?=[0-9A-Zadfijlmnopstwy\x80-\x{10ffff}])(?<![0-9A-Z_a-z])(?:[A-Z][A-Za-z]{2}|(?iU)ago\b|" + PERSONAL + "|" + CONCRETE + ")"
 QUESTION = (
     r"(?iU)^\s*" + alternatives("any are can could did do does has have how is please should was were what when where which who whom whose why would") + r"\b"
     r"|\b(?:can|could|did|do|have|will|would)\s+you\b|\bany\s+(?:ideas|recommendations|suggestions|tips)\b"
@@ -63,29 +68,30 @@ def sentences(text: Column) -> Column:
 
 def is_factual(sentence: Column) -> Column:
     """Whether a person asserted something, rather than discussed, asked or advised."""
-    words = latin_words(sentence)
     colon = F.instr(sentence, ":")
     plain = (
-        (sentence != "")
-        & ~sentence.endswith("?")
-        & F.size(words).between(LEAST_WORDS, MOST_WORDS)
+        F.size(latin_words(sentence)).between(LEAST_WORDS, MOST_WORDS)
         & ~sentence.rlike(OPENER)
         & ~sentence.rlike(ADVICE)
         & ~sentence.rlike(REGISTER)
         & ~sentence.rlike(BOLD_HEAD)
     )
+    concrete = sentence.rlike(PROPER) | sentence.rlike(CONCRETE) | sentence.rlike("[Aa][Gg][Oo]") & sentence.rlike(AGO)
+    first = F.lower(F.regexp_extract(sentence, LATIN_WORD, 0))
 
-    def asserted(personal: Column) -> Column:
-        concrete = sentence.rlike(CONCRETE) | sentence.rlike(PROPER)
+    def asserted(said: Column) -> Column:
+        personal, concrete = said["personal"], said["concrete"]
         return (
-            (personal | ~sentence.rlike(LIST_ITEM))
-            & (~sentence.rlike(HEDGED) | personal & concrete)
-            & ~member(IMPERATIVES, F.lower(F.coalesce(F.get(words, 0), F.lit(""))))
+            (personal | concrete)
             & (personal | ~colon.between(1, 61))
-            & (personal | concrete)
+            & (personal | ~sentence.rlike(LIST_ITEM))
+            & plain
+            & ~member(IMPERATIVES, first)
+            & (personal & concrete | ~sentence.rlike(HEDGED))
         )
 
-    return plain & let(sentence.rlike(PERSONAL), asserted)
+    # What few sentences have goes first.
+    return (sentence != "") & ~sentence.endswith("?") & sentence.rlike(SOME) & let(F.struct(sentence.rlike(PERSONAL).alias("personal"), concrete.alias("concrete")), asserted)
 
 
 def factual_parts(sentence: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let
+from .text import ahead, let, word_ahead
 
 _DASHES = "-" * 5
 _NAME = "[0-9A-Za-z._-]*"
@@ -27,6 +27,10 @@ RULES: tuple[tuple[str, str], ...] = (
 )
 #: What every match of a rule holds, by the rule's place: a plain search for it spares most texts the pattern.
 HELD = {0: _DASHES + "BEGIN", 1: "sk-", 2: "gh", 3: "xox", 4: "AKIA", 5: "eyJ", 9: "@"}
+#: Letters that the matches of a rule begin with, where that is a word.
+_FIRST = {8: "cpst"}
+#: How every match of a rule ends, which is found without going back over the names before it.
+_ENDS = {7: ahead("kpst", rf"(?iU)(?:key|passwd|password|pwd|secret|token){_NAME}\s*[=:]\s*\S{{6,}}")}
 
 
 def redact(text: Column) -> Column:
@@ -34,8 +38,11 @@ def redact(text: Column) -> Column:
 
     def masked(x: Column, k: int) -> Column:
         pattern, by = RULES[k]
+        pattern = word_ahead(_FIRST[k], "(?U)" + pattern) if k in _FIRST else "(?U)" + pattern
+        if k in _ENDS:
+            return let(x, lambda x: F.when(x.rlike(_ENDS[k]), F.regexp_replace(x, pattern, by)).otherwise(x))
         if k not in HELD:
-            return F.regexp_replace(x, "(?U)" + pattern, by)
-        return let(x, lambda x: F.when(F.contains(x, F.lit(HELD[k])), F.regexp_replace(x, "(?U)" + pattern, by)).otherwise(x))
+            return F.regexp_replace(x, pattern, by)
+        return let(x, lambda x: F.when(F.contains(x, F.lit(HELD[k])), F.regexp_replace(x, pattern, by)).otherwise(x))
 
     return reduce(masked, range(len(RULES)), text)

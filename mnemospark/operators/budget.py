@@ -110,7 +110,14 @@ def rendered_fit(items: DataFrame, budget: int, created: str, tail: str = "", gr
     """
     if budget <= 0:
         return items
-    rows = with_sections(items, F.lit(created))
+    # Claims, with "- None" while there are none, are always there. The last blank line is taken away again.
+    fixed = len(header(created)) + len("## Claims\n- None\n\n") - 1 + len(tail)
+    w = Window.partitionBy(group).orderBy("priority").rowsBetween(Window.unboundedPreceding, 0)
+    # A line is "- ", its text and more, and only "- None" is ever taken back: what is too long by this alone needs no line worked out.
+    known = (F.col("bucket") == "supplement") | F.col("topic").isNotNull() & F.col("id").isNotNull()
+    least = F.coalesce(F.when(known, F.length("text") + len("- \n")), F.lit(0))
+    near = items.withColumn("_least", F.lit(fixed - len("- None\n")) + F.sum(least).over(w)).filter(F.col("_least") <= budget).drop("_least")
+    rows = with_sections(near, F.lit(created))
     area = F.when(F.col("section") >= 4, 4).otherwise(F.col("section"))
     first = lambda *key: F.row_number().over(Window.partitionBy(group, *key).orderBy("priority")) == 1
     rows = rows.withColumn("_area", area).withColumn("_first", first("section")).withColumn("_first_area", first("_area"))
@@ -119,9 +126,6 @@ def rendered_fit(items: DataFrame, budget: int, created: str, tail: str = "", gr
         extra = -len("- None\n") if s == 1 else 0 if s >= 4 else len("\n") + len(text)
         head = head.when(F.col("section") == s, len(text) if s >= 4 else extra)
     head = head + F.when(F.col("_first_area") & (F.col("_area") == 4), len("## Supplement\n\n")).otherwise(0)
-    # Claims, with "- None" while there are none, are always there. The last blank line is taken away again.
-    fixed = len(header(created)) + len("## Claims\n- None\n\n") - 1 + len(tail)
-    w = Window.partitionBy(group).orderBy("priority").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("rendered", F.lit(fixed) + F.sum(F.length("line") + 1 + head).over(w))
     return rows.filter(F.col("rendered") <= budget).drop("_area", "_first", "_first_area", "section", "line")
 

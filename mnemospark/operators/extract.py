@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cues, grammar
-from ..functions.text import SPACE, casefold, latin_words, let, normalized, strip
+from ..functions.text import SPACE, ahead, casefold, latin_words, let, normalized, strip
 from ..storage import table
 
 MARKER = r"\[C:\s*" + r"(\d{1,3})" + r"\s*%[^\]]*\]"
@@ -63,7 +63,7 @@ def correction_units(units: DataFrame) -> DataFrame:
 
 def scoped_statements(text: Column, marker: str = MARKER) -> Column:
     """(statement, percent) of each marker: what stands before it, else what stands behind it."""
-    blank = lambda s: strip(s) == ""
+    blank = lambda s: ~s.rlike(r"(?U)[^\s\x1c-\x1f]")
     ends = r"(?U)(?<=[.!?…])\s+"
     tidy = lambda s: strip(F.regexp_replace(strip(s), "^[-•*—,;:.)（(]+|[-•*—,;:.)（(]+$", ""))
 
@@ -107,20 +107,24 @@ PATH = rf"(?U)(?<!\w)(?:[~.]?/[{_PATH_END}/]+|(?:[0-9A-Za-z_.-]+/)+[{_PATH_END}]
 _HEX = "[0-9A-Fa-f]"
 UUID = rf"(?U)\b{_HEX}{{8}}-(?:{_HEX}{{4}}-){{3}}{_HEX}{{12}}\b"
 HASH = rf"(?U)\b{_HEX}{{7,40}}\b"
-ISSUE = r"(?iU)#\d+\b|\bobs\s+#\d+\b"
+ISSUE = ahead("#o", r"(?iU)#\d+\b|\bobs\s+#\d+\b")
 
 
 def _cleaned(text: Column) -> Column:
     return F.regexp_replace(strip(text), "[.,;:]+$", "")
 
 
+#: Of a text, whether something is left once it is cleaned; a filter on the cleaned text would be moved below it and clean twice.
+_LEAVES = r"(?U)[^\s\x1c-\x1f.,;:]|[.,;:][\s\x1c-\x1f]+[.,;:]"
+
+
 def regex_floor(units: DataFrame, options: Options = Options()) -> DataFrame:
     """Paths, ids that are no part of a path met so far, and units that decide something."""
     rows = assistant_units(units).select("transcript_id", "unit_idx", "text")
 
     def found(pattern: str, family: int) -> DataFrame:
-        hits = rows.select("transcript_id", "unit_idx", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("k", "raw"))
-        return hits.select("transcript_id", "unit_idx", F.lit(family).alias("family"), "k", "raw", _cleaned(F.col("raw")).alias("clean")).filter("clean != ''")
+        hits = rows.select("transcript_id", "unit_idx", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("k", "raw")).filter(F.col("raw").rlike(_LEAVES))
+        return hits.select("transcript_id", "unit_idx", F.lit(family).alias("family"), "k", "raw", _cleaned(F.col("raw")).alias("clean"))
 
     paths = found(PATH, 0).filter(F.regexp_replace("raw", "^/+|/+$", "").contains("/"))
     paths = _first_seen(paths, normalized(F.col("clean")), "unit_idx", "k")
@@ -137,7 +141,7 @@ def regex_floor(units: DataFrame, options: Options = Options()) -> DataFrame:
         ids = _first_seen(ids, normalized(F.col("clean")), "unit_idx", "family", "k")
         out.append(_items(ids, "regex_floor", bucket="supplement", text="clean", kind=F.lit("id"), ordinal=("unit_idx", "family", "k")))
     if options.floor_decisions:
-        made = rows.filter(cues.is_decision(F.col("text"))).select("transcript_id", "unit_idx", F.lit(4).alias("family"), F.lit(0).alias("k"), _cleaned(F.col("text")).alias("clean")).filter("clean != ''")
+        made = rows.filter(F.col("text").rlike(_LEAVES) & cues.is_decision(F.col("text"))).select("transcript_id", "unit_idx", F.lit(4).alias("family"), F.lit(0).alias("k"), _cleaned(F.col("text")).alias("clean"))
         made = _first_seen(made, normalized(F.col("clean")), "unit_idx")
         out.append(_items(made, "regex_floor", bucket="supplement", text="clean", kind=F.lit("decision"), ordinal=("unit_idx", "family", "k")))
     if not out:
@@ -153,7 +157,8 @@ def regex_floor(units: DataFrame, options: Options = Options()) -> DataFrame:
 
 def retraction(units: DataFrame, options: Options = Options()) -> DataFrame:
     """Lines that overturn something and say what, from the agent and from people."""
-    rows = correction_units(units).select("transcript_id", "unit_idx", (F.col("role") != "assistant").alias("external"), F.posexplode(F.transform(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), strip)).alias("k", "line"))
+    # Whole texts first, as most have no correction in any line.
+    rows = correction_units(units).filter(cues.is_correction(F.col("text"))).select("transcript_id", "unit_idx", (F.col("role") != "assistant").alias("external"), F.posexplode(F.transform(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), strip)).alias("k", "line"))
     rows = rows.filter(F.length("line").between(24, 360) & cues.is_correction(F.col("line")))
     floor = F.when(F.col("external"), 5).otherwise(4)
     rows = rows.filter((F.size(cues.signature(F.col("line"))) > 0) | (F.size(F.array_distinct(cues.long_words(F.col("line")))) >= floor))

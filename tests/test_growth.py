@@ -1,7 +1,10 @@
+import re
+
 from pyspark.sql import functions as F
 
-from mnemospark.functions import grammar
+from mnemospark.functions import cues, grammar, text
 from mnemospark.functions import redact as masks
+from mnemospark.operators import budget as b
 from mnemospark.operators import evaluate as ev
 from mnemospark.operators import extract as ex
 from mnemospark.operators import search as se
@@ -100,3 +103,44 @@ def test_masks_equal_those_of_bare_patterns(spark):
     got = rows.select(masks.redact(F.col("x")).alias("a"), bare.alias("b")).collect()
     assert [r.a for r in got] == [r.b for r in got] and all("[REDACTED" in r.a for r in got[:8])
     assert str(masks.redact(F.col("x"))._jc).count("contains") == len(masks.HELD)
+
+
+#: Border cases of the patterns: folds from beyond ASCII, marks, inner words, line ends.
+ODD = [
+    "Corrected: it was 5", "uncorrected", "x́corrected", "́corrected", "\ńcorrected", "беру свои слова назад", "Ошибка", "поправка", "it was_wrong", "that was wrong", "decIded", "wİll use", "ſcratch that", "locKed", "use a not b",
+    "решено", "so from now on", "ſo, next time", "therefore never", "#12 and b#12", "obs  #7", "OBS #7", "a#1", "ABC-12", "x1ABC-12", "deadbeef1", "xdeadbeef1", "٣٤٥", "12.5% of 3,4", "í am", "ı'm", "I'll", "we’re", "my_own", "é my",
+    "long ago", "long ago", "ago", " ago", "中 ago", "imago x", "on MONDAY", "ſunday", "since x", "last night", "in 2019", "The Cat sat", "the Cat", "! Cat", "Cat", "É Cat", "currently", "stıll", "branch 1234", "ветка 1234", "currentport 80", "x port 8080",
+    "as an ai", "Feel free", "hope it", "maybe", "Kudos", "lets get", "usually often", "usually_often", "password = abcdefg", "toKen: abcdefg", "api-key=abcdefg", "my.secret.x = abcdefg", "token =", "token abcdefghijklmnopqrstuvwxyz", "пароль abcdefghijklmnopqrstuvwxyz", "", "\U0001d7d8", "\U0001f600 port", None,
+]
+
+
+def test_looking_ahead_changes_no_match(spark):
+    rows = spark.createDataFrame([(t,) for t in ODD] + [(" ".join(t for t in ODD if t),), ("\n".join(t for t in ODD if t),)], "x string").coalesce(1)
+    led = [cues.CORRECTION, cues.DECISION, cues.LESSON_RULE, cues.STATE_WORD, cues.STATE_NOUN, cues.STATE_VALUE, cues.ENTITY, cues.NUMBER, grammar.PERSONAL, grammar.HEDGED, grammar.REGISTER, grammar.CONCRETE, ex.ISSUE]
+    ahead = re.compile(r"\(\?=\[[^\]]*\\x\{10ffff\}\]\)(?:\(\?<!\[0-9A-Z_a-z\]\))?")
+    for p in led:
+        assert ahead.search(p), p
+        both = rows.select(*(F.regexp_extract_all("x", F.lit(x), F.lit(0)).alias(n) for n, x in (("a", p), ("b", ahead.sub("", p))))).collect()
+        assert [r.a for r in both] == [r.b for r in both] and any(r.a for r in both), p
+    some = rows.filter(F.col("x").rlike(grammar.PERSONAL) | F.col("x").rlike(grammar.CONCRETE) | F.col("x").rlike(grammar.AGO) | F.col("x").rlike(grammar.PROPER))
+    assert some.count() > 10 and some.filter(~F.col("x").rlike(grammar.SOME)).count() == 0
+
+
+def test_strip_and_cleaned_equal_bare_patterns(spark):
+    texts = ["", " ", "  a  ", "a", "\x1c\x1fa b\x1d", "\n\n", "a\n", ". .", " .;: ", ",", "a.,", " .", ". \n;", "  a  b\t\tc   d\n", "  ", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").coalesce(1)
+    bare = F.regexp_replace("x", rf"(?U)^{text.SPACE}+|{text.SPACE}+$", "")
+    one = F.regexp_replace(F.regexp_replace("x", rf"(?U){text.SPACE}+", " "), rf"(?U)^{text.SPACE}+|{text.SPACE}+$", "")
+    got = rows.select(text.strip(F.col("x")).alias("a"), bare.alias("b"), text.squeeze(F.col("x")).alias("c"), one.alias("d"), F.col("x").rlike(ex._LEAVES).alias("e"), (F.regexp_replace(bare, "[.,;:]+$", "") != "").alias("f")).collect()
+    assert all((r.a, r.c, r.e) == (r.b, r.d, r.f) for r in got)
+
+
+def test_lines_are_worked_out_only_where_they_may_fit(spark, monkeypatch):
+    rows = [(1, "claim" if k % 3 else "supplement", k, k + 1, f"{'far' if k > 40 else 'text'} {k} " + "x" * 20, f"t{k}", f"i{k}", "id", None if k % 2 else 0.5, None, "old" if k % 7 == 0 else None) for k in range(200)]
+    items = spark.createDataFrame(rows, "transcript_id long, bucket string, pos int, priority int, text string, topic string, id string, kind string, confidence double, ts string, superseded_by string").repartition(3)
+    whole = [(r.priority, r.rendered) for r in b.rendered_fit(items, 10**6, "2024-05-01").orderBy("priority").collect()]
+    assert len(whole) == 200
+    monkeypatch.setattr(b, "live_state", lambda t: F.when(t.startswith("far"), F.raise_error(F.lit("not needed")).cast("boolean")).otherwise(False))
+    for most in (0, 7, 20):
+        fit = [(r.priority, r.rendered) for r in b.rendered_fit(items, whole[most][1], "2024-05-01").orderBy("priority").collect()]
+        assert fit == whole[: most + 1]
